@@ -160,7 +160,7 @@ def describe_paths(paths: DataFrame, people: DataFrame, pairs: DataFrame, keys:
 def highlights(results: DataFrame) -> DataFrame:
     """Distinct people and edges on the result paths of every goal."""
     keys = ["goal_id", "network_id"]
-    nodes = results.select(*keys, F.lit("node").alias("kind"), F.explode("path").cast("string").alias("element"))
+    nodes = results.select(*keys, F.lit("node").alias("kind"), F.explode(F.col("path").cast("array<string>")).alias("element"))
     legs = path_legs(results, keys)
     edge = F.concat_ws("_", F.lit("e"), F.col("low_id").cast("string"), F.col("high_id").cast("string"))
     return nodes.unionByName(legs.select(*keys, F.lit("edge").alias("kind"), edge.alias("element"))).distinct()

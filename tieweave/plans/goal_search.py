@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tieweave.functions.people import rationale
 from tieweave.operators import paths as P, rerank as R
 from tieweave.operators.analytics import me_rows, strength_to_me
-from tieweave.operators.ranking import top_k
 from tieweave.operators.retrieval import hybrid_search
 
 KEY = ["goal_id", "network_id"]
@@ -30,14 +29,30 @@ def buckets(results: DataFrame, k: int = 5) -> DataFrame:
     The combined list draws on the shortened indirect list but on all direct contacts.
     """
     best = [F.col("combined").desc(), F.col("person_id")]
-    place = lambda df, order, n, name: top_k(df, KEY, order, n, "place").withColumn("bucket", F.lit(name))
-    direct = results.filter(F.col("kind") != "indirect")
-    indirect = place(results.filter("kind = 'indirect'"), best, k, "indirect")
-    contacted = place(direct, [F.get("strengths", F.lit(0)).desc(), *best], 2 * k, "contacted")
-    wishlist = place(results.filter("is_wishlist"), best, k, "wishlist")
-    pool = indirect.drop("place", "bucket").unionByName(direct)
-    combined = place(pool, best, k, "combined")
-    return indirect.unionByName(contacted).unionByName(wishlist).unionByName(combined)
+    # A goal has at most the retrieved candidates left, so one shuffle by goal serves
+    # every window below.
+    rows = results.repartition(*KEY).withColumn("_indirect", F.col("kind") == "indirect")
+    at = lambda part, order: F.row_number().over(Window.partitionBy(*KEY, *part).orderBy(*order)).cast("long")
+    rows = (
+        rows.withColumn("_i", at(["_indirect"], best))
+        .withColumn("_c", at(["_indirect"], [F.get("strengths", F.lit(0)).desc(), *best]))
+        .withColumn("_w", at(["is_wishlist"], best))
+        .withColumn("_pool", ~F.col("_indirect") | (F.col("_i") <= k))
+        .withColumn("_a", at(["_pool"], best))
+    )
+    entry = lambda name, holds, place, n: F.when(
+        holds & (F.col(place) <= n), F.struct(F.lit(name).alias("bucket"), F.col(place).alias("place"))
+    )
+    listed = F.array_compact(
+        F.array(
+            entry("indirect", F.col("_indirect"), "_i", k),
+            entry("contacted", ~F.col("_indirect"), "_c", 2 * k),
+            entry("wishlist", F.col("is_wishlist"), "_w", k),
+            entry("combined", F.col("_pool"), "_a", k),
+        )
+    )
+    out = rows.withColumn("_b", F.explode(listed))
+    return out.select(*results.columns, F.col("_b.place").alias("place"), F.col("_b.bucket").alias("bucket"))
 
 
 def goal_search(

@@ -1 +1,298 @@
+"""People, edges, neighbourhoods, statistics and export."""
 
+from pyspark.sql import functions as F
+
+from tieweave.functions import people as Q
+from tieweave.functions import values as V
+from tieweave.operators import analytics as A
+from tieweave.operators.folding import undirected
+from tieweave.plans.registered.base import query
+
+ATTRS = "array_to_string(tags, '|') AS tags, array_to_string(skills, '|') AS skills, array_to_string(companies, '|') AS companies, array_to_string(cities, '|') AS cities, array_to_string(needs, '|') AS needs"
+
+
+@query("c1_find_by_name", "SELECT network_id, name, min(person_id) AS person_id FROM contact WHERE name LIKE 'Customer%' GROUP BY ALL")
+def _(t):
+    wanted = t.raw("customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("network_id"), F.col("c_name").alias("name"))
+    return A.find_by_name(wanted.unionByName(t.person.filter("is_me").select("network_id", "name")), t.person)
+
+
+@query("c2_contact_list", f"SELECT network_id, person_id, name, is_wishlist, {ATTRS} FROM contact")
+def _(t):
+    return A.list_contacts(t.person).select("network_id", "person_id", "name", "is_wishlist", "tags", "skills", "companies", "cities", "needs")
+
+
+@query("c6_wishlist", "SELECT network_id, person_id, name FROM contact WHERE is_wishlist")
+def _(t):
+    return A.contacts(t.person).filter("is_wishlist").select("network_id", "person_id", "name")
+
+
+_NAMED = """named AS (SELECT e.*, a.name AS a_name, a.is_me AS a_is_me, b.name AS b_name, b.is_me AS b_is_me FROM edge e
+  JOIN person a ON a.network_id = e.network_id AND a.person_id = source_id JOIN person b ON b.network_id = e.network_id AND b.person_id = target_id)"""
+
+
+@query("d6_named_edges", f"WITH {_NAMED} SELECT network_id, edge_id, source_id, a_name, a_is_me, target_id, b_name, b_is_me, strength FROM named")
+def _(t):
+    return A.named_edges(t.edge, t.person).select("network_id", "edge_id", "source_id", "a_name", "a_is_me", "target_id", "b_name", "b_is_me", "strength")
+
+
+@query("c3_edge_filter", f"""WITH {_NAMED} SELECT network_id, edge_id, a_name, b_name, strength, source FROM named
+  WHERE strength >= 2 AND source IN ('manual', 'ai_inferred') AND NOT a_is_me AND NOT b_is_me
+  AND (contains(lower(a_name), '00001') OR contains(lower(b_name), '00001') OR contains(lower(context), '00001'))""")
+def _(t):
+    rows = A.filter_edges(A.named_edges(t.edge, t.person), " 00001", 2, ["manual", "ai_inferred"], include_me=False)
+    return rows.select("network_id", "edge_id", "a_name", "b_name", "strength", "source")
+
+
+@query("c3_edge_filter_person", f"WITH {_NAMED} SELECT network_id, edge_id, a_name, b_name, strength FROM named WHERE source_id = 1000000003 OR target_id = 1000000003")
+def _(t):
+    return A.filter_edges(A.named_edges(t.edge, t.person), person_id=1000000003).select("network_id", "edge_id", "a_name", "b_name", "strength")
+
+
+@query("g2_edge_page", f"""WITH {_NAMED} SELECT network_id, edge_id, place, total FROM (SELECT *, count(*) OVER (PARTITION BY network_id) AS total,
+  row_number() OVER (PARTITION BY network_id ORDER BY CASE WHEN a_is_me OR b_is_me THEN 0 ELSE 1 END, strength DESC, a_name, b_name, edge_id) AS place FROM named) WHERE place > 10 AND place <= 40""")
+def _(t):
+    return A.edge_page(A.named_edges(t.edge, t.person), 10, 30).select("network_id", "edge_id", "place", "total")
+
+
+@query("d1_hydrate", f"SELECT network_id, person_id, name, is_me, {ATTRS} FROM person")
+def _(t):
+    full = A.hydrate(t.person, A.long_attributes(t.person))
+    return full.select("network_id", "person_id", "name", "is_me", "tags", "skills", "companies", "cities", "needs")
+
+
+@query("d1_long_attributes", """SELECT network_id, person_id, kind, i - 1 AS ord, list[i] AS value FROM (SELECT *, unnest(generate_series(1, len(list))) AS i FROM (
+  SELECT network_id, person_id, 'tags' AS kind, tags AS list FROM person UNION ALL SELECT network_id, person_id, 'skills', skills FROM person
+  UNION ALL SELECT network_id, person_id, 'companies', companies FROM person UNION ALL SELECT network_id, person_id, 'cities', cities FROM person
+  UNION ALL SELECT network_id, person_id, 'needs', needs FROM person))""")
+def _(t):
+    return A.long_attributes(t.person)
+
+
+@query("d7_strength_to_me", "SELECT network_id, person_id, strength_to_me FROM s2me")
+def _(t):
+    return A.strength_to_me(t.edge, t.me)
+
+
+@query("d8_neighbourhood", """SELECT h.network_id, from_id AS person_id, to_id AS neighbour_id, p.name AS neighbour, strength, context, frequency, edge_id, p.is_me AS is_me_edge
+  FROM hop h JOIN person p ON p.network_id = h.network_id AND p.person_id = to_id""")
+def _(t):
+    return A.neighbourhood(t.edge, t.person)
+
+
+_TICKETS = """tickets AS (SELECT event_id AS ticket_id, 'n' || c_nationkey AS network_id, CASE WHEN event_id % 10 = 0 THEN -1000 - event_id ELSE c_custkey END AS person_id
+  FROM events JOIN customer ON c_custkey = user_id WHERE event_type = 'error')"""
+
+
+def _tickets(t):
+    e, c = t.raw("events").filter("event_type = 'error'"), t.raw("customer")
+    return e.join(c, e.user_id == c.c_custkey).select(
+        F.col("event_id").alias("ticket_id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("network_id"),
+        F.when(F.col("event_id") % 10 == 0, -1000 - F.col("event_id")).otherwise(F.col("c_custkey")).alias("person_id"),
+    )
+
+
+SCRUB = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce({0}, ''), '\b\d{{17}}[\dXx]\b', '[REDACTED_ID]', 'g'),
+  '\b\d{{16,19}}\b', '[REDACTED_CARD]', 'g'), '\b(1\d{{2}})\d{{4}}(\d{{4}})\b', '\1****\2', 'g'),
+  '\b([A-Za-z0-9])[A-Za-z0-9._%+-]*@([A-Za-z0-9.-]+\.[A-Za-z]{{2,}})\b', '\1***@\2', 'g')"""
+
+
+@query("d9_snapshot_people", f"""WITH {_TICKETS} SELECT ticket_id, t.network_id, t.person_id, c.person_id IS NULL AS missing, c.name,
+  CASE WHEN c.person_id IS NOT NULL THEN {SCRUB.format('bio')} END AS bio, array_to_string(tags, '|') AS tags, c.is_wishlist,
+  s.strength AS me_strength, s.frequency AS me_frequency, s.context AS me_context
+  FROM tickets t LEFT JOIN contact c USING (network_id, person_id) LEFT JOIN me m ON m.network_id = t.network_id
+  LEFT JOIN pair s ON s.network_id = t.network_id AND s.low_id = m.me_id AND s.high_id = t.person_id""")
+def _(t):
+    return A.snapshot_people(_tickets(t), t.person, t.edge).drop("notes", "skills", "companies", "cities")
+
+
+@query("d9_snapshot_neighbours", f"""WITH {_TICKETS} SELECT ticket_id, t.network_id, t.person_id, to_id AS neighbour_id, p.name AS neighbour, strength, frequency
+  FROM tickets t JOIN hop h ON h.network_id = t.network_id AND h.from_id = t.person_id JOIN contact p ON p.network_id = h.network_id AND p.person_id = to_id""")
+def _(t):
+    return A.snapshot_neighbours(_tickets(t), t.person, t.edge)
+
+
+# ----------------------------------------------------------------------- display and export
+
+
+def _like_any(words) -> str:
+    return "(" + " OR ".join(f"contains(hay, '{w.lower()}')" for w in words) + ")"
+
+
+INDUSTRY = "CASE " + " ".join(f"WHEN {_like_any(words)} THEN '{label}'" for label, words, _ in V.INDUSTRIES) + f" ELSE '{V.OTHER_INDUSTRY[0]}' END"
+COLOUR = "CASE industry WHEN '我' THEN '#f7f8f8' " + " ".join(f"WHEN '{label}' THEN '{c}'" for label, _, c in V.INDUSTRIES) + " ELSE '#747882' END"
+_IND = f"""ind AS (SELECT *, CASE WHEN is_me THEN '我' ELSE {INDUSTRY} END AS industry FROM (
+  SELECT *, lower(concat_ws(' ', array_to_string(tags, ' '), array_to_string(companies, ' '), coalesce(bio, ''), coalesce(notes, ''))) AS hay FROM person))"""
+
+
+@query("b11_industry", f"WITH {_IND} SELECT network_id, person_id, industry FROM ind")
+def _(t):
+    return t.person.select("network_id", "person_id", Q.industry(me_aware=True).alias("industry"))
+
+
+@query("b11_industry_of_needs", f"""SELECT doc_id, {INDUSTRY} AS industry FROM (SELECT doc_id, lower(
+  (['','私募基金 ','算法与 ','处长 ','渠道 ','创始人 ','教授 ','医师 ','建材 '])[doc_id % 9 + 1] || text) AS hay FROM documents)""")
+def _(t):
+    words = F.array(*[F.lit(w) for w in ("", "私募基金 ", "算法与 ", "处长 ", "渠道 ", "创始人 ", "教授 ", "医师 ", "建材 ")])
+    none = F.array().cast("array<string>")
+    rows = t.raw("documents").select(
+        "doc_id", none.alias("tags"), none.alias("companies"), F.lit(None).cast("string").alias("notes"),
+        F.concat(F.element_at(words, (F.col("doc_id") % 9 + 1).cast("int")), "text").alias("bio"),
+    )
+    return rows.select("doc_id", Q.industry().alias("industry"))
+
+
+@query("b12_display_weights", """--forest 3 4
+WITH onp AS (SELECT DISTINCT network_id, unnest(path) AS person_id FROM forest WHERE kind = 'indirect')
+SELECT p.network_id, p.person_id, CASE WHEN is_me THEN 38 ELSE 14 + 4 * coalesce(strength_to_me, 1) END + CASE WHEN o.person_id IS NOT NULL THEN 10 ELSE 0 END AS size,
+  round((1.5e0 + strength_to_me * 1.2e0) * CASE WHEN o.person_id IS NOT NULL THEN 1.8e0 ELSE 1e0 END, 6) AS width, round(0.12e0 + strength_to_me * 0.06e0, 6) AS alpha
+FROM person p LEFT JOIN s2me s USING (network_id, person_id) LEFT JOIN onp o USING (network_id, person_id)""")
+def _(t):
+    on = t.forest().filter("kind = 'indirect'").select("network_id", F.explode("path").alias("person_id")).distinct().withColumn("on", F.lit(True))
+    rows = t.person.join(A.strength_to_me(t.edge, t.me), ["network_id", "person_id"], "left").join(on, ["network_id", "person_id"], "left")
+    s, hot = F.col("strength_to_me"), F.coalesce("on", F.lit(False))
+    return rows.select("network_id", "person_id", Q.node_size(s, F.col("is_me"), hot, 38).alias("size"),
+                       Q.edge_width(s, hot).alias("width"), Q.edge_alpha(s).alias("alpha"))
+
+
+_NODE = f"""{_IND}, node AS (SELECT i.*, {COLOUR} AS colour, CASE WHEN is_me THEN 42 ELSE 14 + 4 * coalesce(strength_to_me, 1) END AS size, strength_to_me
+  FROM ind i LEFT JOIN s2me s USING (network_id, person_id))"""
+
+
+@query("a8_graph_nodes", f"WITH {_NODE} SELECT network_id, person_id, name, industry, colour, size, is_me, is_wishlist, strength_to_me, bio, notes, {ATTRS} FROM node")
+def _(t):
+    return A.graph_nodes(t.person, t.edge)
+
+
+@query("a8_graph_edges", """SELECT network_id, 'e_' || least(source_id, target_id) || '_' || greatest(source_id, target_id) AS edge_key, source_id, target_id, strength,
+  context, frequency, round(1.5e0 + strength * 1.2e0, 6) AS width, round(0.12e0 + strength * 0.06e0, 6) AS alpha FROM edge""")
+def _(t):
+    return A.graph_edges(t.edge)
+
+
+_VIS = f"""{_NODE}, vis AS (SELECT * FROM node WHERE (is_me OR industry IN ('其他', '技术研发')) AND (is_me OR coalesce(strength_to_me, 0) >= 2)
+  AND contains(h2, 'nation_1') AND contains(h2, 'u'))"""
+_VIS = _VIS.replace("FROM node WHERE", "FROM (SELECT *, lower(concat_ws(' ', name, bio, notes, array_to_string(tags, ' '), array_to_string(companies, ' '), array_to_string(cities, ' '), array_to_string(skills, ' '), array_to_string(needs, ' '))) AS h2 FROM node) WHERE")
+
+
+@query("c4_visible_nodes", f"WITH {_VIS} SELECT network_id, person_id, name, industry FROM vis")
+def _(t):
+    return A.visible_nodes(A.graph_nodes(t.person, t.edge), ["其他", "技术研发"], 2, " Nation_1 u").select("network_id", "person_id", "name", "industry")
+
+
+@query("c4_visible_edges", f"""WITH {_VIS} SELECT e.network_id, e.edge_id FROM edge e JOIN vis a ON a.network_id = e.network_id AND a.person_id = source_id AND NOT a.is_me
+  JOIN vis b ON b.network_id = e.network_id AND b.person_id = target_id AND NOT b.is_me""".replace("coalesce(strength_to_me, 0) >= 2", "coalesce(strength_to_me, 0) >= 0"))
+def _(t):
+    nodes = A.visible_nodes(A.graph_nodes(t.person, t.edge), ["其他", "技术研发"], 0, " Nation_1 u")
+    return A.visible_edges(t.edge, nodes).select("network_id", "edge_id")
+
+
+@query("g5_ambient_labels", f"""WITH {_NODE} SELECT network_id, person_id FROM (SELECT *, row_number() OVER (PARTITION BY network_id, is_me ORDER BY coalesce(strength_to_me, 0) DESC, size DESC, person_id) AS r FROM node)
+  WHERE is_me OR r <= 5 OR coalesce(strength_to_me, 0) >= 5""")
+def _(t):
+    return A.ambient_labels(A.graph_nodes(t.person, t.edge))
+
+
+@query("b15_summary_cards", f"""WITH {_IND}, deg AS (SELECT network_id, from_id AS person_id, count(*) AS n FROM hop GROUP BY ALL)
+SELECT i.network_id, i.person_id, name, industry, coalesce(strength_to_me, 0) AS strength,
+  CASE WHEN is_me THEN '你的网络中心 · 从这里发起搜索' WHEN len(companies) > 0 AND len(cities) > 0 THEN companies[1] || ' · ' || cities[1] WHEN len(companies) > 0 THEN companies[1]
+       WHEN len(cities) > 0 THEN cities[1] ELSE '' END AS headline,
+  CASE WHEN is_me THEN '输入一句话目标，看推荐路径与引荐链' WHEN len(needs) > 0 THEN '可能在找：' || array_to_string(needs[1:2], ' · ') WHEN len(skills) > 0 THEN '可聊：' || array_to_string(skills[1:2], ' · ')
+       WHEN len(tags) > 0 THEN '关联：' || array_to_string(tags[1:2], ' · ') ELSE '' END AS reason, coalesce(n, 0) AS neighbours
+FROM ind i LEFT JOIN s2me s USING (network_id, person_id) LEFT JOIN deg d USING (network_id, person_id)""")
+def _(t):
+    return A.summary_cards(t.person, t.edge)
+
+
+@query("a9_registry", "SELECT p.network_id, count(*) FILTER (WHERE NOT is_me) AS contacts, min(CASE WHEN is_me THEN person_id END) AS me_id, any_value(n_name) AS display_name FROM person p JOIN nation ON 'n' || n_nationkey = network_id GROUP BY 1")
+def _(t):
+    names = t.raw("nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("network_id"), F.col("n_name").alias("display_name"))
+    return A.registry(t.person, names)
+
+
+# ------------------------------------------------------------------------------ statistics
+
+
+@query("e5_company_headcount", "SELECT network_id, company, count(*) AS headcount FROM (SELECT network_id, person_id, unnest(companies) AS company FROM person) GROUP BY ALL")
+def _(t):
+    return A.company_headcount(t.person)
+
+
+@query("e6_totals", """SELECT p.network_id, count(*) FILTER (WHERE NOT is_me) AS total_contacts, (SELECT count(*) FROM edge e WHERE e.network_id = p.network_id) AS total_relationships FROM person p GROUP BY ALL""")
+def _(t):
+    return A.totals(t.person, t.edge)
+
+
+@query("e7_by_industry", f"WITH {_IND} SELECT network_id, industry, count(*) AS n FROM ind WHERE NOT is_me GROUP BY ALL")
+def _(t):
+    return A.by_industry(t.person)
+
+
+@query("e8_by_strength", "SELECT network_id, strength_to_me, count(*) AS n FROM s2me GROUP BY ALL")
+def _(t):
+    return A.by_strength(t.edge, t.person)
+
+
+_TOP = """SELECT network_id, value, n, place FROM (SELECT *, row_number() OVER (PARTITION BY network_id ORDER BY n DESC, value) AS place FROM (
+  SELECT network_id, value, count(*) AS n FROM (SELECT network_id, unnest({0}) AS value FROM contact) GROUP BY ALL)) WHERE place <= 8"""
+
+
+@query("e9_top_companies", _TOP.format("companies"))
+def _(t):
+    return A.top_values(t.person, "companies")
+
+
+@query("e9_top_cities", _TOP.format("cities"))
+def _(t):
+    return A.top_values(t.person, "cities")
+
+
+_MEMBER = "member AS (SELECT DISTINCT network_id, person_id, trim(unnest(companies)) AS company FROM contact)"
+
+
+@query("e10_clique_summary", f"""WITH {_MEMBER}, size AS (SELECT network_id, company, count(*) AS n FROM member GROUP BY ALL HAVING n >= 2)
+  SELECT network_id, count(*) AS companies, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS pairs FROM size GROUP BY ALL""")
+def _(t):
+    return A.clique_summary(t.person)
+
+
+@query("e10_tag_cliques", """WITH member AS (SELECT DISTINCT network_id, person_id, unnest(tags || skills) AS company FROM contact WHERE person_id >= 1000000000),
+  size AS (SELECT network_id, company, count(*) AS n FROM member GROUP BY ALL HAVING n >= 2)
+  SELECT s.network_id, count(*) AS companies, any_value(pairs) AS pairs FROM size s JOIN (SELECT a.network_id, count(DISTINCT a.person_id || '-' || b.person_id) AS pairs FROM member a JOIN member b USING (network_id, company) WHERE a.person_id < b.person_id GROUP BY ALL) p USING (network_id) GROUP BY ALL""")
+def _(t):
+    """Suppliers by shared tags and skills: many values per person, so both counting ways are used."""
+    rows = t.person.filter("person_id >= 1000000000").withColumn("companies", F.concat("tags", "skills"))
+    return A.clique_summary(rows)
+
+
+@query("e10_top_cliques", f"""WITH {_MEMBER} SELECT network_id, company, members, place FROM (SELECT *, row_number() OVER (PARTITION BY network_id ORDER BY members DESC, company) AS place FROM (
+  SELECT network_id, company, count(*) AS members FROM member GROUP BY ALL HAVING members >= 2)) WHERE place <= 10""")
+def _(t):
+    return A.top_cliques(t.person)
+
+
+@query("d4_colleague_pairs", f"WITH {_MEMBER} SELECT DISTINCT a.network_id, a.person_id AS low_id, b.person_id AS high_id FROM member a JOIN member b USING (network_id, company) WHERE a.person_id < b.person_id")
+def _(t):
+    return A.colleague_pairs(t.person)
+
+
+@query("j7_colleague_edges", f"""WITH {_MEMBER}, pairs AS (SELECT DISTINCT a.network_id, a.person_id AS source_id, b.person_id AS target_id FROM member a JOIN member b USING (network_id, company) WHERE a.person_id < b.person_id)
+  SELECT network_id, source_id, target_id, strength, context, frequency, source FROM edge
+  UNION ALL SELECT network_id, source_id, target_id, 4, '同事', 'monthly', 'colleague_inferred' FROM pairs ANTI JOIN edge USING (network_id, source_id, target_id)""")
+def _(t):
+    from tieweave.plans.building import infer_colleagues
+
+    return infer_colleagues(t.person, t.edge).select("network_id", "source_id", "target_id", "strength", "context", "frequency", "source")
+
+
+@query("d10_proposal_context", """SELECT q.low_id, q.high_id, q.network_id, p.edge_id, p.strength FROM (
+   SELECT DISTINCT network_id, least(source_id, target_id) AS low_id, greatest(source_id, target_id) + (edge_id % 2) AS high_id FROM edge) q
+   LEFT JOIN pair p USING (network_id, low_id, high_id)""")
+def _(t):
+    from tieweave.operators.enrichment import attach_existing
+
+    asked = t.edge.select(
+        "network_id", F.least("source_id", "target_id").alias("low_id"),
+        (F.greatest("source_id", "target_id") + F.col("edge_id") % 2).alias("high_id"),
+    ).distinct()
+    return attach_existing(asked, undirected(t.edge)).select("network_id", "low_id", "high_id", "edge_id", F.col("existing_strength").alias("strength"))
