@@ -11,6 +11,7 @@ from tieweave.operators.analytics import NET, colleague_pairs, me_rows
 from tieweave.operators.folding import merge_people, pair_choice, replace_people, upsert_edges
 from tieweave.operators.ranking import positions
 from tieweave.schema import ATTRIBUTES
+from tieweave.session import cut
 from tieweave.sources.contacts import peer_mentions
 
 EDGE_COLUMNS = ["network_id", "source_id", "target_id", "strength", "context", "frequency", "source", "seq"]
@@ -117,7 +118,8 @@ def build_network(
     batches the provenance fold does.
     """
     me = me_rows(existing)
-    people = assign_ids(with_existing(rows, existing, mode), existing)
+    # Every edge batch joins the people, so they are folded and numbered once.
+    people = cut(assign_ids(with_existing(rows, existing, mode), existing))
     batches = [owner_edges(rows, people, me)]
     lost = []
     if "peers" in rows.columns:

@@ -1 +1,369 @@
+"""Readers, cleaning and network construction."""
+
+from pyspark.sql import functions as F
+
+from tieweave.functions import people as Q
+from tieweave.functions import text as X
+from tieweave.functions import values as V
+from tieweave.operators import analytics as A
+from tieweave.operators.folding import merge_people, pair_choice, replace_people, upsert_edges
+from tieweave.operators.ranking import positions
+from tieweave.plans import building as P
+from tieweave.plans.registered.base import query
+from tieweave.sources import contacts as C
+
+
+NAME = lambda c: F.concat(F.lit("Person#"), c.cast("string"))
+
+# One profile row per order: ten or so rows per name, mixed separators, odd strengths.
+_TRUST = ["0", "1", "2", "3", "4", "5", "7", "", "x"]
+
+
+def raw_sheet(t):
+    o = t.raw("orders")
+    cust, key = F.col("o_custkey"), F.col("o_orderkey")
+    peers = F.concat(
+        NAME(cust + 25), F.lit("("), (key % 7).cast("string"), F.lit("，"), F.col("o_orderstatus"), F.lit("); "),
+        NAME(cust + 50), F.lit("（"), F.lower("o_orderpriority"), F.lit("）；"), NAME(cust + 75),
+    )
+    return o.select(
+        F.concat(F.lit("n"), (cust % 25).cast("string")).alias("network_id"), key.alias("seq"),
+        F.concat(F.lit(" "), NAME(cust), F.lit("　")).alias("姓　名"),
+        F.concat(F.col("o_orderpriority"), F.lit("，"), F.col("o_orderstatus"), F.lit("/ "), F.col("o_orderpriority")).alias("所属行业"),
+        F.concat(F.lit("Lead "), (key % 3).cast("string")).alias("职务"),
+        F.when(key % 4 == 0, F.concat(F.lit("Firm"), (cust % 40).cast("string"), F.lit("；Firm"), (key % 11).cast("string"))).otherwise("nan").alias("公司"),
+        F.concat(F.lit("City"), (key % 5).cast("string")).alias("城市"),
+        F.element_at(F.array(*[F.lit(x) for x in _TRUST]), (key % 9 + 1).cast("int")).alias("可信度（言行一致性 0-5分）"),
+        (key % 6).cast("string").alias("合作价值评分（0-5）"),
+        F.when(key % 5 == 0, F.concat(F.lit("need"), (cust % 3).cast("string"), F.lit("、need"), (key % 4).cast("string"))).alias("潜在需求"),
+        F.when(key % 3 == 0, F.lit(" - ")).otherwise(F.concat(F.lit("note "), key.cast("string"))).alias("备注"),
+        F.when(key % 2 == 0, peers).alias("认识"),
+        F.when(key % 10 == 0, F.lit("extra")).alias("多余列"),
+    )
+
+
+def sheet(t):
+    return C.clean_profiles(C.normalise_headers(raw_sheet(t))[0])
+
+
+_S = """sheet AS (SELECT 'n' || (o_custkey % 25) AS network_id, o_orderkey AS seq, 'Person#' || o_custkey AS name,
+  o_orderpriority AS p1, o_orderstatus AS p2, CASE WHEN o_orderpriority = o_orderstatus THEN [o_orderpriority] ELSE [o_orderpriority, o_orderstatus] END AS tags,
+  'Lead ' || (o_orderkey % 3) AS context,
+  CASE WHEN o_orderkey % 4 <> 0 THEN CAST([] AS VARCHAR[]) WHEN o_custkey % 40 = o_orderkey % 11 THEN ['Firm' || (o_custkey % 40)]
+       ELSE ['Firm' || (o_custkey % 40), 'Firm' || (o_orderkey % 11)] END AS companies,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'Firm' || (o_custkey % 40) || '；Firm' || (o_orderkey % 11) END AS firm_text,
+  'City' || (o_orderkey % 5) AS city,
+  CASE WHEN o_orderkey % 9 <= 5 THEN o_orderkey % 9 WHEN o_orderkey % 9 = 6 THEN 5 ELSE 3 END AS strength,
+  o_orderkey % 6 AS value,
+  CASE WHEN o_orderkey % 5 <> 0 THEN CAST([] AS VARCHAR[]) WHEN o_custkey % 3 = o_orderkey % 4 THEN ['need' || (o_custkey % 3)] ELSE ['need' || (o_custkey % 3), 'need' || (o_orderkey % 4)] END AS needs,
+  CASE WHEN o_orderkey % 3 <> 0 THEN 'note ' || o_orderkey END AS notes, o_custkey AS cust, o_orderstatus AS st, lower(o_orderpriority) AS pr FROM orders),
+ bioed AS (SELECT *, concat_ws(' · ', '行业：' || p1 || '，' || p2 || '/ ' || p1, '职务：' || context, '公司：' || firm_text, '城市：' || city, '合作价值：' || value || '/5') AS bio FROM sheet)"""
+
+
+@query("a2_profile_rows", f"WITH {_S} SELECT network_id, seq, name, context, strength, strength = 0 AS is_wishlist, notes, array_to_string(tags, '|') AS tags, array_to_string(companies, '|') AS companies, city AS cities, array_to_string(needs, '|') AS needs FROM bioed")
+def _(t):
+    return sheet(t).select("network_id", "seq", "name", "context", "strength", "is_wishlist", "notes", "tags", "companies", "cities", "needs")
+
+
+@query("a3_normalised_headers", "SELECT unnest(['network_id','seq','姓名','所属行业','职务','公司','城市','可信度(言行一致性0-5分)','合作价值(0-5)','潜在需求','备注','认识','多余列']) AS header, (SELECT count(*) FROM orders) AS n")
+def _(t):
+    renamed = C.normalise_headers(raw_sheet(t))[0]
+    names = F.array(*[F.lit(c) for c in renamed.columns])
+    return renamed.agg(F.count(F.lit(1)).alias("n")).select(F.explode(names).alias("header"), "n")
+
+
+@query("a4_ignored_columns", "SELECT '多余列' AS column_name, count(*) FILTER (WHERE o_orderkey % 10 = 0) AS filled FROM orders")
+def _(t):
+    return C.ignored_columns(C.normalise_headers(raw_sheet(t))[0])
+
+
+@query("b1_clean_cells", """SELECT doc_id, CASE WHEN lower(trim(w)) IN ('nan', 'none', 'null', '-', '') THEN NULL ELSE trim(w) END AS sheet_cell, CASE WHEN trim(w) <> '' THEN trim(w) END AS file_cell
+  FROM (SELECT doc_id, (['nan', ' None ', '-', ' ', ' ' || lang || ' ', 'null', source])[doc_id % 7 + 1] AS w FROM documents)""")
+def _(t):
+    words = F.array(F.lit("nan"), F.lit(" None "), F.lit("-"), F.lit(" "), F.concat(F.lit(" "), "lang", F.lit(" ")), F.lit("null"), F.col("source"))
+    w = F.element_at(words, (F.col("doc_id") % 7 + 1).cast("int"))
+    return t.raw("documents").select("doc_id", X.clean_cell(w).alias("sheet_cell"), X.blank_to_null(w).alias("file_cell"))
+
+
+@query("b2_split_lists", r"""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '[,，、;；/／\|｜]+'), lambda x: trim(x, chr(9) || chr(10) || chr(13) || ' ')), lambda x: x <> ''), '¦') AS items,
+  len(list_filter(string_split(text, ';'), lambda x: trim(x, chr(9) || chr(10) || chr(13) || ' ') <> '')) AS semicolon_items FROM documents""")
+def _(t):
+    rows = t.raw("documents").select("doc_id", X.split_multi(F.col("text")).alias("i"), X.split_semicolon(F.col("text")).alias("s"))
+    return rows.select("doc_id", F.array_join("i", "¦").alias("items"), F.size("s").alias("semicolon_items"))
+
+
+@query("b3_collect_attribute", f"WITH {_S} SELECT seq, array_to_string(list_filter([p1, p2, 'City' || (seq % 5)], lambda x: x IS NOT NULL), '|') AS items FROM sheet")
+def _(t):
+    rows = C.normalise_headers(raw_sheet(t))[0]
+    return rows.select("seq", X.collect_items([F.col("所属行业"), F.col("城市"), F.col("所属行业"), F.col("多余列").substr(9, 9)]).alias("items"))
+
+
+@query("b4_peer_entries", f"""WITH {_S}, half AS (SELECT network_id, seq, name, cust, seq % 7 AS k, st, pr FROM sheet WHERE seq % 2 = 0)
+  SELECT network_id, seq, name, 'Person#' || (cust + 25) AS peer, least(5, greatest(1, k)) AS strength, st AS context, 0 AS pos FROM half
+  UNION ALL SELECT network_id, seq, name, 'Person#' || (cust + 50), 3, pr, 1 FROM half UNION ALL SELECT network_id, seq, name, 'Person#' || (cust + 75), 3, NULL, 2 FROM half""")
+def _(t):
+    rows = C.peer_mentions(sheet(t))
+    return rows.select("network_id", F.col("seq.seq").alias("seq"), "name", "peer", "strength", "context", F.col("seq.at").alias("pos"))
+
+
+@query("b5_frequencies", """SELECT event_id, CASE WHEN w IN ('W', '每周', ' weekly') THEN 'weekly' WHEN w = '月' THEN 'monthly' WHEN w = 'q' THEN 'quarterly' WHEN w = 'Rare' THEN 'rare' ELSE 'yearly' END AS spelled,
+  CASE WHEN w = ' weekly' THEN 'weekly' WHEN w = 'Rare' THEN 'rare' ELSE 'yearly' END AS exact FROM (SELECT event_id, (['W', '每周', ' weekly', '月', 'q', 'Rare', 'often', event_type])[event_id % 8 + 1] AS w FROM events)""")
+def _(t):
+    words = F.array(*[F.lit(w) for w in ("W", "每周", " weekly", "月", "q", "Rare", "often")], F.col("event_type"))
+    w = F.element_at(words, (F.col("event_id") % 8 + 1).cast("int"))
+    return t.raw("events").select("event_id", X.frequency_from_spelling(w).alias("spelled"), X.frequency_exact(w).alias("exact"))
+
+
+@query("b6_strengths", """SELECT event_id, CASE WHEN regexp_matches(w, '^[+-]?\\d+$') THEN least(5, greatest(0, CAST(w AS HUGEINT)))::BIGINT ELSE 3 END AS sheet_strength,
+  CASE WHEN regexp_matches(w, '^[+-]?\\d+$') THEN CASE WHEN length(w) < 9 THEN CAST(w AS BIGINT) ELSE 3 END ELSE 3 END AS file_strength
+  FROM (SELECT event_id, trim((['0', ' 4', '-3', '+2', '9', '3.5', 'a', '00002', '99999999999', CAST(event_id AS VARCHAR)])[event_id % 10 + 1]) AS w FROM events)""".replace("\\\\", "\\"))
+def _(t):
+    words = F.array(*[F.lit(w) for w in ("0", " 4", "-3", "+2", "9", "3.5", "a", "00002", "99999999999")], F.col("event_id").cast("string"))
+    w = F.element_at(words, (F.col("event_id") % 10 + 1).cast("int"))
+    return t.raw("events").select("event_id", X.strength_0_5(w).alias("sheet_strength"), X.strength_unclamped(w).alias("file_strength"))
+
+
+@query("b7_composed_bio", f"WITH {_S} SELECT seq, bio FROM bioed")
+def _(t):
+    return sheet(t).select("seq", "bio")
+
+
+@query("b8_bio_pairs", f"""WITH {_S} SELECT seq, array_to_string(list_transform(string_split(bio, ' · '), lambda x: trim(split_part(x, '：', 1)) || '=' || trim(split_part(x, '：', 2))), '|') AS pairs FROM bioed""")
+def _(t):
+    pairs = X.bio_pairs(F.col("bio"))
+    return sheet(t).select("seq", F.transform(pairs, lambda p: F.concat(p["key"], F.lit("="), p["value"])).alias("pairs"))
+
+
+_EMBED = """concat_ws(' | ', name, CASE WHEN bio <> '' THEN bio END, CASE WHEN len(tags) > 0 THEN 'Tags: ' || array_to_string(tags, ', ') END,
+  CASE WHEN len(skills) > 0 THEN 'Skills: ' || array_to_string(skills, ', ') END, CASE WHEN len(companies) > 0 THEN 'Companies: ' || array_to_string(companies, ', ') END,
+  CASE WHEN len(cities) > 0 THEN 'Cities: ' || array_to_string(cities, ', ') END, CASE WHEN len(needs) > 0 THEN 'Needs: ' || array_to_string(needs, ', ') END)"""
+
+
+@query("b9_embed_text", f"SELECT network_id, person_id, {_EMBED} AS text FROM person")
+def _(t):
+    return t.person.select("network_id", "person_id", Q.embed_text().alias("text"))
+
+
+@query("b10_rerank_text", """SELECT network_id, person_id, concat_ws(' | ', name, CASE WHEN bio <> '' THEN substring(bio, 1, 400) END,
+  CASE WHEN len(tags) > 0 THEN '标签：' || array_to_string(tags[1:8], '、') END, CASE WHEN len(companies) > 0 THEN '公司：' || array_to_string(companies[1:6], '、') END,
+  CASE WHEN len(cities) > 0 THEN '城市：' || array_to_string(cities[1:3], '、') END) AS text FROM person""")
+def _(t):
+    return t.person.select("network_id", "person_id", Q.rerank_text().alias("text"))
+
+
+# --------------------------------------------------------------------------------- folds
+
+_ITEMS = """items AS (SELECT network_id, name, kind, value, min({{s: seq, p: pos}}) AS o FROM (
+   SELECT network_id, name, seq, 'tags' AS kind, unnest(tags) AS value, generate_subscripts(tags, 1) AS pos FROM sheet
+   UNION ALL SELECT network_id, name, seq, 'companies', unnest(companies), generate_subscripts(companies, 1) FROM sheet
+   UNION ALL SELECT network_id, name, seq, 'cities', city, 1 FROM sheet
+   UNION ALL SELECT network_id, name, seq, 'needs', unnest(needs), generate_subscripts(needs, 1) FROM sheet) GROUP BY ALL),
+ lists AS (SELECT network_id, name, list(value ORDER BY o) FILTER (WHERE kind = 'tags') AS tags, list(value ORDER BY o) FILTER (WHERE kind = 'companies') AS companies,
+   list(value ORDER BY o) FILTER (WHERE kind = 'cities') AS cities, list(value ORDER BY o) FILTER (WHERE kind = 'needs') AS needs FROM items GROUP BY ALL),
+ merged AS (SELECT b.network_id, b.name, min(seq) AS first_seq, arg_max(bio, seq) AS bio, arg_max(notes, seq) FILTER (WHERE notes IS NOT NULL) AS notes, bool_or(strength = 0) AS is_wishlist,
+   coalesce(array_to_string(any_value(l.tags), '|'), '') AS tags, coalesce(array_to_string(any_value(l.companies), '|'), '') AS companies, coalesce(array_to_string(any_value(l.cities), '|'), '') AS cities, coalesce(array_to_string(any_value(l.needs), '|'), '') AS needs
+   FROM bioed b JOIN lists l USING (network_id, name) GROUP BY b.network_id, b.name)""".replace("{{", "{").replace("}}", "}")
+
+
+@query("e1_merge_people", f"WITH {_S}, {_ITEMS} SELECT * FROM merged")
+def _(t):
+    return merge_people(sheet(t)).drop("skills")
+
+
+@query("e2_replace_people", f"""WITH {_S}, last AS (SELECT network_id, name, min(seq) AS first_seq, max(seq) AS seq FROM sheet GROUP BY ALL)
+  SELECT b.network_id, b.name, l.first_seq, b.notes, b.strength, array_to_string(b.companies, '|') AS companies FROM last l JOIN bioed b USING (network_id, name, seq)""")
+def _(t):
+    return replace_people(sheet(t)).select("network_id", "name", "first_seq", "notes", "strength", "companies")
+
+
+_EV = """ev AS (SELECT user_id AS source_id, 1000 + CAST(json_extract_string(props, '$.k') AS BIGINT) AS target_id, CAST(floor(value) AS BIGINT) % 5 + 1 AS strength, event_type AS context,
+  CASE WHEN event_type IN ('purchase', 'signup') THEN 'manual' WHEN event_type IN ('click', 'view') THEN 'colleague_inferred' ELSE 'ai_inferred' END AS source,
+  CASE WHEN event_type IN ('purchase', 'signup') THEN 2 WHEN event_type IN ('click', 'view') THEN 1 ELSE 0 END AS prio, ts, event_id FROM events)"""
+EDGE_STATE = f"""WITH {_EV} SELECT 'events' AS network_id, source_id, target_id, arg_max(strength, o) AS strength, arg_max(context, o) AS context, 'yearly' AS frequency, arg_max(source, o) AS source
+  FROM (SELECT *, {{p: prio, t: ts, e: event_id}} AS o FROM ev) GROUP BY source_id, target_id"""
+
+
+@query("e3_edge_upsert", EDGE_STATE)
+def _(t):
+    return upsert_edges(t.changes)
+
+
+@query("j11_drop_guessed_edges", EDGE_STATE.replace("FROM (SELECT *", "FROM (SELECT *") + " HAVING arg_max(source, o) <> 'ai_inferred'")
+def _(t):
+    from tieweave.operators.folding import drop_ai_edges
+
+    return drop_ai_edges(upsert_edges(t.changes))
+
+
+_PAIRS = f"""WITH {_EV} SELECT 'events' AS network_id, least(source_id, target_id) AS low_id, greatest(source_id, target_id) AS high_id, {{0}}(strength, {{{{t: ts, e: event_id}}}}) AS strength, {{0}}(context, {{{{t: ts, e: event_id}}}}) AS context FROM ev GROUP BY ALL"""
+
+
+@query("f6_first_mention", _PAIRS.format("arg_min"))
+def _(t):
+    return pair_choice(t.changes, "source_id", "target_id", "seq", last=False).select("network_id", "low_id", "high_id", "strength", "context")
+
+
+@query("f6_last_mention", _PAIRS.format("arg_max"))
+def _(t):
+    return pair_choice(t.changes, "source_id", "target_id", "seq", last=True).select("network_id", "low_id", "high_id", "strength", "context")
+
+
+# ------------------------------------------------------------------------- construction
+
+
+def _owners(t):
+    return t.person.filter("is_me")
+
+
+def relation_sheet(t):
+    """Relation rows from the events: some names unknown, pairs repeated."""
+    e = t.raw("events")
+    u, k = F.col("user_id"), F.get_json_object("props", "$.k").cast("long")
+    return e.select(
+        F.concat(F.lit("n"), (u % 25).cast("string")).alias("network_id"), F.col("event_id").alias("seq"), NAME(u).alias("甲"),
+        NAME(u + 25 * (k % 4)).alias("target"), (k % 8).cast("string").alias("强度"), F.col("event_type").alias("描述"),
+        F.element_at(F.array(*[F.lit(x) for x in ("每周", "m", "q")]), (k % 3 + 1).cast("int")).alias("频率"),
+    )
+
+
+_R = """rel AS (SELECT 'n' || (user_id % 25) AS network_id, event_id AS seq, 'Person#' || user_id AS name, 'Person#' || (user_id + 25 * (k % 4)) AS peer,
+  least(5, greatest(1, k % 8)) AS strength, event_type AS context, (['weekly', 'monthly', 'quarterly'])[k % 3 + 1] AS frequency
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"""
+
+
+@query("a5_relation_rows", f"WITH {_R} SELECT * FROM rel")
+def _(t):
+    return C.read_relations(relation_sheet(t))
+
+
+_PEERED = f"""{_S}, {_ITEMS}, {_R},
+ numbered AS (SELECT *, row_number() OVER (PARTITION BY network_id ORDER BY first_seq, name) AS person_id FROM merged),
+ mention AS (SELECT network_id, seq, 0 AS pos, name, 'Person#' || (cust + 25) AS peer, least(5, greatest(1, seq % 7)) AS strength, st AS context, 'yearly' AS frequency FROM sheet WHERE seq % 2 = 0
+   UNION ALL SELECT network_id, seq, 1, name, 'Person#' || (cust + 50), 3, pr, 'yearly' FROM sheet WHERE seq % 2 = 0
+   UNION ALL SELECT network_id, seq, 2, name, 'Person#' || (cust + 75), 3, NULL, 'yearly' FROM sheet WHERE seq % 2 = 0),
+ pm AS (SELECT m.*, a.person_id AS a_id, b.person_id AS b_id FROM mention m LEFT JOIN numbered a ON a.network_id = m.network_id AND a.name = m.name LEFT JOIN numbered b ON b.network_id = m.network_id AND b.name = m.peer),
+ rm AS (SELECT r.*, a.person_id AS a_id, b.person_id AS b_id FROM rel r LEFT JOIN numbered a ON a.network_id = r.network_id AND a.name = r.name LEFT JOIN numbered b ON b.network_id = r.network_id AND b.name = r.peer),
+ owner AS (SELECT 'n' || n_nationkey AS network_id, CAST(-(n_nationkey + 1) AS BIGINT) AS me_id FROM nation),
+ me_w AS (SELECT o.network_id, me_id AS source_id, person_id AS target_id, arg_max(s.strength, s.seq) AS strength, arg_max(s.context, s.seq) AS context, 'yearly' AS frequency, 'manual' AS source, 1 AS step
+   FROM sheet s JOIN numbered n ON n.network_id = s.network_id AND n.name = s.name JOIN owner o ON o.network_id = s.network_id WHERE s.strength > 0 GROUP BY ALL),
+ peer_w AS (SELECT network_id, least(a_id, b_id) AS source_id, greatest(a_id, b_id) AS target_id, arg_min(strength, {{s: seq, p: pos}}) AS strength,
+   arg_min({{c: context}}, {{s: seq, p: pos}}).c AS context, 'yearly' AS frequency, 'manual' AS source, 2 AS step FROM pm WHERE a_id <> b_id GROUP BY ALL),
+ rel_w AS (SELECT network_id, least(a_id, b_id) AS source_id, greatest(a_id, b_id) AS target_id, arg_max(strength, seq) AS strength, arg_max(context, seq) AS context, arg_max(frequency, seq) AS frequency,
+   'manual' AS source, 3 AS step FROM rm WHERE a_id <> b_id GROUP BY ALL),
+ member AS (SELECT n.network_id, n.person_id, unnest(string_split(n.companies, '|')) AS company FROM numbered n WHERE n.companies <> ''),
+ col_w AS (SELECT DISTINCT a.network_id, a.person_id AS source_id, b.person_id AS target_id, 4 AS strength, '同事' AS context, 'monthly' AS frequency, 'colleague_inferred' AS source, 4 AS step
+   FROM member a JOIN member b ON a.network_id = b.network_id AND a.company = b.company AND a.person_id < b.person_id),
+ writes AS (SELECT *, 2 AS prio FROM me_w UNION ALL SELECT *, 2 FROM peer_w UNION ALL SELECT *, 2 FROM rel_w UNION ALL SELECT *, 1 FROM col_w),
+ built AS (SELECT network_id, source_id, target_id, arg_max({{s: strength, c: context, f: frequency, o: source}}, {{p: prio, s: step}}) AS w FROM writes GROUP BY ALL)""".replace("{{", "{").replace("}}", "}")
+
+
+def _built(t):
+    return P.build_network(sheet(t), _owners(t), relations=C.read_relations(relation_sheet(t)))
+
+
+@query("d3_unresolved_peers", f"WITH {_PEERED} SELECT network_id, name, peer, count(*) AS n FROM (SELECT network_id, name, peer FROM pm WHERE a_id IS NULL OR b_id IS NULL UNION ALL SELECT network_id, name, peer FROM rm WHERE a_id IS NULL OR b_id IS NULL) GROUP BY ALL")
+def _(t):
+    return _built(t).unresolved.groupBy("network_id", "name", "peer").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("h1_built_edges", f"WITH {_PEERED} SELECT network_id, source_id, target_id, w.s AS strength, w.c AS context, w.f AS frequency, w.o AS source FROM built")
+def _(t):
+    return _built(t).edges
+
+
+@query("e1_built_people", f"WITH {_PEERED} SELECT network_id, person_id, name, is_wishlist, companies FROM numbered UNION ALL SELECT network_id, person_id, name, FALSE, '' FROM person WHERE is_me")
+def _(t):
+    return _built(t).people.select("network_id", "person_id", "name", "is_wishlist", "companies")
+
+
+@query("e12_import_statistics", f"""WITH {_PEERED} SELECT s.network_id, s.people, coalesce(p.n, 0) + coalesce(r.n, 0) AS peer_edges, coalesce(c.n, 0) AS colleague_edges FROM (SELECT network_id, count(*) AS people FROM sheet GROUP BY 1) s
+  LEFT JOIN (SELECT network_id, count(*) AS n FROM peer_w GROUP BY 1) p USING (network_id) LEFT JOIN (SELECT network_id, count(*) AS n FROM rel_w GROUP BY 1) r USING (network_id) LEFT JOIN (SELECT network_id, count(*) AS n FROM col_w GROUP BY 1) c USING (network_id)""")
+def _(t):
+    return _built(t).stats
+
+
+# ---------------------------------------------------------------- files and old layouts
+
+
+def _round_trip(t, name, df, fmt="csv"):
+    """Write a sheet as files below the work folder, as an export would."""
+    import hashlib
+
+    from tieweave.session import work_path
+
+    path = work_path(t.spark, "export", hashlib.sha1(t.sf.encode()).hexdigest()[:12], name)
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True)
+    writer.format(fmt).save(path)
+    return path
+
+
+@query("a1_contact_file", """SELECT 'n' || (c_custkey % 25) AS network_id, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'bio ' || c_mktsegment END AS bio,
+  array_to_string(CASE WHEN c_custkey % 2 = 0 THEN [c_mktsegment, 'x'] ELSE [c_mktsegment] END, '|') AS tags, CASE WHEN c_custkey % 4 = 3 THEN 3 ELSE c_custkey % 10 END AS strength,
+  CASE WHEN c_custkey % 5 = 0 THEN 'weekly' ELSE 'yearly' END AS frequency FROM customer WHERE c_custkey % 7 <> 0""")
+def _(t):
+    k = F.col("c_custkey")
+    out = t.raw("customer").select(
+        F.when(k % 7 != 0, F.concat(F.lit(" "), "c_name")).otherwise(" ").alias("name"),
+        F.when(k % 3 == 0, F.lit(" ")).otherwise(F.concat(F.lit("bio "), "c_mktsegment")).alias("bio"),
+        F.when(k % 2 == 0, F.concat("c_mktsegment", F.lit("; x;"))).otherwise(F.col("c_mktsegment")).alias("tags"),
+        F.when(k % 4 == 3, F.lit("n/a")).otherwise((k % 10).cast("string")).alias("strength"),
+        F.when(k % 5 == 0, F.lit("Weekly")).otherwise("often").alias("frequency"), (k % 25).cast("string").alias("owner"),
+    )
+    raw = C.read_table(t.spark, _round_trip(t, "contacts", out)).withColumn("network_id", F.concat(F.lit("n"), "owner"))
+    return C.clean_contacts(raw).select("network_id", "name", "bio", "tags", "strength", "frequency")
+
+
+@query("c8_contact_rows_refused", "SELECT c_name AS name, c_custkey % 10 AS strength FROM customer WHERE c_custkey % 10 NOT BETWEEN 1 AND 5")
+def _(t):
+    from tieweave.operators.validation import split_contact_rows
+
+    rows = t.raw("customer").select(F.lit("n").alias("network_id"), F.col("c_custkey").alias("seq"), F.col("c_name").alias("name"), (F.col("c_custkey") % 10).cast("string").alias("strength"))
+    return split_contact_rows(C.clean_contacts(rows))[1].select("name", "strength")
+
+
+@query("a2_profile_file_rows", f"WITH {_S} SELECT network_id, name, count(*) AS n, sum(CASE WHEN strength = 0 THEN 1 ELSE 0 END)::BIGINT AS wishes, max(bio) AS bio FROM bioed GROUP BY ALL")
+def _(t):
+    path = _round_trip(t, "profiles", raw_sheet(t).drop("seq"))
+    back = C.clean_profiles(C.normalise_headers(C.read_table(t.spark, path))[0])
+    return back.groupBy("network_id", "name").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_wishlist").alias("wishes"), F.max("bio").alias("bio"))
+
+
+@query("a7_legacy_basic", """SELECT CAST(c_custkey AS VARCHAR) AS no, c_name AS name, c_mktsegment AS industry, CASE WHEN c_custkey % 2 = 0 THEN '能量: ' || c_nationkey ELSE '' END AS notes, CAST(c_nationkey % 6 AS VARCHAR) AS trust FROM customer""")
+def _(t):
+    old = t.raw("customer").select(
+        F.col("c_custkey").alias("序号"), F.concat("c_name", F.lit(" ")).alias("姓名"), F.col("c_mktsegment").alias("所属行业"), F.lit("None").alias("职务"),
+        (F.col("c_nationkey") % 6).alias(V.H_STRENGTH), F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey").cast("string")).otherwise("nan").alias("能量"),
+    )
+    rows = C.legacy_basic(old)
+    return rows.select(F.col("序号").alias("no"), F.col("姓名").alias("name"), F.col("所属行业").alias("industry"), F.col("备注").alias("notes"), F.col(f"`{V.H_STRENGTH}`").alias("trust"))
+
+
+@query("a7_legacy_finance", """SELECT CAST(row_number() OVER (ORDER BY s_suppkey) AS VARCHAR) AS no, s_name AS name, 'fin；' || s_nationkey AS industry, 'scope' || CASE WHEN s_suppkey % 2 = 0 THEN '；calm' ELSE '' END || '；golf' AS feature,
+  'since ' || s_nationkey || ' · 单笔可投资金额: ' || s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN ' · 关系阶段: B' ELSE '' END AS notes, 'City' || (s_suppkey % 4) AS city, CAST(s_suppkey % 6 AS VARCHAR) AS value FROM supplier""")
+def _(t):
+    k = F.col("s_suppkey")
+    old = t.raw("supplier").select(
+        k, F.col("s_name").alias("姓名"), F.lit("fin").alias("行业"), F.col("s_nationkey").cast("string").alias("核心标签（旧）"), F.lit("scope").alias("可合作业务范围"),
+        F.when(k % 2 == 0, F.lit(" calm")).alias("风险承受能力x"), F.lit("null").alias("共赢性x"), F.lit("golf").alias("兴趣偏好"),
+        F.concat(F.lit("since "), F.col("s_nationkey").cast("string")).alias("主要背景"), k.cast("string").alias("单笔可投资金额"), F.when(k % 3 == 0, F.lit("B")).alias("关系阶段x"),
+        F.concat(F.lit("City"), (k % 4).cast("string")).alias("地域"), (k % 6).alias("合作价值评分（0-5）"),
+    )
+    numbered = positions(old.withColumn("_all", F.lit(1)), ["_all"], [F.col("s_suppkey")], "序号").drop("_all")
+    rows = C.legacy_finance(numbered)
+    return rows.select(F.col("序号").alias("no"), F.col("姓名").alias("name"), F.col("所属行业").alias("industry"), F.col("AI标准化特征").alias("feature"), F.col("备注").alias("notes"), F.col("城市").alias("city"), F.col(f"`{V.H_VALUE}`").alias("value"))
+
+
+@query("a8_graph_files", "SELECT network_id, count(*) AS nodes, (SELECT count(*) FROM edge e WHERE e.network_id = p.network_id) AS edges FROM person p GROUP BY ALL")
+def _(t):
+    import hashlib
+
+    from tieweave.session import work_path
+    from tieweave.sources.sinks import write_graph
+
+    path = work_path(t.spark, "export", hashlib.sha1(t.sf.encode()).hexdigest()[:12], "graph")
+    write_graph(A.graph_nodes(t.person, t.edge), A.graph_edges(t.edge), path)
+    n = t.spark.read.parquet(f"{path}/nodes").groupBy("network_id").agg(F.count(F.lit(1)).alias("nodes"))
+    e = t.spark.read.parquet(f"{path}/edges").groupBy("network_id").agg(F.count(F.lit(1)).alias("edges"))
+    return n.join(e, "network_id", "left").na.fill(0)
+
 

@@ -262,8 +262,8 @@ def _(t):
     return P.direct_instead(rows.filter("bucket = 'indirect'"))
 
 
-_NAMED = """named AS (SELECT network_id, person_id, list(name ORDER BY at) AS names, list(context ORDER BY at) FILTER (WHERE context IS NOT NULL AND context <> '') AS contexts FROM (
-  SELECT f.network_id, f.person_id, i AS at, p.name, q.context FROM (SELECT *, unnest(generate_series(1, len(path))) AS i FROM forest) f
+_NAMED = """named AS (SELECT network_id, person_id, list(name ORDER BY pos) AS names, list(context ORDER BY pos) FILTER (WHERE context IS NOT NULL AND context <> '') AS contexts FROM (
+  SELECT f.network_id, f.person_id, i AS pos, p.name, q.context FROM (SELECT *, unnest(generate_series(1, len(path))) AS i FROM forest) f
   JOIN person p ON p.network_id = f.network_id AND p.person_id = f.path[i]
   LEFT JOIN pair q ON i > 1 AND q.network_id = f.network_id AND q.low_id = least(f.path[i], f.path[i - 1]) AND q.high_id = greatest(f.path[i], f.path[i - 1])) GROUP BY ALL)"""
 
