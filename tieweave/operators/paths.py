@@ -15,6 +15,7 @@ from tieweave.operators.substring import contained_terms
 from tieweave.session import cut
 
 UNIT = 60  # least common multiple of the strengths 1..5
+LEGS_PER_SLICE = 100_000
 
 
 def clamp_floor(floor: int) -> int:
@@ -35,21 +36,43 @@ def weighted_graph(edges: DataFrame, me: DataFrame, max_hops: int = 3, weak_me_f
     )
 
 
-def _relax(start: DataFrame, hops_from: DataFrame, max_hops: int, rounds: int | None) -> DataFrame:
+def _sliced_legs(graph: DataFrame, legs_per_slice: int) -> DataFrame:
+    """Both directions of every edge, laid out by (network, node, slice).
+
+    A node with very many neighbours - an owner may touch a third of all edges - is cut
+    into slices of about ``legs_per_slice``, so its legs never share one partition. Each
+    leg also says into how many slices the node it leads to is cut.
+    """
+    legs = both_ways(graph.select("network_id", "low_id", "high_id", "strength", "cost")).withColumnRenamed("from_id", "node")
+    slices = legs.groupBy("network_id", "node").agg(F.ceil(F.count(F.lit(1)) / legs_per_slice).cast("int").alias("slices"))
+    there = slices.select("network_id", F.col("node").alias("to_id"), F.col("slices").alias("to_slices"))
+    return (
+        legs.join(slices, ["network_id", "node"]).join(there, ["network_id", "to_id"])
+        .withColumn("slice", F.pmod(F.xxhash64("to_id"), F.col("slices")).cast("int"))
+        .drop("slices")
+        .repartition("network_id", "node", "slice")
+    )
+
+
+def _relax(start: DataFrame, legs: DataFrame, max_hops: int, rounds: int | None) -> DataFrame:
     """Cheapest way from each network's start to every node, for all networks at once.
 
     Each round only follows nodes that improved. The minimum of (cost, hops, path)
-    combines before the shuffle, so a node with very many neighbours is no bottleneck.
-    Paths longer than ``max_hops`` are forgotten; only their cost and length matter.
+    combines before the shuffle, so a node reached over very many edges is no
+    bottleneck either. Paths longer than ``max_hops`` are forgotten; only their cost and
+    length matter.
     """
     state = cut(start)
     frontier, done = state, 0
     while rounds is None or done < rounds:
-        step = frontier.join(hops_from, ["network_id", "node"])
+        spread = frontier.select(
+            "network_id", "node", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "k"
+        )
+        step = spread.join(legs, ["network_id", "node", "slice"])
         hops = F.col("k.hops") + 1
         short = hops <= max_hops
         reached = step.select(
-            "network_id", F.col("to_id").alias("node"),
+            "network_id", F.col("to_id").alias("node"), F.col("to_slices").alias("slices"),
             F.struct(
                 (F.col("k.cost") + F.col("cost")).alias("cost"),
                 hops.alias("hops"),
@@ -58,18 +81,21 @@ def _relax(start: DataFrame, hops_from: DataFrame, max_hops: int, rounds: int |
             ).alias("k"),
             F.lit(False).alias("old"),
         )
-        known = state.select("network_id", "node", "k", F.lit(True).alias("old"))
+        known = state.select("network_id", "node", "slices", "k", F.lit(True).alias("old"))
         merged = known.unionByName(reached).groupBy("network_id", "node").agg(
-            F.min("k").alias("k"), F.min(F.when(F.col("old"), F.col("k"))).alias("was")
+            F.max("slices").alias("slices"), F.min("k").alias("k"), F.min(F.when(F.col("old"), F.col("k"))).alias("was")
         )
-        state = cut(merged.select("network_id", "node", "k", (F.col("was").isNull() | (F.col("k") < F.col("was"))).alias("moved")))
+        moved = F.col("was").isNull() | (F.col("k") < F.col("was"))
+        state = cut(merged.select("network_id", "node", "slices", "k", moved.alias("moved")))
         frontier, done = state.filter("moved"), done + 1
         if frontier.isEmpty():
             break
     return state.select("network_id", "node", "k")
 
 
-def path_forest(edges: DataFrame, me: DataFrame, max_hops: int = 3, weak_me_floor: int = 4) -> DataFrame:
+def path_forest(
+    edges: DataFrame, me: DataFrame, max_hops: int = 3, weak_me_floor: int = 4, legs_per_slice: int = LEGS_PER_SLICE,
+) -> DataFrame:
     """Best introduction path from the owner to everyone reachable within ``max_hops``.
 
     The cheapest path is searched without a length limit. Where it is too long, the
@@ -77,15 +103,10 @@ def path_forest(edges: DataFrame, me: DataFrame, max_hops: int = 3, weak_me_floo
     is left out. Rows: network_id, person_id, hops, path, strengths, path_strength, kind.
     """
     floor = clamp_floor(weak_me_floor)
-    graph = weighted_graph(edges, me, max_hops, floor)
-    legs = (
-        both_ways(graph.select("network_id", "low_id", "high_id", "strength", "cost"))
-        .withColumnRenamed("from_id", "node")
-        .repartition("network_id", "node")
-        .persist()
-    )
-    start = me.select(
-        "network_id", F.col("me_id").alias("node"),
+    legs = _sliced_legs(weighted_graph(edges, me, max_hops, floor), legs_per_slice).persist()
+    known = legs.groupBy("network_id", F.col("to_id").alias("me_id")).agg(F.max("to_slices").alias("slices"))
+    start = me.join(known, ["network_id", "me_id"]).select(
+        "network_id", F.col("me_id").alias("node"), "slices",
         F.struct(
             F.lit(0).cast("long").alias("cost"), F.lit(0).alias("hops"),
             F.array("me_id").alias("path"), F.array().cast("array<int>").alias("strengths"),

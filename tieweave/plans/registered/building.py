@@ -31,7 +31,7 @@ def raw_sheet(t):
         F.concat(F.lit(" "), NAME(cust), F.lit("　")).alias("姓　名"),
         F.concat(F.col("o_orderpriority"), F.lit("，"), F.col("o_orderstatus"), F.lit("/ "), F.col("o_orderpriority")).alias("所属行业"),
         F.concat(F.lit("Lead "), (key % 3).cast("string")).alias("职务"),
-        F.when(key % 4 == 0, F.concat(F.lit("Firm"), (cust % 40).cast("string"), F.lit("；Firm"), (key % 11).cast("string"))).otherwise("nan").alias("公司"),
+        F.when(key % 4 == 0, F.concat(F.lit("Firm"), (cust % 40).cast("string"), F.lit("；Firm"), (key % 997).cast("string"))).otherwise("nan").alias("公司"),
         F.concat(F.lit("City"), (key % 5).cast("string")).alias("城市"),
         F.element_at(F.array(*[F.lit(x) for x in _TRUST]), (key % 9 + 1).cast("int")).alias("可信度（言行一致性 0-5分）"),
         (key % 6).cast("string").alias("合作价值评分（0-5）"),
@@ -49,9 +49,9 @@ def sheet(t):
 _S = """sheet AS (SELECT 'n' || (o_custkey % 25) AS network_id, o_orderkey AS seq, 'Person#' || o_custkey AS name,
   o_orderpriority AS p1, o_orderstatus AS p2, CASE WHEN o_orderpriority = o_orderstatus THEN [o_orderpriority] ELSE [o_orderpriority, o_orderstatus] END AS tags,
   'Lead ' || (o_orderkey % 3) AS context,
-  CASE WHEN o_orderkey % 4 <> 0 THEN CAST([] AS VARCHAR[]) WHEN o_custkey % 40 = o_orderkey % 11 THEN ['Firm' || (o_custkey % 40)]
-       ELSE ['Firm' || (o_custkey % 40), 'Firm' || (o_orderkey % 11)] END AS companies,
-  CASE WHEN o_orderkey % 4 = 0 THEN 'Firm' || (o_custkey % 40) || '；Firm' || (o_orderkey % 11) END AS firm_text,
+  CASE WHEN o_orderkey % 4 <> 0 THEN CAST([] AS VARCHAR[]) WHEN o_custkey % 40 = o_orderkey % 997 THEN ['Firm' || (o_custkey % 40)]
+       ELSE ['Firm' || (o_custkey % 40), 'Firm' || (o_orderkey % 997)] END AS companies,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'Firm' || (o_custkey % 40) || '；Firm' || (o_orderkey % 997) END AS firm_text,
   'City' || (o_orderkey % 5) AS city,
   CASE WHEN o_orderkey % 9 <= 5 THEN o_orderkey % 9 WHEN o_orderkey % 9 = 6 THEN 5 ELSE 3 END AS strength,
   o_orderkey % 6 AS value,
