@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import functools
+import operator
 
 from pyspark.sql import Column, functions as F
 
@@ -72,8 +73,9 @@ def industry(me_aware: bool = False) -> Column:
     )
     out = F.when(_c("is_me") if me_aware else F.lit(False), F.lit(V.ME_INDUSTRY[0]))
     for label, words, _ in V.INDUSTRIES:
-        pattern = "|".join(re.escape(w.lower()) for w in words)
-        out = out.when(hay.rlike(pattern), F.lit(label))
+        # Plain substring tests are several times faster than one alternation pattern.
+        found = functools.reduce(operator.or_, [F.contains(hay, F.lit(w.lower())) for w in words])
+        out = out.when(found, F.lit(label))
     return out.otherwise(F.lit(V.OTHER_INDUSTRY[0]))
 
 

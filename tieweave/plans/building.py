@@ -42,8 +42,10 @@ def with_existing(rows: DataFrame, existing: DataFrame | None, mode: str) -> Dat
 def assign_ids(people: DataFrame, existing: DataFrame) -> DataFrame:
     """Keep known ids; number new people per network in the order they were first seen."""
     ids = existing.filter(~F.col("is_me")).groupBy(NET, "name").agg(F.min("person_id").alias("person_id"))
-    known = people.join(ids, [NET, "name"])
-    fresh = positions(people.join(ids, [NET, "name"], "left_anti"), [NET], [F.col("first_seq"), F.col("name")], "_n")
+    # The fold feeds both halves below, so it is run once.
+    marked = cut(people.join(ids, [NET, "name"], "left"))
+    known = marked.filter(F.col("person_id").isNotNull())
+    fresh = positions(marked.filter(F.col("person_id").isNull()).drop("person_id"), [NET], [F.col("first_seq"), F.col("name")], "_n")
     top = existing.groupBy(NET).agg(F.max("person_id").alias("_top"))
     numbered = fresh.join(top, NET, "left").withColumn(
         "person_id", F.col("_n") + F.greatest(F.coalesce("_top", F.lit(0)), F.lit(0))
@@ -118,6 +120,7 @@ def build_network(
     batches the provenance fold does.
     """
     me = me_rows(existing)
+    rows = cut(rows)  # cleaned once, read by the fold and by every edge batch
     # Every edge batch joins the people, so they are folded and numbered once.
     people = cut(assign_ids(with_existing(rows, existing, mode), existing))
     batches = [owner_edges(rows, people, me)]

@@ -20,7 +20,8 @@ _TRUST = ["0", "1", "2", "3", "4", "5", "7", "", "x"]
 
 
 def raw_sheet(t):
-    o = t.raw("orders")
+    # The test table is one small file; spread it as the many files of an export would be.
+    o = t.raw("orders").repartition(t.spark.sparkContext.defaultParallelism, "o_orderkey")
     cust, key = F.col("o_custkey"), F.col("o_orderkey")
     peers = F.concat(
         NAME(cust + 25), F.lit("("), (key % 7).cast("string"), F.lit("，"), F.col("o_orderstatus"), F.lit("); "),
