@@ -112,24 +112,39 @@ def frequency_exact(c: Column) -> Column:
     return F.when(text.isin(*V.FREQUENCIES), text).otherwise(F.lit(V.DEFAULT_FREQUENCY))
 
 
-def peer_entry(raw: Column) -> Column:
-    """``name(strength, context)`` as a struct; null when the entry is malformed.
-
-    The first all-digit part is the strength, every other part joins the context.
-    """
-    name = strip(F.regexp_extract(raw, V.PEER_ENTRY, 1))
-    inside = F.regexp_extract(raw, V.PEER_ENTRY, 2)
-    parts = split_items(inside, V.PEER_INSIDE_SEPARATORS)
-    numeric = F.transform(parts, lambda x: x.rlike(r"^\d+$"))
-    first = F.array_position(numeric, F.lit(True)).cast("int") - 1
+def is_peer_entry(raw: Column) -> Column:
+    return raw.rlike(V.PEER_ENTRY)
+
+
+def peer_name(raw: Column) -> Column:
+    return strip(F.regexp_extract(raw, V.PEER_ENTRY, 1))
+
+
+def peer_parts(raw: Column) -> Column:
+    """What stands in the brackets of ``name(strength, context)``."""
+    return split_items(F.regexp_extract(raw, V.PEER_ENTRY, 2), V.PEER_INSIDE_SEPARATORS)
+
+
+def peer_strength(parts: Column) -> Column:
+    """The first all-digit part, clamped to 1..5."""
     digits = F.get(F.filter(parts, lambda x: x.rlike(r"^\d+$")), F.lit(0))
+    return F.when(digits.isNotNull(), digits_clamped(digits, 1, 5))
+
+
+def peer_context(parts: Column) -> Column:
+    """Every other part, joined."""
+    first = F.array_position(F.transform(parts, lambda x: x.rlike(r"^\d+$")), F.lit(True)).cast("int") - 1
     context = F.array_join(F.filter(parts, lambda x, i: i != first), "/")
+    return F.when(context != "", context)
+
+
+def peer_entry(raw: Column) -> Column:
+    """``name(strength, context)`` as a struct; null when the entry is malformed."""
+    parts = peer_parts(raw)
     entry = F.struct(
-        name.alias("name"),
-        F.when(digits.isNotNull(), digits_clamped(digits, 1, 5)).alias("strength"),
-        F.when(context != "", context).alias("context"),
+        peer_name(raw).alias("name"), peer_strength(parts).alias("strength"), peer_context(parts).alias("context")
     )
-    return F.when(raw.rlike(V.PEER_ENTRY), entry)
+    return F.when(is_peer_entry(raw), entry)
 
 
 def scrub(text: Column) -> Column:

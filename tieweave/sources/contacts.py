@@ -156,10 +156,13 @@ def peer_mentions(profiles: DataFrame) -> DataFrame:
     listed = profiles.filter(F.col("peers").isNotNull()).select(
         "network_id", "seq", "name", F.posexplode(X.split_peers(F.col("peers"))).alias("at", "raw")
     )
-    entry = listed.select("network_id", F.struct("seq", "at").alias("seq"), "name", X.peer_entry(F.col("raw")).alias("e"))
-    return entry.filter(F.col("e").isNotNull()).select(
-        "network_id", "seq", "name", F.col("e.name").alias("peer"),
-        F.coalesce("e.strength", F.lit(V.DEFAULT_STRENGTH)).alias("strength"), F.col("e.context").alias("context"),
+    # The parts feed two columns; as a column of their own they are cut out once.
+    entry = listed.filter(X.is_peer_entry(F.col("raw"))).select(
+        "network_id", F.struct("seq", "at").alias("seq"), "name", X.peer_name(F.col("raw")).alias("peer"), X.peer_parts(F.col("raw")).alias("parts")
+    )
+    return entry.select(
+        "network_id", "seq", "name", "peer", F.coalesce(X.peer_strength(F.col("parts")), F.lit(V.DEFAULT_STRENGTH)).alias("strength"),
+        X.peer_context(F.col("parts")).alias("context"),
     )
 
 
