@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tieweave.llm import packing, quality, sharding
+from tieweave.llm import decontamination, packing, quality, sharding
 
 QUERIES = {}
 ORACLES = {}
@@ -88,3 +88,27 @@ FROM (SELECT doc_id, t, xor(4294967295, list_reduce([('0x' || h)::BIGINT for h i
 @_query
 def op7_packing(spark, sf):
     return packing.packed_documents(_read(spark, sf, "documents"), tokenizer_path())
+
+
+@_query
+def op4_decontamination(spark, sf):
+    return decontamination.contamination(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
+
+
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES["op4_decontamination"] = f"""
+WITH d AS (SELECT row_number() OVER () rid, doc_id, {_WORDS} ws FROM documents),
+b AS (SELECT item_id, {_WORDS} ws FROM benchmark),
+s AS (SELECT item_id, ws, least(len(ws), 10) n FROM b WHERE len(ws) > 0),
+i AS (SELECT DISTINCT item_id, n, ws[k:k + n - 1] win FROM (SELECT item_id, ws, n, unnest(range(1, len(ws) - n + 2)) k FROM s)),
+l AS (SELECT DISTINCT n FROM i),
+p AS (SELECT rid, k, n, ws[k:k + n - 1] win FROM (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) k FROM d, l WHERE len(ws) >= n)),
+m AS (SELECT rid, k, p.n, item_id FROM p JOIN i USING (n, win)),
+h AS (SELECT rid, count(DISTINCT w) n_hit FROM (SELECT rid, unnest(range(k, k + n)) w FROM m) GROUP BY rid),
+t AS (SELECT rid, count(*) n_items, string_agg(x, ',' ORDER BY x) names FROM (SELECT DISTINCT rid, item_id::VARCHAR x FROM m) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(names, '')) items_sha256,
+  n_hit IS NOT NULL contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
+"""
