@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tieweave.llm import decontamination, packing, quality, sharding
+from tieweave.llm import decontamination, ngram_join, packing, quality, sharding
 
 QUERIES = {}
 ORACLES = {}
@@ -112,3 +112,21 @@ SELECT doc_id, len(ws)::BIGINT n_words, coalesce(n_hit, 0) n_hit, coalesce(n_ite
   n_hit IS NOT NULL contaminated
 FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
 """
+
+
+@_query
+def op8_ngram_join(spark, sf):
+    return ngram_join.near_copies(_read(spark, sf, "documents"))
+
+
+ORACLES["op8_ngram_join"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\x20\x09-\x0D]+') ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) < 4 THEN [ws] ELSE list_distinct([ws[k:k + 3] for k in range(1, len(ws) - 2)]) END grams FROM d WHERE len(ws) > 0),
+z AS (SELECT doc_id, len(grams) n, unnest(grams) g FROM s),
+p AS (SELECT x.doc_id a, y.doc_id b, x.n na, y.n nb, count(*) c FROM z x JOIN z y ON x.g = y.g AND x.doc_id < y.doc_id AND 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n) GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 85 * (na + nb - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(len(grams), 0) n_shingles, least(d.doc_id, (SELECT min(b) FROM r WHERE r.a = d.doc_id)) component_id
+FROM d LEFT JOIN s USING (doc_id)
+"""
