@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tieweave.llm import decontamination, ngram_join, packing, quality, sharding
+from tieweave.llm import decontamination, ngram_join, packing, quality, sharding, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -130,3 +130,8 @@ r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT d.doc_id, coalesce(len(grams), 0) n_shingles, least(d.doc_id, (SELECT min(b) FROM r WHERE r.a = d.doc_id)) component_id
 FROM d LEFT JOIN s USING (doc_id)
 """
+
+
+@_query
+def op5_toxicity(spark, sf):
+    return toxicity.toxicity(_read(spark, sf, "documents"), _read(spark, sf, "labels"))
