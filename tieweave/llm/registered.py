@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tieweave.llm import decontamination, ngram_join, packing, quality, sharding, toxicity
+from tieweave.llm import decontamination, line_dedup, ngram_join, packing, quality, sharding, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -135,3 +135,8 @@ FROM d LEFT JOIN s USING (doc_id)
 @_query
 def op5_toxicity(spark, sf):
     return toxicity.toxicity(_read(spark, sf, "documents"), _read(spark, sf, "labels"))
+
+
+@_query
+def op6_line_dedup(spark, sf):
+    return line_dedup.without_repeated_lines(_read(spark, sf, "documents")).select("doc_id", "text", "n_lines", "n_removed")
