@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tieweave.llm import decontamination, line_dedup, ngram_join, packing, quality, sharding, toxicity
+from tieweave.llm import chat, decontamination, licences, line_dedup, ngram_join, packing, quality, sharding, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -140,3 +140,52 @@ def op5_toxicity(spark, sf):
 @_query
 def op6_line_dedup(spark, sf):
     return line_dedup.without_repeated_lines(_read(spark, sf, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@_query
+def op1_licence_scans(spark, sf):
+    return licences.licence_report(_read(spark, sf, "documents"))
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_TEMPLATE_ROWS = ", ".join(f"({_literal(n)}, {k}, {_literal(t)})" for n in sorted(licences.TEMPLATES) for k, t in enumerate(licences.TEMPLATES[n]))
+_NORMALISED = r"regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')"
+
+ORACLES["op1_licence_scans"] = rf"""
+WITH t AS (SELECT licence, k, regexp_extract_all({_NORMALISED.format('text')}, '[^ \n]+') ws FROM (VALUES {_TEMPLATE_ROWS}) v(licence, k, text)),
+tb AS (SELECT licence, k, list_distinct([[ws[i], ws[i + 1]] for i in range(1, len(ws))]) grams FROM t),
+d AS (SELECT row_number() OVER () rid, doc_id, {_NORMALISED.format("coalesce(text, '')")} norm FROM documents),
+u AS (SELECT rid, unnest(range(len(string_split(norm, chr(10))))) line, unnest(string_split(norm, chr(10))) txt FROM d
+  UNION ALL SELECT rid, NULL, norm FROM d WHERE contains(norm, chr(10))),
+w AS (SELECT rid, line, regexp_extract_all(txt, '[^ \n]+') ws FROM u),
+ub AS (SELECT rid, line, list_distinct([[ws[i], ws[i + 1]] for i in range(1, len(ws))]) grams FROM w WHERE len(ws) > 1),
+m AS (SELECT rid, line, licence, 2.0::DOUBLE * len(list_intersect(ub.grams, tb.grams)) / (len(ub.grams) + len(tb.grams)) dice FROM ub, tb
+  WHERE 1.2 * len(ub.grams) >= 0.8 * len(tb.grams) AND 1.2 * len(tb.grams) >= 0.8 * len(ub.grams)),
+b AS (SELECT rid, line, licence, dice FROM m WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY rid, line ORDER BY dice DESC, licence) = 1),
+p AS (SELECT rid, first(licence ORDER BY dice DESC, licence) licence, max(dice) dice, count(*) n_matches, string_agg(DISTINCT licence, ',' ORDER BY licence) licences FROM b GROUP BY rid)
+SELECT doc_id, licence, dice, coalesce(n_matches, 0) n_matches, coalesce(licences, '') licences FROM d LEFT JOIN p USING (rid)
+"""
+
+
+@_query
+def op9_preference_format(spark, sf):
+    return chat.preference_turns(*chat.cut_short_pairs(_read(spark, sf, "conversations")))
+
+
+ORACLES["op9_preference_format"] = """
+WITH c AS (SELECT conv_id, coalesce(turn, -1) turn, role, text FROM conversations),
+l AS (SELECT conv_id, coalesce(max(turn) FILTER (role = 'assistant'), max(turn)) last, max(turn) FILTER (role = 'assistant') reply FROM c GROUP BY conv_id),
+h AS (SELECT c.conv_id pair_id, turn, coalesce(role, 'user') role, coalesce(text, '') chosen,
+    CASE WHEN turn = reply AND role = 'assistant' THEN left(coalesce(text, ''), length(text) // 2) ELSE coalesce(text, '') END rejected
+  FROM c JOIN l ON c.conv_id IS NOT DISTINCT FROM l.conv_id WHERE turn <= last),
+b AS (SELECT pair_id, turn, role, text, bool_or(side = 'c') in_c, bool_or(side = 'r') in_r FROM
+  (SELECT pair_id, turn, role, chosen AS text, 'c' side FROM h UNION ALL SELECT pair_id, turn, role, rejected, 'r' FROM h) GROUP BY ALL),
+f AS (SELECT pair_id, min(turn) FILTER (in_c <> in_r) start FROM b GROUP BY pair_id),
+r AS (SELECT b.*, unnest(CASE WHEN start IS NULL OR turn < start THEN ['prompt'] WHEN in_c AND in_r THEN ['chosen', 'rejected'] WHEN in_c THEN ['chosen'] ELSE ['rejected'] END) part
+  FROM b JOIN f ON b.pair_id IS NOT DISTINCT FROM f.pair_id),
+o AS (SELECT pair_id, part, turn, role, '<|' || role || '|>' || chr(10) || text || chr(10) rendered, part <> 'prompt' AND role = 'assistant' learned FROM r)
+SELECT pair_id, part, turn, role, rendered, length(rendered) n_chars, learned, CASE WHEN learned THEN length(role) + 5 ELSE length(rendered) END masked_chars FROM o
+"""
