@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tieweave.llm import chat, decontamination, licences, line_dedup, ngram_join, packing, quality, sharding, toxicity
+from tieweave.llm import chat, decontamination, extraction, licences, line_dedup, ngram_join, packing, quality, sharding, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -189,3 +189,8 @@ r AS (SELECT b.*, unnest(CASE WHEN start IS NULL OR turn < start THEN ['prompt']
 o AS (SELECT pair_id, part, turn, role, '<|' || role || '|>' || chr(10) || text || chr(10) rendered, part <> 'prompt' AND role = 'assistant' learned FROM r)
 SELECT pair_id, part, turn, role, rendered, length(rendered) n_chars, learned, CASE WHEN learned THEN length(role) + 5 ELSE length(rendered) END masked_chars FROM o
 """
+
+
+@_query
+def op10_main_text(spark, sf):
+    return extraction.main_texts(_read(spark, sf, "pages"))
