@@ -22,12 +22,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tieweave.llm import text as tx
-from tieweave.session import cut
+from tieweave.session import broadcast_if_small, cut
 
 WINDOW = 10
 #: Text bytes of one index segment, and of the test items that are sent around at once.
 SEGMENT_BYTES = 8 << 20
 BLOCK_BYTES = 32 << 20
+#: So many documents with hits (an id and a digest each) are sent to the tasks at most; more are joined by shuffle.
+BAD_ROWS = 500_000
 
 _SEGMENT = "doc_ids array<long>, text_keys array<string>, firsts array<int>, terms array<int>, counts array<long>, postings array<binary>"
 _HITS = "doc_id long, text_key string, n_words long, spans array<struct<s:int,e:int>>, items array<string>"
@@ -222,4 +224,4 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without a hit, with all their columns."""
     bad = matches(docs, items, window).filter(F.col("n_hit") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key")), "left_anti")
+    return docs.join(broadcast_if_small(cut(bad), BAD_ROWS), F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key")), "left_anti")

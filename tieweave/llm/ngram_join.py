@@ -6,10 +6,10 @@ partner must share one n-gram with. Entries meet on the n-gram; length and posit
 and a parity bitmap of the n-grams (a lower bound on their difference, as a suffix filter
 gives) drop pairs that cannot reach the threshold, and each pair left is verified once.
 
-Only connectivity is asked for, so a bucket's entries are first linked to their neighbours in
-order of size. Pairs inside one component are then never looked at, and every pair across
-components that passes the bounds is verified: no link between components is lost, and large
-groups of near copies need few pairs.
+Only connectivity is asked for, so an entry is first linked to the one before it and to the
+first one on its n-gram, which is the text with the fewest n-grams of its own. Pairs inside one
+component are then never looked at, and every pair across components that passes the bounds is
+verified: no link between components is lost, and large groups of near copies need few pairs.
 
 N-grams are 64-bit hashes; two different n-grams of one pair share a hash with a probability
 near 1e-13. Null and empty texts have no n-grams and stay alone. Shorter texts than ``n`` words
@@ -27,12 +27,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tieweave.llm import text as tx
 from tieweave.llm.components import components
-from tieweave.session import cut
+from tieweave.session import broadcast_if_small, cut
 
 WORDS = 4
 #: Least Jaccard share in per cent.
 PERCENT = 85
 SKETCH_BITS = 16
+#: So many classes (an id, a digest and a number each) are sent to the tasks at most; more are joined by shuffle.
+WANTED_ROWS = 500_000
 
 _FACTORS = tx.mixed(np.arange(1, 65, dtype=np.uint64))
 
@@ -89,22 +91,27 @@ def _enough(common: Column, percent: int, size_a: Column, size_b: Column) -> Col
     return (100 + percent) * common >= percent * (size_a + size_b)
 
 
+def raw_key() -> Column:
+    """Hash of the text as it is; with the id it tells rows apart."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def corpus_scan(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (doc_id, text_key, n_shingles) of all documents, and one row per task with its sketch ``counts``."""
+    """Rows (doc_id, raw_key, text_key, n_shingles) of all documents, and one row per task with its sketch ``counts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "text_key", "n_shingles", "counts"]
+        names = ["doc_id", "raw_key", "text_key", "n_shingles", "counts"]
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch, texts in tx.slices(batches, "text"):
             sets, keys = shingle_sets(texts, n)
             total += np.bincount(_bucket(np.concatenate(sets)), minlength=len(total))
             m = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(m, pa.list_(pa.int64()))], names=names
+                [batch.column("doc_id"), batch.column("raw_key"), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(m, pa.list_(pa.int64()))], names=names
             )
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([total], pa.list_(pa.int64()))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([total], pa.list_(pa.int64()))], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text_key binary, n_shingles long, counts array<long>")
+    return docs.select("doc_id", "text", raw_key().alias("raw_key")).mapInArrow(run, "doc_id long, raw_key long, text_key binary, n_shingles long, counts array<long>")
 
 
 def _classes(docs: DataFrame, sketch, n: int, percent: int) -> DataFrame:
@@ -136,32 +143,61 @@ def _classes(docs: DataFrame, sketch, n: int, percent: int) -> DataFrame:
 
 
 def _shared_entries(classes: DataFrame, percent: int) -> DataFrame:
-    """Prefix entries whose n-gram another class of fitting size lists too, with the neighbours in order of size.
+    """Prefix entries whose n-gram another class of fitting size lists too.
 
-    Sizes on either side of an entry are the nearest there are: if neither fits, none does.
+    ``before``: how many of the class's shared entries stand before this one, ``lone``: how many
+    of its entries nobody shares. Sizes on either side of an entry are the nearest there are: if
+    neither fits, none does.
     """
-    entries = classes.select("node", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("pos", "gram"))
+    entries = classes.select("node", F.col("size").cast("int").alias("size"), F.size("prefix").alias("listed"), F.posexplode("prefix").alias("pos", "gram"))
     w = Window.partitionBy("gram").orderBy("size", "node")
-    around = entries.select(
-        "*", F.lag(F.struct("node", "size", "pos")).over(w).alias("before"), F.lead(F.struct("node", "size", "pos")).over(w).alias("after"),
-    )
-    fits_before = 100 * F.col("before.size") >= percent * F.col("size")
-    fits_after = 100 * F.col("size") >= percent * F.col("after.size")
+    near = entries.withColumns({"_less": F.lag("size").over(w), "_more": F.lead("size").over(w)})
+    shared = near.filter((100 * F.col("_less") >= percent * F.col("size")) | (100 * F.col("size") >= percent * F.col("_more")))
+    own = Window.partitionBy("node")
     return cut(
-        around.withColumns({"before": F.when(fits_before, F.col("before")), "after": F.when(fits_after, F.col("after"))})
-        .filter(F.col("before").isNotNull() | F.col("after").isNotNull())
+        shared.withColumns({"before": F.row_number().over(own.orderBy("pos")) - 1, "lone": F.col("listed") - F.count(F.lit(1)).over(own).cast("int")})
+        .select("node", "size", "pos", "before", "lone", "gram")
     )
 
 
-def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) that no shared n-gram's position rules out. Columns a, b, size_a, size_b, pos_a, pos_b."""
-    most = F.least("pos_a", "pos_b") + 1 + F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) - 1
-    ordered = pairs.select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("size_a", "size_b").alias("size_a"), F.greatest("size_a", "size_b").alias("size_b"), most.alias("most"),
+def _possible(a: str, b: str, percent: int) -> Column:
+    """Length and positional bounds for two entries (struct columns) on one n-gram.
+
+    Before the n-gram, the two have at most those entries in common that anybody shares; after
+    it, at most all that is left of the shorter rest.
+    """
+    size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
+    most = F.least(f"{a}.before", f"{b}.before") + F.least(size_a - F.col(f"{a}.pos"), size_b - F.col(f"{b}.pos"))
+    return (100 * size_b >= percent * size_a) & (100 * size_a >= percent * size_b) & _enough(most, percent, size_a, size_b)
+
+
+def _pairs(met: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) with sizes, of entries x and y (struct columns) that no shared n-gram rules out."""
+    every = met.select(
+        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.col("x.size").alias("size_a"), F.col("y.size").alias("size_b"),
+        _possible("x", "y", percent).alias("fits"),
     )
-    # The two sizes only enter by their sum, so their order is free.
-    best = ordered.groupBy("a", "b").agg(F.min("most").alias("most"), F.any_value("size_a").alias("size_a"), F.any_value("size_b").alias("size_b"))
-    return best.filter(_enough(F.col("most"), percent, F.col("size_a"), F.col("size_b"))).drop("most")
+    # The two sizes only enter by their sum and ratio, so their order is free.
+    return every.groupBy("a", "b").agg(F.min("fits").alias("fits"), F.any_value("size_a").alias("size_a"), F.any_value("size_b").alias("size_b")).filter("fits").drop("fits")
+
+
+def _first_pairs(shared: DataFrame, percent: int) -> DataFrame:
+    """Every entry with the one before it and the first one of its n-gram; classes with the fewest lone entries come first."""
+    entry = F.struct("node", "size", "pos", "before")
+    w = Window.partitionBy("gram").orderBy("lone", "size", "node")
+    met = shared.select(entry.alias("x"), F.array_compact(F.array(F.lag(entry).over(w), F.first(entry).over(w))).alias("ys"))
+    return _pairs(met.select("x", F.explode(F.array_distinct("ys")).alias("y")).filter(F.col("x.node") != F.col("y.node")), percent)
+
+
+def _pairs_across(shared: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """All pairs that no bound rules out between different components of ``links``."""
+    named = shared.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # N-grams of two classes are settled by the first pairs.
+    mixed = named.groupBy("gram").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("_n")).filter("_low <> _high AND _n > 2").select("gram")
+    left = named.join(mixed, "gram", "left_semi").select("gram", "component", F.struct("node", "size", "pos", "before").alias("x"))
+    right = left.select(F.col("gram").alias("_gram"), F.col("component").alias("_component"), F.col("x").alias("y"))
+    met = left.join(right, (F.col("gram") == F.col("_gram")) & (F.col("component") < F.col("_component")) & _possible("x", "y", percent))
+    return _pairs(met.select("x", "y"), percent)
 
 
 def _near_bitmaps(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -184,7 +220,7 @@ def _near_bitmaps(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
 
 def _class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """node and n-gram set of the ``wanted`` classes (node, text_key, first_id), from their texts."""
-    held = wanted.join(docs.select("doc_id", "text"), F.col("first_id").eqNullSafe(F.col("doc_id"))).select("node", "text_key", "text")
+    held = broadcast_if_small(wanted, WANTED_ROWS).join(docs.select("doc_id", "text"), F.col("first_id").eqNullSafe(F.col("doc_id"))).select("node", "text_key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -211,16 +247,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.filter(_enough(F.size(F.array_intersect("grams_a", "grams_b")), percent, F.size("grams_a"), F.size("grams_b"))).select("a", "b")
 
 
-def _labelled(entries: DataFrame, links: DataFrame) -> DataFrame:
-    """Entries with the component of their node, of n-grams that still meet several components."""
-    found = components(links)
-    named = entries.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = named.groupBy("gram").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high").select("gram")
-    return named.join(mixed, "gram", "left_semi")
-
-
-def near_copies(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (least doc_id that links reach)."""
+def text_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Per document: doc_id, raw_key, n_shingles, component (null without words), component_id."""
     spark = docs.sparkSession
     scan = cut(corpus_scan(docs, n))
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -229,40 +257,41 @@ def near_copies(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Data
     classes = _classes(docs, spark.sparkContext.broadcast(sketch), n, percent)
     shared = _shared_entries(classes, percent)
 
-    chain = shared.filter("before IS NOT NULL").select(
-        F.col("before.node").alias("a"), F.col("node").alias("b"), F.col("before.size").alias("size_a"), F.col("size").alias("size_b"), F.col("before.pos").alias("pos_a"), F.col("pos").alias("pos_b"),
-    )
-    pairs = cut(_near_bitmaps(_bounded(chain, percent), classes, percent))
-    # Entries with one neighbour on either side belong to n-grams of three classes or more,
-    # or stand at the end of such a run; pairs of two are settled by the chain alone.
-    runs = shared.filter("before IS NOT NULL AND after IS NOT NULL").select("gram").distinct()
-    wide = shared.join(runs, "gram", "left_semi").select("node", "size", "pos", "gram")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(wide.select("node")).distinct()
-    sets = _class_sets(docs, classes.select("node", "text_key", "first_id").join(wanted, "node", "left_semi"), n)
+    pairs = cut(_near_bitmaps(_first_pairs(shared, percent), classes, percent))
+    # Were all these pairs links, pairs across would be fewer: classes in neither have no partner,
+    # or are joined to a component, and so are in ``pairs``.
+    likely = _near_bitmaps(_pairs_across(shared, pairs, percent), classes, percent)
+    nodes = pairs.unionByName(likely).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = _class_sets(docs, cut(classes.select("node", "text_key", "first_id").join(nodes, "node", "left_semi")), n)
 
     links = cut(_verified(pairs, sets, percent))
-    entries = _labelled(wide, links)
-    other = entries.select(F.col("gram").alias("_gram"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"), F.col("component").alias("_component"))
-    across = entries.join(
-        other,
-        (F.col("gram") == F.col("_gram")) & (F.col("component") < F.col("_component"))
-        & (100 * F.col("size_b") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("size_b"))
-        & _enough(F.least("pos", "pos_b") + F.least(F.col("size") - F.col("pos"), F.col("size_b") - F.col("pos_b")), percent, F.col("size"), F.col("size_b")),
-    ).select(F.col("node").alias("a"), "b", F.col("size").alias("size_a"), "size_b", F.col("pos").alias("pos_a"), "pos_b")
-    fresh = _bounded(across, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    fresh = _pairs_across(shared, links, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     more = _verified(_near_bitmaps(fresh, classes, percent), sets, percent)
 
     found = components(links.unionByName(more))
     named = classes.select("text_key", "node", "first_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    members = named.join(least, "component").select("text_key", "component_id")
+    members = named.join(least, "component").select("text_key", "component", "component_id")
     return (
         scan.filter("counts IS NULL").join(members, "text_key", "left")
-        .select("doc_id", F.col("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        .select("doc_id", "raw_key", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
     )
 
 
+def near_copies(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (least doc_id that links reach)."""
+    return text_components(docs, n, percent).select("doc_id", "n_shingles", "component_id")
+
+
 def one_of_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The documents but those with a near copy of smaller ``doc_id``, with all their columns."""
-    gone = near_copies(docs, n, percent).filter("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    """One document of every component, the one of least id, with all its columns; texts without words all stay."""
+    found = cut(text_components(docs, n, percent).filter("component IS NOT NULL").select("doc_id", "raw_key", "component"))
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "raw_key")).alias("_first"))
+    gone = found.join(first, "component").filter(~F.struct("doc_id", "raw_key").eqNullSafe(F.col("_first"))).select(F.col("doc_id").alias("_id"), F.col("raw_key").alias("_key")).distinct()
+    same_row = F.col("doc_id").eqNullSafe(F.col("_id")) & (raw_key() == F.col("_key"))
+    kept = docs.join(broadcast_if_small(cut(gone), WANTED_ROWS), same_row, "left_anti")
+    twice = cut(found.groupBy(F.col("doc_id").alias("_id"), F.col("raw_key").alias("_key")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"))
+    if twice.isEmpty():
+        return kept
+    # Rows equal in id and text are one document: only they are gathered by key.
+    return kept.join(twice, same_row, "left_anti").unionByName(kept.join(twice, same_row, "left_semi").dropDuplicates(["doc_id", "text"]))
