@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tieweave.llm import text as tx
+from tieweave.llm.names import unused
 from tieweave.session import broadcast_if_small, cut
 
 WINDOW = 10
@@ -223,5 +224,6 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without a hit, with all their columns."""
-    bad = matches(docs, items, window).filter(F.col("n_hit") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(broadcast_if_small(cut(bad), BAD_ROWS), F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key")), "left_anti")
+    id_name, key_name = unused(docs, "_id", "_key")
+    bad = matches(docs, items, window).filter(F.col("n_hit") > 0).select(F.col("doc_id").alias(id_name), F.col("text_key").alias(key_name)).distinct()
+    return docs.join(broadcast_if_small(cut(bad), BAD_ROWS), F.col("doc_id").eqNullSafe(F.col(id_name)) & (text_key() == F.col(key_name)), "left_anti")

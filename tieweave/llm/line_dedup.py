@@ -21,12 +21,15 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tieweave.llm.components import components
+from tieweave.llm.names import unused
 from tieweave.session import cut
 
 MIN_WORDS = 5
 MAX_BITS = 3
 #: Five edits in so many characters are allowed: similarity 0.8.
 EDIT_SHARE = 5
+#: Lists of lines with so many documents and lines together are sent to the tasks at most; more are joined by shuffle.
+SENT_LINES = 1_000_000
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 
 
@@ -35,27 +38,42 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(text), "123456789", "000000000"), r"[^\p{L}\p{N}\n]+", " ")
 
 
-def simhash(hashes: Column) -> Column:
-    """Bit i is set if it is set in more than half of the hashes.
+#: Bits of one lane of a sum; a lane holds the count of one SimHash bit over up to LANE_WORDS words.
+LANE = 16
+LANE_WORDS = (1 << (LANE - 1)) - 1
+_ONES = sum(1 << (LANE * lane) for lane in range(64 // LANE))
 
-    Bits are counted in lanes of a whole number, several with each addition: lanes of 8 bits
-    hold up to 127 words, those of 16 up to 32,767, those of 32 any line.
+
+def _word_sums(hashed: DataFrame, keys: list[str]) -> DataFrame:
+    """SimHash of every row of ``hashed`` (``keys`` and ``words``): bit i is set if more than half of the words' hashes have it.
+
+    Each addition counts four bits, in lanes; a row's words are in one task, so all but one sum
+    a row are made before the shuffle. Rows of very many words are counted by ``_long_simhash``.
     """
-    counts = F.when(F.size(hashes) < 1 << 7, _bit_counts(hashes, 8)).when(F.size(hashes) < 1 << 15, _bit_counts(hashes, 16)).otherwise(_bit_counts(hashes, 32))
-    return F.aggregate(F.reverse(counts), F.lit(0).cast("long"), lambda a, c: F.shiftleft(a, 1).bitwiseOR(F.when(2 * c > F.size(hashes), F.lit(1)).otherwise(F.lit(0)).cast("long")))
+    word = hashed.select(*keys, F.explode("words").alias("word")).withColumn("h", F.xxhash64("word"))
+    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_ONES))).alias(f"s{k}") for k in range(LANE)]
+    counted = word.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums)
+
+    def bit(i: int) -> Column:
+        count = F.shiftrightunsigned(F.col(f"s{i % LANE}"), i - i % LANE).bitwiseAND(F.lit((1 << LANE) - 1))
+        return F.when(2 * count > F.col("n"), F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long"))
 
+    total = bit(0)
+    for i in range(1, 64):
+        total = total.bitwiseOR(bit(i))
+    return counted.select(*keys, total.alias("simhash"))
 
-def _bit_counts(hashes: Column, width: int) -> Column:
-    """How many hashes have each of the 64 bits set, from the lowest on."""
-    ones = sum(1 << (width * lane) for lane in range(64 // width))
 
-    def lane_sum(k: int) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(ones)))
+def _long_simhash(words: Column) -> Column:
+    """The same, bit by bit, for rows beyond the lanes."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    zero = F.lit(0).cast("long")
 
-    sums = F.array(*[lane_sum(k) for k in range(width)])
-    # Bit width * lane + k is counted in lane ``lane`` of sum k. Shifts by a column have no Python function of their own.
-    lanes = F.sequence(F.lit(0), F.lit(64 // width - 1))
-    return F.flatten(F.transform(lanes, lambda lane: F.transform(sums, lambda s: F.call_function("shiftrightunsigned", s, width * lane).bitwiseAND(F.lit((1 << width) - 1)))))
+    def bit(i: Column) -> Column:
+        count = F.aggregate(hashes, zero, lambda a, h: a + F.call_function("shiftrightunsigned", h, i).bitwiseAND(F.lit(1)))
+        return F.when(2 * count > F.size(words), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(zero)
+
+    return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), bit), zero, lambda a, x: a.bitwiseOR(x))
 
 
 def text_key(text: Column) -> Column:
@@ -64,10 +82,21 @@ def text_key(text: Column) -> Column:
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     """doc_id, text_key, line, h1 and h2 (hashes of the normalised line), length, simhash."""
-    split = docs.filter("text IS NOT NULL").select("doc_id", text_key(F.col("text")).alias("text_key"), F.posexplode(F.split(normalised(F.col("text")), "\n")).alias("line", "norm"))
-    worded = split.select("doc_id", "text_key", "line", F.trim("norm").alias("norm")).withColumn("words", F.split("norm", " ")).filter(F.size("words") >= min_words)
-    hashed = worded.select("doc_id", "text_key", "line", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit(1)).alias("h2"), F.length("norm").alias("length"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    return hashed.select("doc_id", "text_key", "line", "h1", "h2", "length", simhash(F.col("hashes")).alias("simhash"))
+    keyed = docs.filter("text IS NOT NULL").select("doc_id", text_key(F.col("text")).alias("text_key"), normalised(F.col("text")).alias("norm"))
+    split = keyed.select("doc_id", "text_key", F.posexplode(F.split("norm", "\n")).alias("line", "norm")).withColumn("norm", F.trim("norm"))
+    keys = ["doc_id", "text_key", "line", "h1", "h2", "length"]
+    # ``row`` keeps equal rows of the input apart.
+    worded = split.select("doc_id", "text_key", "line", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit(1)).alias("h2"), F.length("norm").alias("length"), F.split("norm", " ").alias("words"))
+    worded = worded.filter(F.size("words") >= min_words)
+    usual = worded.filter(F.size("words") <= LANE_WORDS).withColumn("row", F.monotonically_increasing_id())
+    long = worded.filter(F.size("words") > LANE_WORDS)
+    return _word_sums(usual, [*keys, "row"]).drop("row").unionByName(long.select(*keys, _long_simhash(F.col("words")).alias("simhash")))
+
+
+def _small(lists: DataFrame, column: str) -> DataFrame:
+    """Marked to be sent to all tasks if its documents and list entries, of a few bytes each, were counted to be few."""
+    total = lists.agg(F.coalesce(F.sum(F.size(column) + 1), F.lit(0))).first()[0]
+    return F.broadcast(lists) if total <= SENT_LINES else lists
 
 
 def _bits(a: str, b: str) -> Column:
@@ -75,15 +104,15 @@ def _bits(a: str, b: str) -> Column:
 
 
 def _keys(lines: DataFrame) -> DataFrame:
-    """A row per distinct line and pair of blocks; ``key`` holds both blocks, ``table`` says which."""
+    """A row per distinct line and pair of blocks; ``key`` holds the number of the pair and both blocks."""
     def block(at: int, size: int) -> Column:
         return F.shiftrightunsigned("simhash", at).bitwiseAND(F.lit((1 << size) - 1))
 
-    tables = [
-        F.struct(F.lit(t).alias("table"), F.shiftleft(block(*BLOCKS[i]), 13).bitwiseOR(block(*BLOCKS[j])).alias("key"))
+    keys = [
+        F.lit(t << 26).cast("long").bitwiseOR(F.shiftleft(block(*BLOCKS[i]), 13)).bitwiseOR(block(*BLOCKS[j]))
         for t, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))
     ]
-    return lines.select("node", "simhash", "length", F.explode(F.array(*tables)).alias("k")).select("node", "simhash", "length", "k.table", "k.key")
+    return lines.select("node", "simhash", "length", F.explode(F.array(*keys)).alias("key"))
 
 
 def _fits(length_a: str, length_b: str) -> Column:
@@ -94,7 +123,7 @@ def _fits(length_a: str, length_b: str) -> Column:
 def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of distinct lines whose edit similarity holds; their text is read from a first occurrence."""
     wanted = lines.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
-    at = wanted.groupBy("first.doc_id", "first.text_key").agg(F.collect_list(F.struct("first.line", "node")).alias("at")).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    at = _small(cut(wanted.groupBy("first.doc_id", "first.text_key").agg(F.collect_list(F.struct("first.line", "node")).alias("at")).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})), "at")
     # Equal rows give the same lines again; one of each is enough.
     sources = docs.filter("text IS NOT NULL").select("doc_id", "text").join(at, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key")))
     split = sources.select("at", F.split(normalised(F.col("text")), "\n").alias("norms"))
@@ -113,7 +142,7 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame,
         lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("simhash").alias("simhash"), F.any_value("length").alias("length"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    w = Window.partitionBy("table", "key").orderBy("simhash", "length", "node")
+    w = Window.partitionBy("key").orderBy("simhash", "length", "node")
     around = _keys(distinct).withColumns({"before": F.lag(F.struct("node", "simhash", "length")).over(w), "after": F.lead("node").over(w)})
     met = cut(around.filter("before IS NOT NULL OR after IS NOT NULL"))
     chain = (
@@ -123,13 +152,13 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame,
     chain = cut(chain)
     links = cut(_verified(chain, distinct, docs))
     # Keys of three lines or more can hold pairs that are no neighbours.
-    wide = met.join(met.filter("before IS NOT NULL AND after IS NOT NULL").select("table", "key").distinct(), ["table", "key"], "left_semi").select("node", "simhash", "length", "table", "key")
+    wide = met.join(met.filter("before IS NOT NULL AND after IS NOT NULL").select("key").distinct(), "key", "left_semi").select("node", "simhash", "length", "key")
     named = wide.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = named.groupBy("table", "key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high").select("table", "key")
-    left = named.join(mixed, ["table", "key"], "left_semi")
-    right = left.select(F.col("table").alias("_table"), F.col("key").alias("_key"), F.col("node").alias("b"), F.col("simhash").alias("sim_b"), F.col("length").alias("len_b"), F.col("component").alias("_component"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high").select("key")
+    left = named.join(mixed, "key", "left_semi")
+    right = left.select(F.col("key").alias("_key"), F.col("node").alias("b"), F.col("simhash").alias("sim_b"), F.col("length").alias("len_b"), F.col("component").alias("_component"))
     across = left.join(
-        right, (F.col("table") == F.col("_table")) & (F.col("key") == F.col("_key")) & (F.col("component") < F.col("_component")) & (_bits("simhash", "sim_b") <= MAX_BITS) & _fits("length", "len_b"),
+        right, (F.col("key") == F.col("_key")) & (F.col("component") < F.col("_component")) & (_bits("simhash", "sim_b") <= MAX_BITS) & _fits("length", "len_b"),
     ).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     fresh = cut(across.join(chain, ["a", "b"], "left_anti"))
     every = components(links.unionByName(_verified(fresh, distinct, docs)))
@@ -140,18 +169,19 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame,
 
 def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with their columns, ``text`` without the removed lines, and ``n_lines`` and ``n_removed``."""
+    id_name, key_name, gone_name = unused(docs, "_id", "_key", "_gone")
     lines, groups = line_groups(docs, min_words)
     gone = (
         lines.select("doc_id", "text_key", "line", "h1", "h2").join(groups.filter("group_size > 1"), ["h1", "h2"])
         .filter(~F.struct("doc_id", "text_key", "line").eqNullSafe(F.col("keeper")))
-        .groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("_gone")).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+        .groupBy(F.col("doc_id").alias(id_name), F.col("text_key").alias(key_name)).agg(F.collect_set("line").alias(gone_name))
     )
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    met = docs.select(*kept).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key")), "left")
-    parts = F.split("text", "\n", -1)
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone"), lambda i: F.get(parts, i))
+    parts_name = unused(docs, "_parts")[0]
+    met = docs.select(*kept, F.split("text", "\n", -1).alias(parts_name)).join(_small(cut(gone), gone_name), F.col("doc_id").eqNullSafe(F.col(id_name)) & (text_key(F.col("text")) == F.col(key_name)), "left")
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts_name) - 1), gone_name), lambda i: F.get(parts_name, i))
     return met.select(
-        *[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text") if c == "text" else F.col(c) for c in kept],
-        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *[F.when(F.col(gone_name).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text") if c == "text" else F.col(c) for c in kept],
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts_name)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(gone_name), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -27,12 +27,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tieweave.llm import text as tx
 from tieweave.llm.components import components
+from tieweave.llm.names import unused
 from tieweave.session import broadcast_if_small, cut
 
 WORDS = 4
 #: Least Jaccard share in per cent.
 PERCENT = 85
 SKETCH_BITS = 16
+#: Slots of the parity map that goes with an entry.
+COARSE_BITS = 512
 #: So many classes (an id, a digest and a number each) are sent to the tasks at most; more are joined by shuffle.
 WANTED_ROWS = 500_000
 
@@ -76,6 +79,11 @@ def parity_bitmap(grams: np.ndarray) -> bytes:
     return np.packbits(np.bincount((grams & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1, bitorder="little").tobytes()
 
 
+def coarse_bitmap(grams: np.ndarray) -> np.ndarray:
+    """Parity map of fixed size, for the join condition."""
+    return np.packbits(np.bincount((grams & np.uint64(COARSE_BITS - 1)).astype(np.int64), minlength=COARSE_BITS) & 1, bitorder="little").view(np.int64)
+
+
 def least_difference(a: bytes, b: bytes) -> int:
     """Lower bound on the number of n-grams that are in one of two sets only."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -130,14 +138,14 @@ def _classes(docs: DataFrame, sketch, n: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array([keys[i] for i in rows], pa.binary()), pa.array([len(sets[i]) for i in rows], pa.int64()),
-                    pa.array(prefixes, pa.list_(pa.int64())), pa.array([parity_bitmap(sets[i]) for i in rows], pa.binary()),
+                    pa.array(prefixes, pa.list_(pa.int64())), pa.array([parity_bitmap(sets[i]) for i in rows], pa.binary()), pa.array([coarse_bitmap(sets[i]) for i in rows], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "text_key", "size", "prefix", "bitmap"],
+                names=["doc_id", "text_key", "size", "prefix", "bitmap", "coarse"],
             )
 
-    each = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text_key binary, size long, prefix array<long>, bitmap binary")
+    each = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text_key binary, size long, prefix array<long>, bitmap binary, coarse array<long>")
     return cut(
-        each.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"), F.any_value("bitmap").alias("bitmap"))
+        each.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"), F.any_value("bitmap").alias("bitmap"), F.any_value("coarse").alias("coarse"))
         .withColumn("node", F.monotonically_increasing_id())
     )
 
@@ -189,14 +197,21 @@ def _first_pairs(shared: DataFrame, percent: int) -> DataFrame:
     return _pairs(met.select("x", F.explode(F.array_distinct("ys")).alias("y")).filter(F.col("x.node") != F.col("y.node")), percent)
 
 
-def _pairs_across(shared: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+def _coarsely_near(x: str, y: str, percent: int) -> Column:
+    """Whether the coarse maps of two entries leave the threshold in reach."""
+    apart = sum((F.bit_count(F.col(f"{x}.coarse")[k].bitwiseXOR(F.col(f"{y}.coarse")[k])) for k in range(1, COARSE_BITS // 64)), F.bit_count(F.col(f"{x}.coarse")[0].bitwiseXOR(F.col(f"{y}.coarse")[0])))
+    sizes = F.col(f"{x}.size") + F.col(f"{y}.size")
+    return (100 + percent) * (sizes - apart) >= 2 * percent * sizes
+
+
+def _pairs_across(shared: DataFrame, classes: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """All pairs that no bound rules out between different components of ``links``."""
     named = shared.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     # N-grams of two classes are settled by the first pairs.
     mixed = named.groupBy("gram").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("_n")).filter("_low <> _high AND _n > 2").select("gram")
-    left = named.join(mixed, "gram", "left_semi").select("gram", "component", F.struct("node", "size", "pos", "before").alias("x"))
+    left = named.join(mixed, "gram", "left_semi").join(classes.select("node", "coarse"), "node").select("gram", "component", F.struct("node", "size", "pos", "before", "coarse").alias("x"))
     right = left.select(F.col("gram").alias("_gram"), F.col("component").alias("_component"), F.col("x").alias("y"))
-    met = left.join(right, (F.col("gram") == F.col("_gram")) & (F.col("component") < F.col("_component")) & _possible("x", "y", percent))
+    met = left.join(right, (F.col("gram") == F.col("_gram")) & (F.col("component") < F.col("_component")) & _possible("x", "y", percent) & _coarsely_near("x", "y", percent))
     return _pairs(met.select("x", "y"), percent)
 
 
@@ -260,12 +275,12 @@ def text_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     pairs = cut(_near_bitmaps(_first_pairs(shared, percent), classes, percent))
     # Were all these pairs links, pairs across would be fewer: classes in neither have no partner,
     # or are joined to a component, and so are in ``pairs``.
-    likely = _near_bitmaps(_pairs_across(shared, pairs, percent), classes, percent)
+    likely = _near_bitmaps(_pairs_across(shared, classes, pairs, percent), classes, percent)
     nodes = pairs.unionByName(likely).select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = _class_sets(docs, cut(classes.select("node", "text_key", "first_id").join(nodes, "node", "left_semi")), n)
 
     links = cut(_verified(pairs, sets, percent))
-    fresh = _pairs_across(shared, links, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    fresh = _pairs_across(shared, classes, links, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     more = _verified(_near_bitmaps(fresh, classes, percent), sets, percent)
 
     found = components(links.unionByName(more))
@@ -285,12 +300,14 @@ def near_copies(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Data
 
 def one_of_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """One document of every component, the one of least id, with all its columns; texts without words all stay."""
-    found = cut(text_components(docs, n, percent).filter("component IS NOT NULL").select("doc_id", "raw_key", "component"))
-    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "raw_key")).alias("_first"))
-    gone = found.join(first, "component").filter(~F.struct("doc_id", "raw_key").eqNullSafe(F.col("_first"))).select(F.col("doc_id").alias("_id"), F.col("raw_key").alias("_key")).distinct()
-    same_row = F.col("doc_id").eqNullSafe(F.col("_id")) & (raw_key() == F.col("_key"))
+    id_name, key_name = unused(docs, "_id", "_key")
+    found = cut(text_components(docs, n, percent).filter("component IS NOT NULL").select(F.col("doc_id").alias(id_name), F.col("raw_key").alias(key_name), "component"))
+    row = F.struct(id_name, key_name)
+    first = found.groupBy("component").agg(F.min(row).alias("first"))
+    gone = found.join(first, "component").filter(~row.eqNullSafe(F.col("first"))).select(id_name, key_name).distinct()
+    same_row = F.col("doc_id").eqNullSafe(F.col(id_name)) & (raw_key() == F.col(key_name))
     kept = docs.join(broadcast_if_small(cut(gone), WANTED_ROWS), same_row, "left_anti")
-    twice = cut(found.groupBy(F.col("doc_id").alias("_id"), F.col("raw_key").alias("_key")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"))
+    twice = cut(found.groupBy(id_name, key_name).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1").drop("n_rows"))
     if twice.isEmpty():
         return kept
     # Rows equal in id and text are one document: only they are gathered by key.

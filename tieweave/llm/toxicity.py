@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tieweave.llm import text as tx
+from tieweave.llm.names import unused
 
 #: Largest number of labelled texts that are learned from (in the mean; picked by hash).
 TRAIN_ROWS = 20_000
@@ -203,21 +204,21 @@ def _newton(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, steps: int = 12) ->
     return w[:-1], float(w[-1])
 
 
-def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """All documents with ``score`` and ``predicted``; other columns stay (and clashing ones give way)."""
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = docs.select(*kept).schema.add("score", "double").add("predicted", "integer")
+def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All documents with the score and the prediction under ``names``; other columns stay, those of the same names give way."""
+    kept = [c for c in docs.columns if c not in names]
+    schema = docs.select(*kept).schema.add(names[0], "double").add(names[1], "integer")
     shared = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.intercept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, weights, intercept = shared.value
         chosen = pa.array(features, pa.string())
         for batch, texts in tx.slices(batches, "text"):
-            at, feature, names = text_features(texts)
-            place = pc.fill_null(pc.index_in(names, value_set=chosen), -1).to_numpy(zero_copy_only=False)[feature]
+            at, feature, held = text_features(texts)
+            place = pc.fill_null(pc.index_in(held, value_set=chosen), -1).to_numpy(zero_copy_only=False)[feature]
             logit = intercept + np.bincount(at[place >= 0], weights=weights[place[place >= 0]], minlength=len(texts))
             score = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*kept, *names])
 
     return docs.select(*kept).mapInArrow(run, schema)
 
@@ -230,4 +231,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
 
 def not_toxic(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
-    return scored(docs, fit(docs, labels, rows)).filter("predicted = 0").select(*docs.columns)
+    names = unused(docs, "score", "predicted")
+    return scored(docs, fit(docs, labels, rows), names=tuple(names)).filter(F.col(names[1]) == 0).select(*docs.columns)
