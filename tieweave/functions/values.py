@@ -125,7 +125,7 @@ GOLDEN_CATEGORIES = ("role-cliff", "ambiguous", "longtail", "one-hop")
 
 # Feedback form rules.
 TITLE_LENGTH = (10, 40)
-WHEN_THEN = r"(?is)当.*的时候.*希望|when.*then"
+WHEN_THEN = r"(?i)当.*的时候.*希望|when.*then"
 BULLET = r"(?m)^\s*([-*]|\d+\.)\s+\S"
 FEEDBACK_TYPES = ("bug", "feature")
 SEVERITIES = ("blocking", "daily", "nice")

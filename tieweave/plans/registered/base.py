@@ -129,7 +129,7 @@ _CTES: dict[str, tuple[list[str], str]] = {
                coalesce(need_rows.needs, {_NONE})
         FROM customer JOIN nation ON c_nationkey = n_nationkey
         LEFT JOIN documents d ON d.doc_id = c_custkey
-        LEFT JOIN (SELECT conv_id, text FROM conversations WHERE turn = 0) v ON v.conv_id = c_custkey
+        LEFT JOIN (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id) v ON v.conv_id = c_custkey
         LEFT JOIN dear ON dear.o_custkey = c_custkey LEFT JOIN part ON p_partkey = dear.pk
         LEFT JOIN need_rows ON need_rows.o_custkey = c_custkey
         UNION ALL

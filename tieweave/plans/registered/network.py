@@ -256,12 +256,12 @@ def _(t):
     return A.clique_summary(t.person)
 
 
-@query("e10_tag_cliques", """WITH member AS (SELECT DISTINCT network_id, person_id, unnest(tags || skills) AS company FROM contact WHERE person_id >= 1000000000),
+@query("e10_tag_cliques", """WITH member AS (SELECT DISTINCT network_id, person_id, unnest(tags || skills) AS company FROM contact),
   size AS (SELECT network_id, company, count(*) AS n FROM member GROUP BY ALL HAVING n >= 2)
   SELECT s.network_id, count(*) AS companies, any_value(pairs) AS pairs FROM size s JOIN (SELECT a.network_id, count(DISTINCT a.person_id || '-' || b.person_id) AS pairs FROM member a JOIN member b USING (network_id, company) WHERE a.person_id < b.person_id GROUP BY ALL) p USING (network_id) GROUP BY ALL""")
 def _(t):
-    """Suppliers by shared tags and skills: many values per person, so both counting ways are used."""
-    rows = t.person.filter("person_id >= 1000000000").withColumn("companies", F.concat("tags", "skills"))
+    """Everybody by shared tags and skills: one value for some, many for others, so both counting ways are used."""
+    rows = t.person.withColumn("companies", F.concat("tags", "skills"))
     return A.clique_summary(rows)
 
 

@@ -34,11 +34,6 @@ def _(t):
     return T.nearest_people(t.label_goal, t.embedding_all, 20, goals_in_task=0)
 
 
-@query("i1b_knn_approximate")
-def _(t):
-    return T.approximate_people(t.label_goal, t.embedding_all, 20, radius=1.3, bucket=0.5, tables=3)
-
-
 @query("e11_keyword_hits", "SELECT goal_id, network_id, channel, person_id, hits FROM hit")
 def _(t):
     return T.keyword_hits(t.goal, t.person)
@@ -81,13 +76,13 @@ def _(t):
     return T.hybrid_search(t.goal, t.person, t.embedding)
 
 
-@query("f2_max_normalised", "SELECT goal_id, network_id, person_id, round(hits / max(hits) OVER (PARTITION BY goal_id), 6) AS score FROM hit WHERE channel = 'helper'")
+@query("f2_max_normalised", "SELECT goal_id, network_id, channel, person_id, round(hits / max(hits) OVER (PARTITION BY goal_id, channel), 6) AS score FROM hit")
 def _(t):
     from tieweave.operators.ranking import max_normalise
 
-    hits = T.keyword_hits(t.goal, t.person).filter("channel = 'helper'")
-    rows = hits.select("goal_id", "network_id", "person_id", F.col("hits").cast("double").alias("score"))
-    return max_normalise(rows, ["goal_id", "network_id"], "score")
+    hits = T.keyword_hits(t.goal, t.person)
+    rows = hits.select("goal_id", "network_id", "channel", "person_id", F.col("hits").cast("double").alias("score"))
+    return max_normalise(rows, ["goal_id", "network_id", "channel"], "score")
 
 
 @query("f7_top_k_per_goal", "SELECT goal_id, network_id, channel, person_id, hits, rank FROM (SELECT *, row_number() OVER (PARTITION BY goal_id, channel ORDER BY hits DESC, person_id) AS rank FROM hit) WHERE rank <= 5")
@@ -328,7 +323,7 @@ def _(t):
     return P.paths_between(_requests(t), t.edge)
 
 
-_TYPED = """typed AS (SELECT c_custkey AS request_id, 'n' || c_nationkey AS network_id, upper(c_name) AS start_typed, 'NATION_1' AS end_typed FROM customer WHERE c_acctbal > 5000),
+_TYPED = """typed AS (SELECT c_custkey AS request_id, 'n' || c_nationkey AS network_id, upper(c_name) AS start_typed, 'NATION_1' AS end_typed FROM customer),
   both_ends AS (SELECT request_id, network_id, 'source_id' AS side, lower(trim(start_typed)) AS term FROM typed UNION ALL SELECT request_id, network_id, 'target_id', lower(trim(end_typed)) FROM typed),
   picked AS (SELECT request_id, b.network_id, side, arg_min(person_id, {l: lower(name) <> term, m: NOT is_me, n: name, p: person_id}) AS person_id,
              count(*) FILTER (lower(name) = term) > 1 AS amb FROM both_ends b JOIN person p ON p.network_id = b.network_id AND contains(lower(p.name), term) GROUP BY ALL)"""
@@ -337,7 +332,7 @@ _TYPED = """typed AS (SELECT c_custkey AS request_id, 'n' || c_nationkey AS netw
 @query("c12_resolve_endpoints", f"""WITH {_TYPED} SELECT s.request_id, s.network_id, s.person_id AS source_id, s.amb AS source_id_ambiguous, e.person_id AS target_id, e.amb AS target_id_ambiguous
   FROM picked s JOIN picked e ON s.request_id = e.request_id AND s.side = 'source_id' AND e.side = 'target_id' WHERE s.person_id <> e.person_id""")
 def _(t):
-    asked = t.raw("customer").filter("c_acctbal > 5000").select(
+    asked = t.raw("customer").select(
         F.col("c_custkey").alias("request_id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("network_id"),
         F.upper("c_name").alias("start_typed"), F.lit("NATION_1").alias("end_typed"),
     )

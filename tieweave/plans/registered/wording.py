@@ -191,13 +191,13 @@ def _edge_answers(t):
     )
     parts = [edge(other(1), "4", '"Monthly"'), edge(other(1), "1", "null"), edge(other(3), '"5"', '"daily"'), edge(F.lit("P000"), "2", "null"), edge(F.lit("P99999"), "true", "1"), edge(F.col("token"), "3", "null"), edge(other(4), "2.5", "null")]
     raw = F.concat(F.lit('{"edges": [7, '), F.concat_ws(", ", *parts), F.lit('], "unknown_mentions": ["Mike", " Mike ", 3, "Ann"]}'))
-    return ids.filter("ord % 3 = 0").select("network_id", F.col("person_id").alias("request_id"), raw.alias("raw"))
+    return ids.select("network_id", F.col("person_id").alias("request_id"), raw.alias("raw"))
 
 
 _PROP = f"""{_P}, num AS (SELECT network_id, person_id, name, row_number() OVER (PARTITION BY network_id ORDER BY name, person_id) AS n FROM contact),
   prop AS (SELECT a.network_id, a.person_id AS request_id, least(a.person_id, b.person_id) AS low_id, greatest(a.person_id, b.person_id) AS high_id, CASE d WHEN 1 THEN 4 WHEN 3 THEN 5 END AS strength,
     CASE d WHEN 1 THEN 'monthly' END AS frequency, 'met ' || a.name AS context, CAST(NULL AS VARCHAR) AS rationale
-    FROM num a, (SELECT unnest([1, 3, 4]) AS d), num b WHERE a.n % 3 = 0 AND b.network_id = a.network_id AND b.n = a.n + d)"""
+    FROM num a, (SELECT unnest([1, 3, 4]) AS d), num b WHERE b.network_id = a.network_id AND b.n = a.n + d)"""
 
 
 @query("j4_edge_proposals", f"WITH {_PROP} SELECT * FROM prop")
@@ -206,7 +206,7 @@ def _(t):
     return rows.select("network_id", "request_id", "low_id", "high_id", "strength", "frequency", "context", "rationale")
 
 
-@query("j4_unknown_mentions", f"WITH {_PROP} SELECT network_id, person_id AS request_id, unnest(['Mike', 'Ann']) AS mention FROM num WHERE n % 3 = 0")
+@query("j4_unknown_mentions", f"WITH {_PROP} SELECT network_id, person_id AS request_id, unnest(['Mike', 'Ann']) AS mention FROM num")
 def _(t):
     return E.unknown_mentions(_edge_answers(t))
 
@@ -232,15 +232,14 @@ def _(t):
 
 def _accepted(t):
     """Accepted proposals: known pairs and new ones, self loops and unknown people."""
-    rows = t.edge.filter("edge_id % 2 = 0")
-    return rows.select(
+    return t.edge.select(
         "network_id", "source_id",
         F.when(F.col("edge_id") % 6 == 0, F.col("source_id")).when(F.col("edge_id") % 10 == 0, F.lit(-999)).otherwise(F.col("target_id")).alias("target_id"),
         F.lit(1).alias("strength"), F.lit("told").alias("context"), F.lit("rare").alias("frequency"), F.col("edge_id").alias("seq"),
     )
 
 
-_ACC = "acc AS (SELECT network_id, source_id, CASE WHEN edge_id % 6 = 0 THEN source_id WHEN edge_id % 10 = 0 THEN -999 ELSE target_id END AS target_id, edge_id % 6 <> 0 AND edge_id % 10 <> 0 AS ok FROM edge WHERE edge_id % 2 = 0)"
+_ACC = "acc AS (SELECT network_id, source_id, CASE WHEN edge_id % 6 = 0 THEN source_id WHEN edge_id % 10 = 0 THEN -999 ELSE target_id END AS target_id, edge_id % 6 <> 0 AND edge_id % 10 <> 0 AS ok FROM edge)"
 
 
 @query("j5_applied_proposals", f"""WITH {_ACC} SELECT e.network_id, e.source_id, e.target_id, CASE WHEN a.ok THEN 1 ELSE e.strength END AS strength, CASE WHEN a.ok THEN 'told' ELSE e.context END AS context

@@ -71,7 +71,9 @@ def _person(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy("o_custkey").agg(F.sort_array(F.collect_list("p_type")).alias("needs"))
     )
     bios = t("documents").select(F.col("doc_id").alias("c_custkey"), F.col("text").alias("bio"))
-    notes = t("conversations").filter("turn = 0").select(F.col("conv_id").alias("c_custkey"), F.col("text").alias("notes"))
+    # A conversation's turns, in their order, are the notes on one person.
+    turns = F.sort_array(F.collect_list(F.struct("turn", "text")))
+    notes = t("conversations").groupBy(F.col("conv_id").alias("c_custkey")).agg(F.array_join(F.transform(turns, lambda x: x["text"]), "\n").alias("notes"))
     customer = (
         t("customer")
         .join(nation, F.col("c_nationkey") == F.col("nation"))
@@ -179,10 +181,10 @@ def goal(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _goal(spark: SparkSession, sf: str) -> DataFrame:
-    # Labels are a small closed set; every nation gets each of them.
-    labels = label_queries(spark, sf).select(F.col("goal_id").alias("label"), "vector")
+    # Labels are a stated set, held in one row; every nation gets each of them.
+    labels = label_queries(spark, sf).agg(F.collect_list(F.struct(F.col("goal_id").alias("label"), "vector")).alias("labels"))
     nations = raw(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("nation"), "n_name")
-    both = nations.withColumn("label", F.explode(F.sequence(F.lit(0), F.lit(9)))).join(labels, "label")
+    both = nations.crossJoin(F.broadcast(labels)).withColumn("x", F.explode("labels")).select("nation", "n_name", "x.label", "x.vector")
     label = F.col("label")
     return both.select(
         (label * 100 + F.col("nation")).alias("goal_id"),
