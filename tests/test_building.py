@@ -94,3 +94,27 @@ def test_alias_rule_shapes(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"B ": [" x", "", 3], "A": ["y"], "C": "no list"}', encoding="utf-8")
     rows = C.read_alias_rules(spark, str(tmp_path)).orderBy("group_ord", "member_ord").collect()
     assert [(r.canonical, r.alias) for r in rows] == [("B", "x"), ("B", "3"), ("A", "y")]
+
+
+def test_import_keeps_namesakes_and_strangers(spark):
+    known = people_frame(spark, [*OWNER, {"person_id": 2, "name": "Ann", "tags": ["x"]}, {"person_id": 3, "name": "Ann", "tags": ["y"]}, {"person_id": 4, "name": "Bo"}])
+    out = build_network(sheet(spark, [("Cy", "2"), ("Ann", "4")], ["姓名", V.H_STRENGTH]), known, colleagues=False)
+    people = {r.person_id: r for r in out.people.collect()}
+    assert {i: r.name for i, r in people.items()} == {1: "Me", 2: "Ann", 3: "Ann", 4: "Bo", 5: "Cy"}
+    assert people[2].tags == ["x"] and people[3].tags == ["y"]
+    assert {(r.source_id, r.target_id, r.strength) for r in out.edges.collect()} == {(1, 2, 4), (1, 5, 2)}
+
+
+def test_known_edges_keep_id_and_introducer_and_new_ones_follow(spark):
+    known = people_frame(spark, [*OWNER, {"person_id": 7, "name": "A"}, {"person_id": 8, "name": "B"}])
+    old = edge_frame(spark, [(1, 7, 2, "kept"), (7, 8, 1)]).withColumn("introduced_by_id", F.when(F.col("edge_id") == 1, 8).cast("long"))
+    out = build_network(sheet(spark, [("A", "5"), ("D", "1")], ["姓名", V.H_STRENGTH]), known, edges=old, colleagues=False)
+    got = {(r.source_id, r.target_id): (r.edge_id, r.introduced_by_id, r.strength) for r in out.edges.collect()}
+    assert got == {(1, 7): (1, 8, 5), (7, 8): (2, None, 1), (1, 9): (3, None, 1)}
+
+
+def test_refused_strengths_are_returned_and_not_stored(spark):
+    rows = spark.createDataFrame([("n", 1, "A", "9"), ("n", 2, "B", "0"), ("n", 3, "C", "4")], "network_id string, seq long, name string, strength string")
+    out = build_network(C.clean_contacts(rows), people_frame(spark, OWNER), colleagues=False)
+    assert {r.name for r in out.people.collect()} == {"Me", "C"} and [r.strength for r in out.edges.collect()] == [4]
+    assert {(r.name, r.strength) for r in out.refused.collect()} == {("A", 9), ("B", 0)}

@@ -10,6 +10,7 @@ from tieweave.functions import values as V
 from tieweave.operators.analytics import NET, colleague_pairs, me_rows
 from tieweave.operators.folding import merge_people, pair_choice, replace_people, upsert_edges
 from tieweave.operators.ranking import positions
+from tieweave.operators.validation import split_contact_rows
 from tieweave.schema import ATTRIBUTES
 from tieweave.session import cut
 from tieweave.sources.contacts import peer_mentions
@@ -23,17 +24,24 @@ class Built:
     edges: DataFrame
     unresolved: DataFrame
     stats: DataFrame
+    refused: DataFrame
+
+
+def named_ids(people: DataFrame) -> DataFrame:
+    """The person that a name stands for: of namesakes the one of least id."""
+    return people.filter(~F.col("is_me")).groupBy(NET, "name").agg(F.min("person_id").alias("person_id"))
 
 
 def with_existing(rows: DataFrame, existing: DataFrame | None, mode: str) -> DataFrame:
-    """Fold rows into people; already known people count as written before every row."""
+    """Fold rows into people; the known person of a row's name counts as written before every row."""
     fold = merge_people if mode == "merge" else replace_people
     cols = ["network_id", "name", "bio", "notes", *ATTRIBUTES, "is_wishlist"]
     new = rows.select(*cols, F.struct(F.lit(1).alias("step"), F.col("seq").alias("at")).alias("seq"))
     if existing is None:
         return fold(new)
     at = new.schema["seq"].dataType["at"].dataType
-    old = existing.filter(~F.col("is_me")).select(
+    asked = named_ids(existing).join(rows.select(NET, "name").distinct(), [NET, "name"], "left_semi").select(NET, "person_id")
+    old = existing.join(asked, [NET, "person_id"], "left_semi").select(
         *cols, F.struct(F.lit(0).alias("step"), F.lit(None).cast(at).alias("at")).alias("seq")
     )
     return fold(new.unionByName(old))
@@ -41,7 +49,7 @@ def with_existing(rows: DataFrame, existing: DataFrame | None, mode: str) -> Dat
 
 def assign_ids(people: DataFrame, existing: DataFrame) -> DataFrame:
     """Keep known ids; number new people per network in the order they were first seen."""
-    ids = existing.filter(~F.col("is_me")).groupBy(NET, "name").agg(F.min("person_id").alias("person_id"))
+    ids = named_ids(existing)
     # The fold feeds both halves below, so it is run once.
     marked = cut(people.join(ids, [NET, "name"], "left"))
     known = marked.filter(F.col("person_id").isNotNull())
@@ -55,7 +63,7 @@ def assign_ids(people: DataFrame, existing: DataFrame) -> DataFrame:
 
 def owner_edges(rows: DataFrame, people: DataFrame, me: DataFrame) -> DataFrame:
     """One edge write per contacted row, in row order."""
-    ids = people.select(NET, "name", "person_id")
+    ids = named_ids(people)
     frequency = F.col("frequency") if "frequency" in rows.columns else F.lit(V.DEFAULT_FREQUENCY)
     return rows.filter(~F.col("is_wishlist")).join(ids, [NET, "name"]).join(me, NET).select(
         NET, F.col("me_id").alias("source_id"), F.col("person_id").alias("target_id"), "strength", "context",
@@ -65,7 +73,7 @@ def owner_edges(rows: DataFrame, people: DataFrame, me: DataFrame) -> DataFrame:
 
 def resolve_peers(mentions: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Mentions with both ids, and mentions whose peer is not in the network."""
-    ids = people.filter(~F.col("is_me")).groupBy(NET, "name").agg(F.min("person_id").alias("id"))
+    ids = named_ids(people).withColumnRenamed("person_id", "id")
     a = ids.select(NET, "name", F.col("id").alias("a_id"))
     b = ids.select(NET, F.col("name").alias("peer"), F.col("id").alias("b_id"))
     both = mentions.join(a, [NET, "name"], "left").join(b, [NET, "peer"], "left")
@@ -102,6 +110,24 @@ def in_steps(batches: list[DataFrame]) -> DataFrame:
     return out
 
 
+def with_edge_ids(edges: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Edges with ``edge_id`` and ``introduced_by_id``: those of known edges stay, new ones are numbered on from the largest.
+
+    A known direction that is written again keeps its id, whoever wrote last.
+    """
+    key = [NET, "source_id", "target_id"]
+    if known is None:
+        fresh = positions(edges.drop("edge_id"), [NET], [F.col("source_id"), F.col("target_id")], "edge_id")
+        return fresh.withColumn("introduced_by_id", F.lit(None).cast("long"))
+    introducer = F.max("introduced_by_id") if "introduced_by_id" in known.columns else F.lit(None).cast("long")
+    ids = known.groupBy(*key).agg(F.max("edge_id").alias("edge_id"), introducer.alias("introduced_by_id"))
+    marked = cut(edges.drop("edge_id", "introduced_by_id").join(ids, key, "left"))
+    fresh = positions(marked.filter(F.col("edge_id").isNull()).drop("edge_id"), [NET], [F.col("source_id"), F.col("target_id")], "_n")
+    top = known.groupBy(NET).agg(F.max("edge_id").alias("_top"))
+    numbered = fresh.join(top, NET, "left").withColumn("edge_id", F.col("_n") + F.greatest(F.coalesce("_top", F.lit(0)), F.lit(0))).drop("_n", "_top")
+    return marked.filter(F.col("edge_id").isNotNull()).unionByName(numbered)
+
+
 def infer_colleagues(people: DataFrame, edges: DataFrame, strength: int = V.COLLEAGUE_STRENGTH) -> DataFrame:
     """Edges plus one edge per pair sharing a company; edges set by hand stay as they are."""
     cols = [c for c in EDGE_COLUMNS if c != "seq"]
@@ -115,14 +141,23 @@ def build_network(
 ) -> Built:
     """Import cleaned rows into networks that hold at least their owner.
 
+    Only the people that rows name are folded; everybody else, namesakes included, passes
+    through. Rows of a strength outside 1..5 that are no wishes are not imported but returned.
+    Edges come with ids and can be searched as they are.
+
     Edge batches in order: known edges, owner edges, peers named in rows, relation
     sheet, shared companies. Within a batch the rules of that batch decide, across
     batches the provenance fold does.
     """
     me = me_rows(existing)
     rows = cut(rows)  # cleaned once, read by the fold and by every edge batch
+    wishes = F.coalesce("is_wishlist", F.lit(False))
+    fit, refused = split_contact_rows(rows.filter(~wishes))
+    rows = rows.filter(wishes).unionByName(fit)
     # Every edge batch joins the people, so they are folded and numbered once.
-    people = cut(assign_ids(with_existing(rows, existing, mode), existing))
+    folded = assign_ids(with_existing(rows, existing, mode), existing)
+    others = existing.filter(~F.col("is_me")).join(named_ids(existing).join(rows.select(NET, "name").distinct(), [NET, "name"], "left_semi"), [NET, "person_id"], "left_anti")
+    people = cut(folded.unionByName(others.select(*folded.columns)))
     batches = [owner_edges(rows, people, me)]
     lost = []
     if "peers" in rows.columns:
@@ -151,4 +186,4 @@ def build_network(
     )
     stats = rows.groupBy(NET).agg(F.count(F.lit(1)).alias("people")).join(written, NET, "left").na.fill(0)
     owner = existing.filter("is_me").select("network_id", "person_id", "name", "bio", "notes", "is_me", "is_wishlist", *ATTRIBUTES)
-    return Built(owner.unionByName(people), upsert_edges(in_steps(batches)), unresolved, stats)
+    return Built(owner.unionByName(people), with_edge_ids(upsert_edges(in_steps(batches)), edges), unresolved, stats, refused)

@@ -269,7 +269,25 @@ def _(t):
 
 @query("h1_built_edges", f"WITH {_PEERED} SELECT network_id, source_id, target_id, w.s AS strength, w.c AS context, w.f AS frequency, w.o AS source FROM built")
 def _(t):
-    return _built(t).edges
+    return _built(t).edges.drop("edge_id", "introduced_by_id")
+
+
+@query("h1_edge_ids", f"WITH {_PEERED} SELECT network_id, source_id, target_id, row_number() OVER (PARTITION BY network_id ORDER BY source_id, target_id) AS edge_id FROM built")
+def _(t):
+    return _built(t).edges.select("network_id", "source_id", "target_id", "edge_id")
+
+
+@query("h1_import_then_search", f"""WITH {_PEERED}, pair2 AS (SELECT network_id, least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM built),
+  near1 AS (SELECT p.network_id, CASE WHEN a = me_id THEN b ELSE a END AS person_id FROM pair2 p JOIN owner o ON o.network_id = p.network_id AND (a = me_id OR b = me_id)),
+  near2 AS (SELECT DISTINCT p.network_id, CASE WHEN p.a = n.person_id THEN p.b ELSE p.a END AS person_id FROM pair2 p JOIN near1 n ON n.network_id = p.network_id AND (p.a = n.person_id OR p.b = n.person_id))
+  SELECT network_id, count(*) AS reached FROM (SELECT * FROM near1 UNION SELECT n.* FROM near2 n JOIN owner o ON o.network_id = n.network_id WHERE person_id <> me_id) GROUP BY 1""")
+def _(t):
+    """Who a freshly built network reaches from its owner within two legs: the built edges go into the forest as they are."""
+    from tieweave.operators.analytics import me_rows
+    from tieweave.operators.paths import path_forest
+
+    built = _built(t)
+    return path_forest(built.edges, me_rows(built.people), max_hops=2).groupBy("network_id").agg(F.countDistinct("person_id").alias("reached"))
 
 
 @query("e1_built_people", f"WITH {_PEERED} SELECT network_id, person_id, name, is_wishlist, companies FROM numbered UNION ALL SELECT network_id, person_id, name, FALSE, '' FROM person WHERE is_me")
