@@ -4,6 +4,7 @@ import random
 from conftest import edge_frame, people_frame
 from pyspark.sql import functions as F
 
+from tieweave.sources.contacts import parse_alias_rules
 from tieweave.operators import aliases as L, analytics as A, enrichment as E, matching as M, pseudonyms as N, validation as D
 from tieweave.operators.folding import EDGE_KEY, upsert_edges
 
@@ -134,3 +135,18 @@ def test_feedback_rules(spark):
     schema = "type string, title string, submitter string, severity string, involved array<bigint>, screenshots array<string>, want_to_do string, did string, actual string, expected string, history string, user_story string, acceptance array<string>"
     rows = spark.createDataFrame([tuple(f.values()) for f in (form, bad)], schema)
     assert [r.violations for r in D.check_feedback(rows).orderBy(F.desc("type")).collect()] == [[], ["title_length", "screenshot_type", "history"]]
+
+
+def test_groups_of_two_answers_and_files_stay_apart(spark):
+    people = people_frame(spark, [{"person_id": i, "companies": [c]} for i, c in enumerate(["AA", "aa1", "BB", "bb1", "CC", "cc1"], 1)])
+    other = people.withColumn("network_id", F.lit("m"))
+    answers = spark.createDataFrame(
+        [("n", '{"groups": [{"canonical": "AA", "aliases": ["aa1"]}]}'), ("n", '{"groups": [{"canonical": "BB", "aliases": ["bb1"]}]}'), ("m", '{"groups": [{"canonical": "CC", "aliases": ["cc1"]}]}')],
+        "network_id string, raw string",
+    )
+    plan = L.plan_merges(people.unionByName(other), L.parse_clusters(answers)).collect()
+    assert {(r.network_id, r.canonical, r.alias) for r in plan} == {("n", "AA", "aa1"), ("n", "BB", "bb1"), ("m", "CC", "cc1")}
+    files = spark.createDataFrame([('{"AA": ["aa1"]}',), ('{"BB": ["bb1"]}',)], "raw string")
+    rules = parse_alias_rules(files).unionByName(L.builtin_rules(spark))
+    plan = L.plan_merges(people, rules).collect()
+    assert {(r.canonical, r.alias) for r in plan} == {("AA", "aa1"), ("BB", "bb1")}

@@ -10,7 +10,6 @@ from tieweave.operators.analytics import company_headcount
 from tieweave.operators.enrichment import parsed
 
 NET = "network_id"
-SOURCE_ORDER = {"file": 0, "builtin": 1, "model": 2}
 
 
 def builtin_rules(spark: SparkSession) -> DataFrame:
@@ -19,17 +18,22 @@ def builtin_rules(spark: SparkSession) -> DataFrame:
 
 
 def parse_clusters(responses: DataFrame) -> DataFrame:
-    """Rules from cluster answers (raw): groups without a canonical or other name drop out."""
+    """Rules from cluster answers (raw): groups without a canonical or other name drop out.
+
+    Where answers have a ``network_id``, their rules keep it and hold there only.
+    """
+    net = [NET] if NET in responses.columns else []
     groups = parsed(responses).filter(F.col("error").isNull()).select(
+        *net,
         F.posexplode(F.expr("try_variant_get(v, '$.groups', 'array<variant>')")).alias("group_ord", "g")
     ).filter(F.expr("schema_of_variant(g) like 'OBJECT%'"))
     named = groups.select(
-        "group_ord", F.trim(F.coalesce(F.expr("try_variant_get(g, '$.canonical', 'string')"), F.lit(""))).alias("canonical"),
+        *net, "group_ord", F.trim(F.coalesce(F.expr("try_variant_get(g, '$.canonical', 'string')"), F.lit(""))).alias("canonical"),
         F.expr("transform(try_variant_get(g, '$.aliases', 'array<variant>'), x -> trim(try_variant_get(x, '$', 'string')))").alias("names"),
     ).filter("canonical <> ''")
-    return named.select("canonical", "group_ord", F.posexplode("names").alias("member_ord", "alias")).filter(
+    return named.select(*net, "canonical", "group_ord", F.posexplode("names").alias("member_ord", "alias")).filter(
         "alias is not null and alias <> '' and alias <> canonical"
-    ).select("canonical", "alias", F.lit("model").alias("source"), "group_ord", "member_ord")
+    ).select(*net, "canonical", "alias", F.lit("model").alias("source"), "group_ord", "member_ord")
 
 
 _PLAN = "network_id string, canonical string, alias string, source string, headcount long, canonical_present boolean, member_ord int"
@@ -39,7 +43,9 @@ def _claim(rows: pd.DataFrame) -> pd.DataFrame:
     """Groups claim names one after the other; a group that folds nothing claims nothing."""
     taken: set[str] = set()
     out = []
-    for (_, _), group in rows.sort_values(["prio", "group_ord", "member_ord"]).groupby(["prio", "group_ord"], sort=True):
+    # Numbers start anew in every file and answer, so a group is known by its canonical name too.
+    key = ["prio", "group_ord", "canonical"]
+    for _, group in rows.sort_values([*key, "member_ord"]).groupby(key, sort=True):
         canonical, source = group["canonical"].iloc[0], group["source"].iloc[0]
         counts = dict(zip(group["alias"], group["headcount"]))
         free = [name for name in counts if name not in taken]
@@ -62,16 +68,20 @@ def plan_merges(people: DataFrame, rules: DataFrame) -> DataFrame:
     order, because each group may take names from later ones.
     """
     prio = F.when(F.col("source") == "file", 0).when(F.col("source") == "builtin", 1).otherwise(2)
-    cols = ["canonical", "source", "group_ord", prio.alias("prio")]
+    # Rules without a network hold in all of them.
+    of = F.col(NET) if NET in rules.columns else F.lit(None).cast("string")
+    rules = rules.select("*", of.alias("_of"))
+    cols = ["_of", "canonical", "source", "group_ord", prio.alias("prio")]
     members = rules.select(*cols, "alias", "member_ord").unionByName(
-        rules.select(*cols).distinct().select("canonical", "source", "group_ord", "prio", F.col("canonical").alias("alias"), F.lit(-1).alias("member_ord"))
+        rules.select(*cols).distinct().select("_of", "canonical", "source", "group_ord", "prio", F.col("canonical").alias("alias"), F.lit(-1).alias("member_ord"))
     )
     names = company_headcount(people.filter(~F.col("is_me"))).withColumnRenamed("company", "alias")
-    matched = names.join(members, "alias").groupBy(NET, "prio", "source", "group_ord", "canonical", "alias").agg(
+    matched = names.join(members, "alias").filter(F.col("_of").isNull() | (F.col("_of") == F.col(NET))).groupBy(NET, "prio", "source", "group_ord", "canonical", "alias").agg(
         F.min("member_ord").alias("member_ord"), F.max("headcount").alias("headcount")
     )
-    able = matched.groupBy(NET, "prio", "group_ord").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
-    return matched.join(able.drop("n"), [NET, "prio", "group_ord"], "left_semi").groupBy(NET).applyInPandas(_claim, _PLAN)
+    group = [NET, "prio", "group_ord", "canonical"]
+    able = matched.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    return matched.join(able.drop("n"), group, "left_semi").groupBy(NET).applyInPandas(_claim, _PLAN)
 
 
 def residual_names(people: DataFrame, plan: DataFrame) -> DataFrame:
