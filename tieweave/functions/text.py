@@ -112,17 +112,37 @@ def frequency_exact(c: Column) -> Column:
     return F.when(text.isin(*V.FREQUENCIES), text).otherwise(F.lit(V.DEFAULT_FREQUENCY))
 
 
+def _half_width(raw: Column) -> Column:
+    """A peer entry with one kind of brackets and no blanks at its end."""
+    return F.regexp_replace(F.translate(raw, "（）", "()"), r"\s+$", "")
+
+
+def _before_bracket(raw: Column) -> Column:
+    return F.substring_index(_half_width(raw), "(", 1)
+
+
+def _after_bracket(raw: Column) -> Column:
+    """What follows the first bracket; null if there is none."""
+    entry = _half_width(raw)
+    at = F.instr(entry, "(")
+    return F.when(at > 0, F.substring(entry, at + 1, F.length(entry)))
+
+
 def is_peer_entry(raw: Column) -> Column:
-    return raw.rlike(V.PEER_ENTRY)
+    """``name`` or ``name(parts)``: a name without brackets and commas, and one closing bracket, at the end."""
+    name, rest = _before_bracket(raw), _after_bracket(raw)
+    closed = rest.isNull() | (F.instr(rest, ")") == F.length(rest)) & (F.length(rest) > 0)
+    return (F.length(name) > 0) & ~name.rlike("[),，]") & closed
 
 
 def peer_name(raw: Column) -> Column:
-    return strip(F.regexp_extract(raw, V.PEER_ENTRY, 1))
+    return strip(_before_bracket(raw))
 
 
 def peer_parts(raw: Column) -> Column:
     """What stands in the brackets of ``name(strength, context)``."""
-    return split_items(F.regexp_extract(raw, V.PEER_ENTRY, 2), V.PEER_INSIDE_SEPARATORS)
+    rest = F.coalesce(_after_bracket(raw), F.lit(""))
+    return split_items(F.substring(rest, F.lit(1), F.greatest(F.length(rest) - 1, F.lit(0))), V.PEER_INSIDE_SEPARATORS)
 
 
 def peer_strength(parts: Column) -> Column:
@@ -160,14 +180,6 @@ def scrub(text: Column) -> Column:
     return F.when(F.contains(plain, F.lit("@")), mails).otherwise(numbers)
 
 
-def pair_low(a: Column, b: Column) -> Column:
-    return F.least(a, b)
-
-
-def pair_high(a: Column, b: Column) -> Column:
-    return F.greatest(a, b)
-
-
 def edge_key(a: Column, b: Column) -> Column:
     return F.concat_ws("_", F.lit("e"), F.least(a, b).cast("string"), F.greatest(a, b).cast("string"))
 

@@ -9,7 +9,6 @@ EMPTY_WORDS = ("nan", "none", "null", "-")
 # Any of these separates list items in a profile cell.
 LIST_SEPARATORS = r"[,，、;；/／\|｜]+"
 PEER_SEPARATORS = r"[;；\n]+"
-PEER_ENTRY = r"^\s*([^()（）,，]+?)(?:\s*[（(]\s*([^）)]*)\s*[)）])?\s*$"
 PEER_INSIDE_SEPARATORS = r"[,，、]"
 
 FREQUENCIES = ("weekly", "monthly", "quarterly", "yearly", "rare")

@@ -10,7 +10,6 @@ from tieweave.functions.text import edge_key
 from tieweave.schema import ATTRIBUTES
 
 EDGE_KEY = ["network_id", "source_id", "target_id"]
-EDGE_PAYLOAD = ["strength", "context", "frequency", "source"]
 
 
 def source_priority(c: Column) -> Column:

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tieweave.functions import values as V
-from tieweave.operators.ranking import top_k
 
 HEAD = 30
 
@@ -113,7 +112,3 @@ def pair_scores(candidates: DataFrame, scores: DataFrame, head: int = HEAD) -> D
 
 def cut_to(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.filter(F.col("rank") <= k)
-
-
-def top_by_score(rows: DataFrame, k: int) -> DataFrame:
-    return top_k(rows, ["goal_id", "network_id"], [F.col("score").desc(), F.col("person_id")], k)

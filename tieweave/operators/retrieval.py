@@ -105,27 +105,6 @@ def _blocks(asked: DataFrame, known: DataFrame, k: int, metric: str) -> DataFram
     return goals_at.groupBy(*key).cogroup(people_at.groupBy(*key)).applyInPandas(meet, _HIT)
 
 
-def approximate_people(goals: DataFrame, embeddings: DataFrame, k: int, radius: float,
-                       bucket: float = 1.0, tables: int = 5, seed: int = 7) -> DataFrame:
-    """Candidates from random-projection hashing, ranked by their exact distance."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    asked = goals.select("goal_id", "network_id", array_to_vector("vector").alias("v"))
-    known = embeddings.select("person_id", "network_id", array_to_vector("vector").alias("v"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed
-    ).fit(known)
-    near = model.approxSimilarityJoin(asked, known, radius, distCol="distance").filter(
-        F.col("datasetA.network_id") == F.col("datasetB.network_id")
-    )
-    rows = near.select(
-        F.col("datasetA.goal_id").alias("goal_id"), F.col("datasetA.network_id").alias("network_id"),
-        F.col("datasetB.person_id").alias("person_id"), "distance",
-    )
-    return top_k(rows, ["goal_id", "network_id"], [F.col("distance"), F.col("person_id")], k)
-
-
 def goal_terms(goals: DataFrame) -> DataFrame:
     """Folded words of every goal by channel; a repeated word counts as often as given."""
     helper = F.concat("roles", "industries", "skills")

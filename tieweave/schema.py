@@ -60,7 +60,3 @@ GOAL = T.StructType(
 
 # The five multi-valued attributes of a person.
 ATTRIBUTES = ("tags", "skills", "companies", "cities", "needs")
-
-# Attributes a goal's words are matched against. Needs are left out: they say what
-# a person is looking for, not what the person can help with.
-SEARCHED = ("tags", "skills", "companies", "cities")

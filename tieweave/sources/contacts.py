@@ -13,7 +13,6 @@ from tieweave.functions import text as X
 from tieweave.functions import values as V
 from tieweave.schema import ATTRIBUTES
 
-CONTACT_COLUMNS = ("name", "bio", "notes", *ATTRIBUTES, "strength", "context", "frequency")
 _null = lambda: F.lit(None).cast("string")
 
 
