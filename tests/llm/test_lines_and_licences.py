@@ -8,7 +8,7 @@ from tieweave.llm import licences, line_dedup as ld
 
 
 def _norm(line):
-    return re.sub(r"[\W_]+", " ", re.sub(r"[1-9]", "0", line.lower())).strip()
+    return re.sub(r"[\W\d_]+", " ", line.lower()).strip()
 
 
 def _simhash(text):
@@ -40,7 +40,7 @@ def _kept(docs):
 
     for a in range(len(norms)):
         for b in range(a):
-            if bin(sims[a] ^ sims[b]).count("1") <= ld.MAX_BITS and 5 * _edits(norms[a], norms[b]) <= max(len(norms[a]), len(norms[b])):
+            if bin(sims[a] ^ sims[b]).count("1") <= ld.MAX_BITS and 5 * _edits(norms[a].split(), norms[b].split()) <= max(len(norms[a].split()), len(norms[b].split())):
                 root[find(norms[a])] = find(norms[b])
     first = {}
     for i, k, n in lines:

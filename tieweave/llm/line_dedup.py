@@ -1,9 +1,9 @@
 """Fuzzy line removal: one occurrence is kept of every group of lines that read alike.
 
-Lines are normalised (lower case, digits as 0, other signs as blanks). Each distinct line has
+Lines are normalised (lower case, everything but letters as a blank). Each distinct line has
 a 64-bit SimHash over its words. Lines whose SimHashes differ in at most three bits agree in
-two of five blocks of it, so they meet in a join on block pairs; a pair is linked if its edit
-similarity is at least 0.8. A group is what links connect, and its first occurrence by
+two of five blocks of it, so they meet in a join on block pairs; a pair is linked if the edit
+similarity of its word sequences is at least 0.8. A group is what links connect, and its first occurrence by
 document and line stays. Built-in expressions only.
 
 As only groups matter, the lines of a bucket are first linked along one order; then only pairs
@@ -26,7 +26,7 @@ from tieweave.session import cut
 
 MIN_WORDS = 5
 MAX_BITS = 3
-#: Five edits in so many characters are allowed: similarity 0.8.
+#: One edit in so many words is allowed: similarity 0.8.
 EDIT_SHARE = 5
 #: Lists of lines with so many documents and lines together are sent to the tasks at most; more are joined by shuffle.
 SENT_LINES = 1_000_000
@@ -34,8 +34,8 @@ BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 
 
 def normalised(text: Column) -> Column:
-    """Text with its line breaks, and only letters, zeros and single blanks besides."""
-    return F.regexp_replace(F.translate(F.lower(text), "123456789", "000000000"), r"[^\p{L}\p{N}\n]+", " ")
+    """Text with its line breaks, and only letters and single blanks besides."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\n]+", " ")
 
 
 #: Bits of one lane of a sum; a lane holds the count of one SimHash bit over up to LANE_WORDS words.
@@ -81,15 +81,19 @@ def text_key(text: Column) -> Column:
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, text_key, line, h1 and h2 (hashes of the normalised line), length, simhash."""
-    keyed = docs.filter("text IS NOT NULL").select("doc_id", text_key(F.col("text")).alias("text_key"), normalised(F.col("text")).alias("norm"))
-    split = keyed.select("doc_id", "text_key", F.posexplode(F.split("norm", "\n")).alias("line", "norm")).withColumn("norm", F.trim("norm"))
-    keys = ["doc_id", "text_key", "line", "h1", "h2", "length"]
+    """doc_id, text_key, line, h1 and h2 (hashes of the normalised line), n_words, simhash."""
+    keys = ["doc_id", "text_key", "line", "h1", "h2", "n_words"]
+
+    def worded(part: DataFrame) -> DataFrame:
+        keyed = part.filter("text IS NOT NULL").select("doc_id", text_key(F.col("text")).alias("text_key"), normalised(F.col("text")).alias("norm"))
+        split = keyed.select("doc_id", "text_key", F.posexplode(F.split("norm", "\n")).alias("line", "norm")).withColumn("norm", F.trim("norm"))
+        held = split.select("doc_id", "text_key", "line", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit(1)).alias("h2"), F.split("norm", " ").alias("words"))
+        return held.withColumn("n_words", F.size("words")).filter(F.col("n_words") >= min_words)
+
     # ``row`` keeps equal rows of the input apart.
-    worded = split.select("doc_id", "text_key", "line", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit(1)).alias("h2"), F.length("norm").alias("length"), F.split("norm", " ").alias("words"))
-    worded = worded.filter(F.size("words") >= min_words)
-    usual = worded.filter(F.size("words") <= LANE_WORDS).withColumn("row", F.monotonically_increasing_id())
-    long = worded.filter(F.size("words") > LANE_WORDS)
+    usual = worded(docs).filter(F.col("n_words") <= LANE_WORDS).withColumn("row", F.monotonically_increasing_id())
+    # A line of more words has at least two characters for each.
+    long = worded(docs.filter(F.length("text") > 2 * LANE_WORDS)).filter(F.col("n_words") > LANE_WORDS)
     return _word_sums(usual, [*keys, "row"]).drop("row").unionByName(long.select(*keys, _long_simhash(F.col("words")).alias("simhash")))
 
 
@@ -112,12 +116,27 @@ def _keys(lines: DataFrame) -> DataFrame:
         F.lit(t << 26).cast("long").bitwiseOR(F.shiftleft(block(*BLOCKS[i]), 13)).bitwiseOR(block(*BLOCKS[j]))
         for t, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))
     ]
-    return lines.select("node", "simhash", "length", F.explode(F.array(*keys)).alias("key"))
+    return lines.select("node", "simhash", "n_words", F.explode(F.array(*keys)).alias("key"))
+
+
+def _fits(words_a: str, words_b: str) -> Column:
+    """Numbers of words that can still reach the edit similarity."""
+    return EDIT_SHARE * F.abs(F.col(words_a) - F.col(words_b)) <= F.greatest(words_a, words_b)
 
 
-def _fits(length_a: str, length_b: str) -> Column:
-    """Lengths that can still reach the edit similarity."""
-    return EDIT_SHARE * F.abs(F.col(length_a) - F.col(length_b)) <= F.greatest(length_a, length_b)
+def word_edits(a: Column, b: Column) -> Column:
+    """Fewest words to put in, take out or replace to turn one array of words into the other.
+
+    Each word stands as one character, by its first place in ``a`` or else in ``b`` (modulo
+    55,000, the characters there are), and the strings are compared. The lambdas name plain
+    columns only: an expression in them would be made anew for every word.
+    """
+    def sign(word: Column) -> Column:
+        here = F.array_position(a, word)
+        place = F.when(here > 0, here).otherwise(F.size(a) + F.array_position(b, word))
+        return F.decode(F.unhex(F.lpad(F.hex(F.lit(256) + place % 55_000), 4, "0")), "UTF-16BE")
+
+    return F.levenshtein(F.array_join(F.transform(a, sign), ""), F.array_join(F.transform(b, sign), ""))
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
@@ -128,10 +147,9 @@ def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     sources = docs.filter("text IS NOT NULL").select("doc_id", "text").join(at, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key")))
     split = sources.select("at", F.split(normalised(F.col("text")), "\n").alias("norms"))
     texts = cut(split.select(F.explode(F.transform("at", lambda x: F.struct(x["node"].alias("node"), F.trim(F.get("norms", x["line"])).alias("norm")))).alias("x")).select("x.*").distinct())
-    held = pairs.join(texts.select(F.col("node").alias("a"), F.col("norm").alias("norm_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("norm").alias("norm_b")), "b")
-    most = F.floor(F.greatest(F.length("norm_a"), F.length("norm_b")) / EDIT_SHARE)
-    # The bounded form gives -1 beyond the bound, which has to be a constant; the plain form is exact.
-    return held.filter(F.levenshtein("norm_a", "norm_b") <= most).select("a", "b")
+    texts = texts.select("node", F.split("norm", " ").alias("words"))
+    held = pairs.join(texts.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
+    return held.filter(EDIT_SHARE * word_edits(F.col("words_a"), F.col("words_b")) <= F.greatest(F.size("words_a"), F.size("words_b"))).select("a", "b")
 
 
 def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -139,26 +157,26 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame,
     lines = cut(_lines(docs, min_words))
     place = F.struct("doc_id", "text_key", "line")
     distinct = cut(
-        lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("simhash").alias("simhash"), F.any_value("length").alias("length"))
+        lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("simhash").alias("simhash"), F.any_value("n_words").alias("n_words"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    w = Window.partitionBy("key").orderBy("simhash", "length", "node")
-    around = _keys(distinct).withColumns({"before": F.lag(F.struct("node", "simhash", "length")).over(w), "after": F.lead("node").over(w)})
+    w = Window.partitionBy("key").orderBy("simhash", "n_words", "node")
+    around = _keys(distinct).withColumns({"before": F.lag(F.struct("node", "simhash", "n_words")).over(w), "after": F.lead("node").over(w)})
     met = cut(around.filter("before IS NOT NULL OR after IS NOT NULL"))
     chain = (
-        met.filter("before IS NOT NULL").select(F.col("before.node").alias("a"), F.col("node").alias("b"), F.col("before.simhash").alias("sim_a"), F.col("simhash").alias("sim_b"), F.col("before.length").alias("len_a"), F.col("length").alias("len_b"))
-        .filter((_bits("sim_a", "sim_b") <= MAX_BITS) & _fits("len_a", "len_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        met.filter("before IS NOT NULL").select(F.col("before.node").alias("a"), F.col("node").alias("b"), F.col("before.simhash").alias("sim_a"), F.col("simhash").alias("sim_b"), F.col("before.n_words").alias("words_a"), F.col("n_words").alias("words_b"))
+        .filter((_bits("sim_a", "sim_b") <= MAX_BITS) & _fits("words_a", "words_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
     chain = cut(chain)
     links = cut(_verified(chain, distinct, docs))
     # Keys of three lines or more can hold pairs that are no neighbours.
-    wide = met.join(met.filter("before IS NOT NULL AND after IS NOT NULL").select("key").distinct(), "key", "left_semi").select("node", "simhash", "length", "key")
+    wide = met.join(met.filter("before IS NOT NULL AND after IS NOT NULL").select("key").distinct(), "key", "left_semi").select("node", "simhash", "n_words", "key")
     named = wide.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = named.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high").select("key")
     left = named.join(mixed, "key", "left_semi")
-    right = left.select(F.col("key").alias("_key"), F.col("node").alias("b"), F.col("simhash").alias("sim_b"), F.col("length").alias("len_b"), F.col("component").alias("_component"))
+    right = left.select(F.col("key").alias("_key"), F.col("node").alias("b"), F.col("simhash").alias("sim_b"), F.col("n_words").alias("words_b"), F.col("component").alias("_component"))
     across = left.join(
-        right, (F.col("key") == F.col("_key")) & (F.col("component") < F.col("_component")) & (_bits("simhash", "sim_b") <= MAX_BITS) & _fits("length", "len_b"),
+        right, (F.col("key") == F.col("_key")) & (F.col("component") < F.col("_component")) & (_bits("simhash", "sim_b") <= MAX_BITS) & _fits("n_words", "words_b"),
     ).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     fresh = cut(across.join(chain, ["a", "b"], "left_anti"))
     every = components(links.unionByName(_verified(fresh, distinct, docs)))
