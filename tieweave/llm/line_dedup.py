@@ -124,19 +124,21 @@ def _fits(words_a: str, words_b: str) -> Column:
     return EDIT_SHARE * F.abs(F.col(words_a) - F.col(words_b)) <= F.greatest(words_a, words_b)
 
 
-def word_edits(a: Column, b: Column) -> Column:
-    """Fewest words to put in, take out or replace to turn one array of words into the other.
-
-    Each word stands as one character, by its first place in ``a`` or else in ``b`` (modulo
-    55,000, the characters there are), and the strings are compared. The lambdas name plain
-    columns only: an expression in them would be made anew for every word.
-    """
+def word_signs(words: Column, seed: int) -> Column:
+    """A text of one character a word, the same for equal words; two words share one by chance of 1 in 55,000."""
     def sign(word: Column) -> Column:
-        here = F.array_position(a, word)
-        place = F.when(here > 0, here).otherwise(F.size(a) + F.array_position(b, word))
-        return F.decode(F.unhex(F.lpad(F.hex(F.lit(256) + place % 55_000), 4, "0")), "UTF-16BE")
+        return F.decode(F.unhex(F.lpad(F.hex(F.lit(256) + F.pmod(F.xxhash64(word, F.lit(seed)), F.lit(55_000))), 4, "0")), "UTF-16BE")
+
+    return F.array_join(F.transform(words, sign), "")
 
-    return F.levenshtein(F.array_join(F.transform(a, sign), ""), F.array_join(F.transform(b, sign), ""))
+
+def word_edits(a: str, b: str) -> Column:
+    """Fewest words to put in, take out or replace to turn one line into the other, from the signs of their words.
+
+    Shared signs can only make the number smaller, so the larger one of two independent kinds
+    of signs is taken; both are wrong by chance near 1 in 10^9 for each replaced word.
+    """
+    return F.greatest(*[F.levenshtein(F.col(f"{a}.{k}"), F.col(f"{b}.{k}")) for k in ("one", "two")])
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
@@ -145,11 +147,13 @@ def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     at = _small(cut(wanted.groupBy("first.doc_id", "first.text_key").agg(F.collect_list(F.struct("first.line", "node")).alias("at")).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})), "at")
     # Equal rows give the same lines again; one of each is enough.
     sources = docs.filter("text IS NOT NULL").select("doc_id", "text").join(at, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key")))
-    split = sources.select("at", F.split(normalised(F.col("text")), "\n").alias("norms"))
-    texts = cut(split.select(F.explode(F.transform("at", lambda x: F.struct(x["node"].alias("node"), F.trim(F.get("norms", x["line"])).alias("norm")))).alias("x")).select("x.*").distinct())
-    texts = texts.select("node", F.split("norm", " ").alias("words"))
-    held = pairs.join(texts.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
-    return held.filter(EDIT_SHARE * word_edits(F.col("words_a"), F.col("words_b")) <= F.greatest(F.size("words_a"), F.size("words_b"))).select("a", "b")
+    split = sources.select("at", F.posexplode(F.split(normalised(F.col("text")), "\n")).alias("line", "norm"))
+    lines_of = split.select(F.trim("norm").alias("norm"), F.explode(F.filter("at", lambda x: x["line"] == F.col("line"))).alias("x")).select("x.node", "norm")
+    worded = lines_of.select("node", F.split("norm", " ").alias("words"))
+    # Written once a line, not once a pair.
+    signs = cut(worded.select("node", F.size("words").alias("n"), F.struct(word_signs(F.col("words"), 1).alias("one"), word_signs(F.col("words"), 2).alias("two")).alias("signs")).distinct())
+    held = pairs.join(signs.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("signs").alias("signs_a")), "a").join(signs.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("signs").alias("signs_b")), "b")
+    return held.filter(EDIT_SHARE * word_edits("signs_a", "signs_b") <= F.greatest("n_a", "n_b")).select("a", "b")
 
 
 def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
