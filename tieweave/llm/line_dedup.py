@@ -191,8 +191,12 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame,
 
 def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with their columns, ``text`` without the removed lines, and ``n_lines`` and ``n_removed``."""
+    return removed_lines(docs, *line_groups(docs, min_words))
+
+
+def removed_lines(docs: DataFrame, lines: DataFrame, groups: DataFrame) -> DataFrame:
+    """The documents without all ``lines`` of ``groups`` but their keepers."""
     id_name, key_name, gone_name = unused(docs, "_id", "_key", "_gone")
-    lines, groups = line_groups(docs, min_words)
     gone = (
         lines.select("doc_id", "text_key", "line", "h1", "h2").join(groups.filter("group_size > 1"), ["h1", "h2"])
         .filter(~F.struct("doc_id", "text_key", "line").eqNullSafe(F.col("keeper")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tieweave.llm import chat, decontamination, extraction, licences, line_dedup, ngram_join, packing, quality, sharding, toxicity
+from tieweave.llm import chat, decontamination, extraction, licences, line_join, ngram_join, packing, quality, sharding, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -139,7 +139,7 @@ def op5_toxicity(spark, sf):
 
 @_query
 def op6_line_dedup(spark, sf):
-    return line_dedup.without_repeated_lines(_read(spark, sf, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    return line_join.without_alike_lines(_read(spark, sf, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
 @_query
