@@ -56,3 +56,9 @@ def test_lines_that_differ_in_digits_or_marks_only(spark):
         "on 3 may the price in that town was 12", "on 4 may the price in that town was 12",
     ]
     assert _texts(spark, texts) == [*texts[:7], ""]
+
+
+def test_short_lines_lines_of_signs_and_scripts_without_blanks(spark):
+    long = "今日天气很好我们一起去公园散步"
+    texts = ["Read more", "read more!", "-----", " -----", "=====", "12,5", "12.5", long, long.replace("公", "花"), "完全不同的一行文字没有重复", "\n \n", "read less"]
+    assert _texts(spark, texts) == ["Read more", "", "-----", "", "=====", "12,5", "", long, "", texts[9], "\n \n", "read less"]
