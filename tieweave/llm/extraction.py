@@ -45,7 +45,9 @@ BLOCK_TAGS = set(
 )
 VOID_TAGS = set("area base br col embed hr img input link meta param source track wbr".split())
 # Elements whose content is not shown as text.
-HIDDEN_TAGS = ("script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "select", "math", "canvas", "audio", "video")
+HIDDEN_TAGS = ("script", "style", "template", "svg", "iframe", "textarea", "select", "canvas", "audio", "video")
+# Those that only their closing tag ends; '/>' does not close them.
+RAW_TAGS = ("script", "style", "textarea")
 # Elements that end when one of the same kind starts.
 SELF_ENDING = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 MAIN_TAGS = {"article", "main"}
@@ -64,6 +66,41 @@ _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|
 _HIDDEN_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in HIDDEN_TAGS}
 
 
+def _raw_end(page: str, at: int, tag: str) -> int:
+    close = _HIDDEN_END[tag].search(page, at)
+    return len(page) if close is None else max(at, page.find(">", close.end()) + 1 or len(page))
+
+
+def _hidden_end(page: str, at: int, tag: str, around: set[str]) -> int:
+    """Where a hidden element that starts before ``at`` ends: behind its closing tag, if that comes before the close
+    of an enclosing block (one of ``around``); else before that close or the first block that starts after it."""
+    inner: list[str] = []
+    first, start = None, at
+    closes = _HIDDEN_END[tag].search(page, at) is not None
+    while (m := _TOKEN.search(page, at)) is not None:
+        at = m.end()
+        if m.group(2) is None:
+            continue
+        t = m.group(2).lower()
+        if m.group(1):
+            if t in inner:
+                while inner.pop() != t:
+                    pass
+            elif t == tag:
+                return at
+            elif t in BLOCK_TAGS and t in around:
+                return m.start() if first is None else first
+        elif t in RAW_TAGS:
+            at = _raw_end(page, at, t)
+        elif t not in VOID_TAGS and not m.group(3).rstrip().endswith("/"):
+            if first is None and t in BLOCK_TAGS and not (tag == "select" and t in ("option", "optgroup", "hr")):
+                first = m.start()
+                if not closes:
+                    break
+            inner.append(t)
+    return start if first is None else first
+
+
 @dataclass
 class Block:
     path: tuple[str, ...]
@@ -113,8 +150,10 @@ def blocks(page: str) -> list[Block]:
                 end()
             continue
         if tag in HIDDEN_TAGS:
-            close = _HIDDEN_END[tag].search(page, at)
-            at = n if close is None else max(at, page.find(">", close.end()) + 1 or n)
+            if tag in RAW_TAGS:
+                at = _raw_end(page, at, tag)
+            elif not m.group(3).rstrip().endswith("/"):
+                at = _hidden_end(page, at, tag, {t for t, _ in stack})
             parts.append(" ")
             continue
         if tag == "br":
