@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tieweave.llm import chat, decontamination, extraction, licences, line_join, ngram_join, packing, quality, sharding, toxicity
+from tieweave.llm import chat, decontamination, extraction, licences, line_join, ngram_join, packing, quality, sharding, simhash_join, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -194,3 +194,8 @@ SELECT pair_id, part, turn, role, rendered, length(rendered) n_chars, learned, C
 @_query
 def op10_main_text(spark, sf):
     return extraction.main_texts(_read(spark, sf, "pages"))
+
+
+@_query
+def op11_simhash_join(spark, sf):
+    return simhash_join.near_duplicates(_read(spark, sf, "documents"))
