@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tieweave.llm import chat, decontamination, extraction, licences, line_join, ngram_join, packing, quality, sharding, simhash_join, toxicity
+from tieweave.llm import chat, decontamination, extraction, licences, line_join, ngram_join, packing, quality, sharding, simhash_join, spelling, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -199,3 +199,27 @@ def op10_main_text(spark, sf):
 @_query
 def op11_simhash_join(spark, sf):
     return simhash_join.near_duplicates(_read(spark, sf, "documents"))
+
+
+@_query
+def op12_spelling_variants(spark, sf):
+    return spelling.variants(_read(spark, sf, "documents")).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+ORACLES["op12_spelling_variants"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT doc_id, unnest(regexp_extract_all({_FOLDED}, '[A-Za-zÀ-ÿ]+')) run FROM documents),
+u AS (SELECT doc_id, run, count(*) c FROM r WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, c, xor(4294967295, list_reduce([('0x' || x)::BIGINT for x in regexp_extract_all(hex(coalesce(doc_id::VARCHAR, '') || ':' || run), '..')],
+    lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1]), 4294967295::BIGINT)) h FROM u, crc_table),
+s AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END word, c FROM h),
+w AS (SELECT word, sum(c)::BIGINT n FROM s WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+x AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) less FROM (SELECT word, unnest(range(1, length(word) + 1)) i FROM w)),
+p AS (SELECT a.word, b.word near FROM x a JOIN x b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT x.word, w.word FROM x JOIN w ON x.less = w.word UNION SELECT w.word, x.word FROM x JOIN w ON x.less = w.word),
+b AS (SELECT p.word, near, w.n form_n, count(*) OVER (PARTITION BY p.word) n_near FROM p JOIN w ON w.word = near
+  QUALIFY row_number() OVER (PARTITION BY p.word ORDER BY w.n DESC, near) = 1),
+f AS (SELECT w.word, n, coalesce(n_near, 0) n_near, CASE WHEN form_n >= 10 * n THEN near END form, CASE WHEN form_n >= 10 * n THEN form_n END form_n FROM w LEFT JOIN b USING (word)),
+c(word, at, k) AS (SELECT word, word, 0 FROM f UNION ALL SELECT c.word, f.form, k + 1 FROM c JOIN f ON f.word = c.at WHERE form IS NOT NULL)
+SELECT f.*, root FROM f JOIN (SELECT word, arg_max(at, k) root FROM c GROUP BY word) USING (word)
+"""
