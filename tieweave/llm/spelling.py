@@ -114,14 +114,15 @@ def in_blocks(words: DataFrame) -> DataFrame:
 
 
 def parts(keyed: DataFrame) -> DataFrame:
-    """block, part, words, ns: the words of a block in parts of at most ``PART_WORDS`` words, ``PART_BYTES`` bytes if even."""
+    """block, part, letters, ns: the words of a block, all of one length, in parts of about ``PART_WORDS`` words or ``PART_BYTES`` bytes at most."""
     length = F.aggregate("block", F.lit(0), lambda a, x: a + x)
     sizes = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n_words"))
     n_parts = F.ceil(F.greatest(F.col("n_words") / PART_WORDS, F.col("n_words") * length / PART_BYTES)).cast("long")
     dealt = keyed.join(sizes.select(F.col("block").alias("_block"), n_parts.alias("n_parts")), F.col("block") == F.col("_block")).drop("_block")
     # A hashed share exceeds its mean a little, never by much.
     part = F.pmod(F.xxhash64("word"), F.col("n_parts"))
-    return dealt.groupBy("block", part.alias("part")).agg(F.collect_list(F.struct("word", "n")).alias("members"))
+    held = dealt.groupBy("block", part.alias("part")).agg(F.collect_list(F.struct("word", "n")).alias("members"))
+    return held.select("block", "part", F.encode(F.array_join("members.word", ""), "ISO-8859-1").alias("letters"), F.col("members.n").alias("ns"))
 
 
 def _next_blocks(n: str) -> str:
@@ -134,28 +135,28 @@ def _next_blocks(n: str) -> str:
     return f"concat(array(block), {more}, {moved})"
 
 
-def near_words(a: list[bytes], b: list[bytes], same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers (of a, of b) of all pairs one edit apart; ``same``: both are one list, pairs come once.
+def _counts(words: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Letter counts of words of one length, for the letters that are used."""
+    place = np.cumsum(used) - 1
+    n = np.bincount((np.arange(len(words))[:, None] * int(used.sum()) + place[words]).ravel(), minlength=len(words) * int(used.sum()))
+    # Products of whole numbers are exact below 2**24 in the short form, 2**53 in the long.
+    return n.reshape(len(words), -1).astype(np.float32 if words.shape[1] < 2000 else np.float64)
 
-    The words of a list have one length, those of b the same or one more.
-    """
-    x, y = (np.frombuffer(b"".join(w), np.uint8).reshape(len(w), -1) for w in (a, b))
 
-    def counts(m):
-        n = np.bincount((np.arange(len(m))[:, None] * LETTERS + m).ravel(), minlength=len(m) * LETTERS).reshape(-1, LETTERS)
-        # Whole numbers are exact below 2**24 in the short form, 2**53 in the long.
-        return n.astype(np.float32 if m.shape[1] < 2000 else np.float64)
+def near_words(x: np.ndarray, y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (of x, of y) of all pairs one edit apart; ``same``: both are one list, pairs come once.
 
-    cx, cy = counts(x), counts(y)
-    used = (cx.any(axis=0)) | (cy.any(axis=0))
-    cx, cy = cx[:, used], cy[:, used]
-    cy = cy.astype(cx.dtype) if cx.dtype == np.float64 else cy
+    Words are rows of letters; those of y have as many as those of x, or one more.
+    """
+    used = (np.bincount(x.ravel(), minlength=LETTERS) + np.bincount(y.ravel(), minlength=LETTERS)) > 0
+    cx, cy = _counts(x, used), _counts(y, used)
     # |p - q|^2 <= 2 as a bound on the product.
-    i, j = np.nonzero(2 * (cx @ cy.T) >= (cx * cx).sum(axis=1)[:, None] + (cy * cy).sum(axis=1)[None, :] - 2)
+    least = ((cx * cx).sum(axis=1)[:, None] + (cy * cy).sum(axis=1)[None, :] - 2) / 2
+    i, j = np.nonzero(cx @ cy.T >= least)
     if same:
         i, j = i[i < j], j[i < j]
     near = np.zeros(len(i), bool)
-    step = max(1, (1 << 24) // max(1, y.shape[1]))
+    step = max(1, (1 << 22) // max(1, y.shape[1]))
     for at in range(0, len(i), step):
         p, q = x[i[at : at + step]], y[j[at : at + step]]
         if p.shape[1] == q.shape[1]:
@@ -168,39 +169,57 @@ def near_words(a: list[bytes], b: list[bytes], same: bool) -> tuple[np.ndarray,
     return i[near], j[near]
 
 
-def _sums(words: list[str], ns: np.ndarray, at: np.ndarray, other: list[str], other_ns: np.ndarray, other_at: np.ndarray):
+def _texts(words: np.ndarray, at: np.ndarray) -> list[str]:
+    return [w.tobytes().decode("latin-1") for w in words[at]]
+
+
+def _sums(words: np.ndarray, at: np.ndarray, other: np.ndarray, other_ns: np.ndarray, other_at: np.ndarray) -> pa.RecordBatch:
     """For every word that occurs in ``at``: how many near words, and the most frequent, of equals the least."""
-    ranks = np.empty(len(other), np.int64)
-    ranks[sorted(range(len(other)), key=other.__getitem__)] = np.arange(len(other))
-    order = np.lexsort((ranks[other_at], -other_ns[other_at], at))
+    used, place = np.unique(other_at, return_inverse=True)
+    rank = np.unique(np.ascontiguousarray(other[used]).view(f"V{other.shape[1]}").ravel(), return_inverse=True)[1][place]
+    order = np.lexsort((rank, -other_ns[other_at], at))
     firsts = np.flatnonzero(np.diff(at[order], prepend=-1))
-    n_near = np.diff(np.append(firsts, len(at)))
     best = other_at[order[firsts]]
-    return [words[k] for k in at[order[firsts]]], n_near, other_ns[best], [other[k] for k in best]
+    columns = [pa.array(_texts(words, at[order[firsts]]), pa.string()), pa.array(np.diff(np.append(firsts, len(at)))), pa.array(other_ns[best]), pa.array(_texts(other, best), pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=["word", "n_near", "best_n", "best"])
+
+
+def _stacks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """Letters and counts of both sides: all parts of a batch that meet one part and have one length make one product."""
+    keys = batch.column("met").to_numpy(), batch.column("len_a").to_numpy(), batch.column("itself").to_numpy(zero_copy_only=False)
+    order = np.lexsort(keys[::-1])
+    held, size = [], 0
+    for place, k in enumerate(order.tolist()):
+        letters = np.frombuffer(batch.column("a")[k].as_buffer(), np.uint8).reshape(-1, int(keys[1][k]))
+        held.append((letters, batch.column("ns_a")[k].values.to_numpy()))
+        size += len(letters)
+        following = order[place + 1] if place + 1 < len(order) else None
+        if following is None or size >= PART_WORDS or any(x[k] != x[following] for x in keys):
+            other = np.frombuffer(batch.column("b")[k].as_buffer(), np.uint8).reshape(-1, int(batch.column("len_b")[k].as_py()))
+            yield np.concatenate([x for x, _ in held]), np.concatenate([n for _, n in held]), other, batch.column("ns_b")[k].values.to_numpy(), bool(keys[2][k])
+            held, size = [], 0
 
 
 def near_summary(keyed: DataFrame) -> DataFrame:
     """word, n_near, best_n, best: number of near words and the most frequent of them (ties: the least), of words that have any."""
-    blocks = cut(parts(keyed))
-    left = blocks.select("block", "part", F.col("members").alias("a"), F.explode(F.expr(_next_blocks("size(block)"))).alias("next"))
-    right = blocks.select(F.col("block").alias("_block"), F.col("part").alias("_part"), F.col("members").alias("b"))
+    blocks = cut(parts(keyed)).withColumn("len", F.aggregate("block", F.lit(0), lambda a, x: a + x))
+    left = blocks.select("block", "part", F.col("letters").alias("a"), F.col("ns").alias("ns_a"), F.col("len").alias("len_a"), F.explode(F.expr(_next_blocks("size(block)"))).alias("next"))
+    right = blocks.select(F.col("block").alias("_block"), F.col("part").alias("_part"), F.col("letters").alias("b"), F.col("ns").alias("ns_b"), F.col("len").alias("len_b"))
     same = F.col("block") == F.col("_block")
     # Parts of one block meet once.
     met = left.join(right, (F.col("next") == F.col("_block")) & (~same | (F.col("part") <= F.col("_part"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                lists, itself = [], batch.column("itself")[k].as_py()
-                for side in ("a", "b"):
-                    members = batch.column(side)[k].values
-                    lists.append((members.field("word").to_pylist(), members.field("n").to_numpy(zero_copy_only=False)))
-                (wa, na), (wb, nb) = lists
-                i, j = near_words([w.encode("latin-1") for w in wa], [w.encode("latin-1") for w in wb], itself)
-                for found in (_sums(wa, na, i, wb, nb, j), _sums(wb, nb, j, wa, na, i)) if len(i) else ():
-                    yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int64()), pa.array(found[3], pa.string())], names=["word", "n_near", "best_n", "best"])
-
-    each = met.select("a", "b", (same & (F.col("part") == F.col("_part"))).alias("itself")).mapInArrow(run, "word string, n_near long, best_n long, best string")
+            for x, nx, y, ny, itself in _stacks(batch):
+                i, j = near_words(x, y, itself)
+                if len(i):
+                    yield _sums(x, i, y, ny, j)
+                    yield _sums(y, j, x, nx, i)
+
+    one = F.struct("_block", "_part")
+    sides = met.select("a", "ns_a", "len_a", "b", "ns_b", "len_b", F.xxhash64(one).alias("met"), (same & (F.col("part") == F.col("_part"))).alias("itself"))
+    each = sides.mapInArrow(run, "word string, n_near long, best_n long, best string")
     best = F.min(F.struct((-F.col("best_n")).alias("less"), F.col("best").alias("word")))
     return each.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("b")).select("word", "n_near", (-F.col("b.less")).alias("best_n"), F.col("b.word").alias("best"))
 
