@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tieweave.llm import chat, decontamination, extraction, licences, line_join, ngram_join, packing, quality, sharding, simhash_join, spelling, toxicity
+from tieweave.llm import chat, decontamination, extraction, licences, line_join, ngram_join, packing, phrases, quality, sharding, simhash_join, spelling, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -220,6 +220,28 @@ p AS (SELECT a.word, b.word near FROM x a JOIN x b ON a.i = b.i AND a.less = b.l
 b AS (SELECT p.word, near, w.n form_n, count(*) OVER (PARTITION BY p.word) n_near FROM p JOIN w ON w.word = near
   QUALIFY row_number() OVER (PARTITION BY p.word ORDER BY w.n DESC, near) = 1),
 f AS (SELECT w.word, n, coalesce(n_near, 0) n_near, CASE WHEN form_n >= 10 * n THEN near END form, CASE WHEN form_n >= 10 * n THEN form_n END form_n FROM w LEFT JOIN b USING (word)),
-c(word, at, k) AS (SELECT word, word, 0 FROM f UNION ALL SELECT c.word, f.form, k + 1 FROM c JOIN f ON f.word = c.at WHERE form IS NOT NULL)
-SELECT f.*, root FROM f JOIN (SELECT word, arg_max(at, k) root FROM c GROUP BY word) USING (word)
+c(word, last, k) AS (SELECT word, word, 0 FROM f UNION ALL SELECT c.word, f.form, k + 1 FROM c JOIN f ON f.word = c.last WHERE form IS NOT NULL)
+SELECT f.*, root FROM f JOIN (SELECT word, arg_max(last, k) root FROM c GROUP BY word) USING (word)
+"""
+
+
+@_query
+def op13_phrase_collocations(spark, sf):
+    return phrases.collocations(_read(spark, sf, "documents"))
+
+
+ORACLES["op13_phrase_collocations"] = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') lang, unnest(regexp_split_to_array({_FOLDED}, '[.,;:!?\x0A-\x0D]')) piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') ws FROM p),
+t AS (SELECT lang, sum(len(ws))::BIGINT n FROM w GROUP BY lang),
+g AS (SELECT lang, ws[i:i + k - 1] g FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) i FROM w, (VALUES (1), (2), (3), (4)) v(k) WHERE len(ws) >= k)),
+f AS (SELECT lang, g, count(*) a FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, g, a FROM f WHERE len(g) > 1),
+u AS (SELECT lang, g, a, k, g[:k] x, g[k + 1:] y FROM (SELECT *, unnest(range(1, len(g))) k FROM c)),
+s AS (SELECT u.lang, u.g, u.a, k, x.a l, y.a r, (2000000::HUGEINT * u.a // (x.a::HUGEINT + y.a))::BIGINT score
+  FROM u JOIN f x ON x.lang = u.lang AND x.g = u.x JOIN f y ON y.lang = u.lang AND y.g = u.y QUALIFY row_number() OVER (PARTITION BY u.lang, u.g ORDER BY score, k) = 1),
+i AS (SELECT lang, g[i:i + m - 1] part, max(a) around FROM (SELECT lang, g, a, m, unnest(range(1, len(g) - m + 2)) i FROM c, (VALUES (2), (3)) v(m) WHERE len(g) > m) GROUP BY ALL),
+o AS (SELECT s.lang, array_to_string(s.g, ' ') phrase, a, l, r, score FROM s LEFT JOIN i ON i.lang = s.lang AND i.part = s.g WHERE around IS NULL OR 100 * around::HUGEINT < 80 * a::HUGEINT)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM o JOIN t USING (lang) QUALIFY rank <= 2000
 """
