@@ -76,7 +76,8 @@ def _languages(batch: pa.RecordBatch) -> tuple[np.ndarray, list[str]]:
 
 def _hashes(codes: np.ndarray, distinct: pa.Array, lang_codes: np.ndarray, langs: list[str], seed: int) -> np.ndarray:
     """Hash of language and word, never zero."""
-    salt = tx.word_hashes(pa.array(langs, pa.string())) * np.uint64(2 * seed + 1)
+    # Mixed once more: the sum must not tell a word of a language from the same two the other way round.
+    salt = tx.mixed(tx.word_hashes(pa.array(langs, pa.string())) + np.uint64(seed + 1))
     out = tx.mixed(tx.word_hashes(distinct)[codes] + salt[lang_codes])
     return np.where(out == 0, np.uint64(1), out)
 
