@@ -35,9 +35,9 @@ SCORE_FACTOR = 2_000_000
 TOP = 2000
 #: Suffixes of a group; 1 << 20 are about 100 MB while a group is sorted.
 GROUP_SUFFIXES = 1 << 20
-#: Suffixes that a task holds before it sums and sends them.
-TASK_SUFFIXES = 1 << 20
-SLICE_BYTES = 8 << 20
+#: Suffixes that a task holds before it sums and sends them; 1 << 18 take about 60 MB then.
+TASK_SUFFIXES = 1 << 18
+SLICE_BYTES = 4 << 20
 #: Bits of the filter for each frequent word, and of the whole filter at most (32 MB).
 FILTER_BITS_A_WORD, MOST_FILTER_BITS = 16, 1 << 28
 #: Salts under which the best of a language are taken first.
@@ -63,10 +63,10 @@ def pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     edges = offsets[:-1][offsets[:-1] < len(data)]
     starts[edges] = inside[edges]
     at = np.flatnonzero(starts)
-    kept = np.concatenate([[0], np.cumsum(inside)])
-    words = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(np.append(kept[at], kept[-1]).astype(np.int32)), pa.py_buffer(data[inside].tobytes())])
+    kept = np.concatenate([np.zeros(1, np.int32), np.cumsum(inside, dtype=np.int32)])
+    words = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(np.append(kept[at], kept[-1])), pa.py_buffer(data[inside].tobytes())])
     owner = np.searchsorted(offsets, at, side="right") - 1
-    return words, owner, np.cumsum(data == BREAK)[at] + owner
+    return words, owner, np.cumsum(data == BREAK, dtype=np.int32)[at] + owner
 
 
 def _languages(batch: pa.RecordBatch) -> tuple[np.ndarray, list[str]]:
@@ -258,9 +258,15 @@ def vertical_partition(docs: DataFrame, frequent: DataFrame, seed: int, known, g
     return Vertical(heavy, bucket_bits, _packed(load, group_suffixes)), counted.select(*KEY, F.col("n").alias("a"))
 
 
+def _order(suffix: np.ndarray) -> np.ndarray:
+    """Lexicographic order of rows of four numbers, sorted as two."""
+    pair = lambda a, b: (suffix[:, a].astype(np.int64) << 32) | suffix[:, b].astype(np.int64)
+    return np.lexsort((pair(2, 3), pair(0, 1)))
+
+
 def _summed(suffix: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct suffixes in order, and how often each occurs."""
-    order = np.lexsort(suffix.T[::-1])
+    order = _order(suffix)
     suffix, n = suffix[order], n[order]
     new = np.ones(len(suffix), bool)
     new[1:] = (suffix[1:] != suffix[:-1]).any(axis=1)
@@ -300,7 +306,7 @@ def sent_suffixes(docs: DataFrame, seed: int, known, vertical) -> DataFrame:
 
 def tree_nodes(suffix: np.ndarray, depth: np.ndarray, n: np.ndarray, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(words, count) of the nodes of 2 to DEPTH words that are whole here: sorted suffixes are the leaves, a node sums its run of them."""
-    order = np.lexsort(suffix.T[::-1])
+    order = _order(suffix)
     suffix, depth, n = suffix[order], depth[order], n[order]
     out, differs = [], np.zeros(len(suffix), bool)
     differs[:1] = True
@@ -320,17 +326,17 @@ def tree_nodes(suffix: np.ndarray, depth: np.ndarray, n: np.ndarray, least: int)
 
 def _group_nodes(least: int):
     def build(table: pa.Table) -> pa.Table:
-        parts = []
-        for words, codes, depth, n in zip(*(table.column(c).to_pylist() for c in ("words", "codes", "depth", "n")), strict=True):
-            own = np.frombuffer(words, "<u8")
+        lists = [np.frombuffer(w, "<u8") for w in table.column("words").to_pylist()]
+        # Code 0 stays the end of a suffix.
+        words = np.unique(np.concatenate([np.zeros(1, np.uint64), *lists]))
+        suffix = np.empty((sum(len(d) for d in table.column("depth").to_pylist()), DEPTH), np.int32)
+        at = 0
+        for own, codes in zip(lists, table.column("codes").to_pylist(), strict=True):
             matrix = np.frombuffer(codes, "<u2" if len(own) <= 1 << 16 else "<u4").reshape((-1, DEPTH), order="F")
-            parts.append((own[matrix], np.frombuffer(depth, "<i1"), np.frombuffer(n, "<i8")))
-        suffix = np.concatenate([p[0] for p in parts])
-        words, codes = np.unique(suffix, return_inverse=True)
-        # The lowest code must stay 0 for the end of a suffix.
-        if words[0] != 0:
-            words, codes = np.concatenate([[np.uint64(0)], words]), codes + 1
-        nodes = tree_nodes(codes.reshape(suffix.shape).astype(np.int32), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]), least)
+            suffix[at : at + len(matrix)] = np.searchsorted(words, own).astype(np.int32)[matrix]
+            at += len(matrix)
+        depth = np.frombuffer(b"".join(table.column("depth").to_pylist()), "<i1")
+        nodes = tree_nodes(suffix, depth, np.frombuffer(b"".join(table.column("n").to_pylist()), "<i8"), least)
         found = np.concatenate([w for w, _ in nodes]) if nodes else np.zeros((0, DEPTH), np.int32)
         count = np.concatenate([c for _, c in nodes]) if nodes else np.zeros(0, np.int64)
         return pa.table([*[pa.array(words[found[:, k]].view(np.int64)) for k in range(DEPTH)], pa.array(count, pa.int64())], names=[*KEY, "a"])
