@@ -1,7 +1,4 @@
-"""Introduction paths: best path from the owner, and all short paths between two people.
-
-Edge costs are whole numbers (60 / strength), so equal path costs are exactly equal.
-"""
+"""Introduction paths: scoring and describing best paths, and all short paths between two people."""
 
 from __future__ import annotations
 
@@ -10,134 +7,9 @@ import functools
 from pyspark.sql import DataFrame, functions as F
 
 from tieweave.operators.folding import both_ways, undirected
+from tieweave.operators.forest import clamp_floor, path_forest, path_kind, weighted_graph  # noqa: F401
 from tieweave.operators.ranking import top_k
 from tieweave.operators.substring import contained_terms
-from tieweave.session import cut
-
-UNIT = 60  # least common multiple of the strengths 1..5
-LEGS_PER_SLICE = 100_000
-
-
-def clamp_floor(floor: int) -> int:
-    return max(1, min(5, floor))
-
-
-def weighted_graph(edges: DataFrame, me: DataFrame, max_hops: int = 3, weak_me_floor: int = 4) -> DataFrame:
-    """Undirected edges with their cost; weak edges to the owner are made expensive."""
-    floor, penalty = clamp_floor(weak_me_floor), max_hops * max_hops * 4
-    base = (F.lit(UNIT) / F.greatest(F.col("strength"), F.lit(1))).cast("long")
-    touches = (F.col("low_id") == F.col("me_id")) | (F.col("high_id") == F.col("me_id"))
-    return (
-        undirected(edges).join(me.select("network_id", "me_id"), "network_id", "left")
-        .withColumn(
-            "cost", F.when(F.coalesce(touches, F.lit(False)) & (F.col("strength") < floor), base * penalty).otherwise(base)
-        )
-        .drop("me_id")
-    )
-
-
-def _sliced_legs(graph: DataFrame, legs_per_slice: int) -> DataFrame:
-    """Both directions of every edge, laid out by (network, node, slice).
-
-    A node with very many neighbours - an owner may touch a third of all edges - is cut
-    into slices of about ``legs_per_slice``, so its legs never share one partition. Each
-    leg also says into how many slices the node it leads to is cut.
-    """
-    legs = both_ways(graph.select("network_id", "low_id", "high_id", "strength", "cost")).withColumnRenamed("from_id", "node")
-    slices = legs.groupBy("network_id", "node").agg(F.ceil(F.count(F.lit(1)) / legs_per_slice).cast("int").alias("slices"))
-    there = slices.select("network_id", F.col("node").alias("to_id"), F.col("slices").alias("to_slices"))
-    return (
-        legs.join(slices, ["network_id", "node"]).join(there, ["network_id", "to_id"])
-        .withColumn("slice", F.pmod(F.xxhash64("to_id"), F.col("slices")).cast("int"))
-        .drop("slices")
-        .repartition("network_id", "node", "slice")
-    )
-
-
-def _relax(start: DataFrame, legs: DataFrame, max_hops: int, rounds: int | None) -> DataFrame:
-    """Cheapest way from each network's start to every node, for all networks at once.
-
-    Each round only follows nodes that improved. The minimum of (cost, hops, path)
-    combines before the shuffle, so a node reached over very many edges is no
-    bottleneck either. Paths longer than ``max_hops`` are forgotten; only their cost and
-    length matter.
-    """
-    state = cut(start)
-    frontier, done = state, 0
-    while rounds is None or done < rounds:
-        spread = frontier.select(
-            "network_id", "node", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "k"
-        )
-        step = spread.join(legs, ["network_id", "node", "slice"])
-        hops = F.col("k.hops") + 1
-        short = hops <= max_hops
-        reached = step.select(
-            "network_id", F.col("to_id").alias("node"), F.col("to_slices").alias("slices"),
-            F.struct(
-                (F.col("k.cost") + F.col("cost")).alias("cost"),
-                hops.alias("hops"),
-                F.when(short, F.array_append(F.col("k.path"), F.col("to_id"))).alias("path"),
-                F.when(short, F.array_append(F.col("k.strengths"), F.col("strength"))).alias("strengths"),
-            ).alias("k"),
-            F.lit(False).alias("old"),
-        )
-        known = state.select("network_id", "node", "slices", "k", F.lit(True).alias("old"))
-        merged = known.unionByName(reached).groupBy("network_id", "node").agg(
-            F.max("slices").alias("slices"), F.min("k").alias("k"), F.min(F.when(F.col("old"), F.col("k"))).alias("was")
-        )
-        moved = F.col("was").isNull() | (F.col("k") < F.col("was"))
-        state = cut(merged.select("network_id", "node", "slices", "k", moved.alias("moved")))
-        frontier, done = state.filter("moved"), done + 1
-        if frontier.isEmpty():
-            break
-    return state.select("network_id", "node", "k")
-
-
-def path_forest(
-    edges: DataFrame, me: DataFrame, max_hops: int = 3, weak_me_floor: int = 4, legs_per_slice: int = LEGS_PER_SLICE,
-) -> DataFrame:
-    """Best introduction path from the owner to everyone reachable within ``max_hops``.
-
-    The cheapest path is searched without a length limit. Where it is too long, the
-    path with the fewest hops takes its place; where that is too long too, the person
-    is left out. Rows: network_id, person_id, hops, path, strengths, path_strength, kind.
-    """
-    floor = clamp_floor(weak_me_floor)
-    legs = _sliced_legs(weighted_graph(edges, me, max_hops, floor), legs_per_slice).persist()
-    known = legs.groupBy("network_id", F.col("to_id").alias("me_id")).agg(F.max("to_slices").alias("slices"))
-    start = me.join(known, ["network_id", "me_id"]).select(
-        "network_id", F.col("me_id").alias("node"), "slices",
-        F.struct(
-            F.lit(0).cast("long").alias("cost"), F.lit(0).alias("hops"),
-            F.array("me_id").alias("path"), F.array().cast("array<int>").alias("strengths"),
-        ).alias("k"),
-    )
-    cheapest = _relax(start, legs, max_hops, None)
-    fits_in = cheapest.filter((F.col("k.hops") >= 1) & (F.col("k.hops") <= max_hops))
-    too_long = cheapest.filter(F.col("k.hops") > max_hops)
-    if too_long.isEmpty():
-        chosen = fits_in
-    else:
-        where = too_long.select("network_id").distinct()
-        by_hops = _relax(
-            start.join(where, "network_id", "left_semi"), legs.withColumn("cost", F.lit(1).cast("long")), max_hops, max_hops
-        )
-        fewest = by_hops.join(too_long.select("network_id", "node"), ["network_id", "node"], "left_semi")
-        chosen = fits_in.unionByName(fewest)
-    total = F.aggregate("strengths", F.lit(0), lambda a, x: a + x)
-    out = chosen.select(
-        "network_id", F.col("node").alias("person_id"), F.col("k.hops").alias("hops"),
-        F.col("k.path").alias("path"), F.col("k.strengths").alias("strengths"),
-    ).withColumn("path_strength", total)
-    out = cut(out.withColumn("kind", path_kind(F.col("hops"), F.get("strengths", F.lit(0)), floor)))
-    legs.unpersist()
-    return out
-
-
-def path_kind(hops, first_strength, floor: int):
-    """direct / weak for one hop (by strength), else indirect."""
-    return F.when(hops > 1, "indirect").when(first_strength < floor, "weak").otherwise("direct")
-
 
 def combined_score(relevance, path_strength, hops):
     """Relevance, nudged by mean strength (at most 10 %), discounted by hops."""

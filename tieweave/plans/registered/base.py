@@ -171,6 +171,13 @@ _CTES: dict[str, tuple[list[str], str]] = {
     "hop": (["pair"], """
         SELECT network_id, low_id AS from_id, high_id AS to_id, strength, context, frequency, edge_id FROM pair
         UNION ALL SELECT network_id, high_id, low_id, strength, context, frequency, edge_id FROM pair"""),
+    "hop_colleagues": (["hop", "contact"], """
+        SELECT network_id, from_id, to_id, strength FROM hop
+        UNION ALL SELECT DISTINCT a.network_id, a.person_id, b.person_id, 4
+        FROM (SELECT network_id, person_id, trim(unnest(companies)) AS company FROM contact) a
+        JOIN (SELECT network_id, person_id, trim(unnest(companies)) AS company FROM contact) b USING (network_id, company)
+        WHERE company <> '' AND a.person_id <> b.person_id
+          AND NOT EXISTS (SELECT 1 FROM hop h WHERE h.network_id = a.network_id AND h.from_id = a.person_id AND h.to_id = b.person_id)"""),
     "s2me": (["hop", "me"], """
         SELECT h.network_id, to_id AS person_id, strength AS strength_to_me FROM hop h JOIN me ON me.network_id = h.network_id AND from_id = me_id"""),
     "term": (["goal"], """
@@ -203,8 +210,8 @@ _CTES: dict[str, tuple[list[str], str]] = {
 }
 
 
-def forest_ctes(max_hops: int = 3, floor: int = 4) -> str:
-    """Cheapest and fewest-hop paths from the owner, by keyed recursion."""
+def forest_ctes(max_hops: int = 3, floor: int = 4, hops: str = "hop") -> str:
+    """Cheapest and fewest-hop paths from the owner over the legs in ``hops``, by keyed recursion."""
     penalty = max_hops * max_hops * 4
 
     def recursion(name: str, cost: str, cap: str) -> str:
@@ -221,7 +228,7 @@ def forest_ctes(max_hops: int = 3, floor: int = 4) -> str:
     return f"""leg AS (
           SELECT h.network_id, from_id, to_id, strength,
                  CAST((60 // greatest(strength, 1)) * CASE WHEN (from_id = me_id OR to_id = me_id) AND strength < {floor} THEN {penalty} ELSE 1 END AS BIGINT) AS cost
-          FROM hop h LEFT JOIN me ON me.network_id = h.network_id),
+          FROM {hops} h LEFT JOIN me ON me.network_id = h.network_id),
         {recursion('cheapest', 'l.cost', 'TRUE')},
         {recursion('fewest', '1', f'f.k.hops < {max_hops}')},
         forest AS (
@@ -244,16 +251,16 @@ def ranked_ctes() -> str:
 def with_tables(sql: str) -> str:
     """Put the shared tables a query names in front of it.
 
-    ``{forest:hops:floor}`` lines and the word ``ranked`` bring in the path tables.
+    A line ``--forest hops floor [legs]`` and the word ``ranked`` bring in the path tables.
     """
     import re
 
-    head = re.match(r"\s*--forest (\d+) (\d+)\n", sql)
+    head = re.match(r"\s*--forest (\d+) (\d+)(?: (\w+))?\n", sql)
     forest = ""
     needed: list[str] = []
     if head:
         sql = sql[head.end():]
-        forest = forest_ctes(int(head[1]), int(head[2]))
+        forest = forest_ctes(int(head[1]), int(head[2]), head[3] or "hop")
         if re.search(r"\branked\b", sql):
             forest += ", " + ranked_ctes()
 

@@ -185,6 +185,12 @@ def _(t):
     return P.path_forest(t.edge, t.me, max_hops=2)
 
 
+@query("i6_company_forest", f"--forest 3 4 hop_colleagues\nSELECT {_FOREST_COLS} FROM forest")
+def _(t):
+    """Colleagues meet through their company; the SQL spells out an edge for every pair of them."""
+    return P.path_forest(t.edge, t.me, people=t.person, over_companies=True)
+
+
 @query("i7_path_kinds", "--forest 3 2\nSELECT network_id, kind, hops, count(*) AS n FROM forest GROUP BY ALL")
 def _(t):
     return t.forest(3, 2).groupBy("network_id", "kind", "hops").agg(F.count(F.lit(1)).alias("n"))

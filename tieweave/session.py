@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -44,6 +45,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Written tables of one operator: they cut lineage like a checkpoint and are removed when the operator ends."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path, self.n, self.held = spark, work_path(spark, "scratch", uuid.uuid4().hex), 0, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.path}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
+
+    def hold(self, df: DataFrame) -> DataFrame:
+        """Persisted with its partitioning, for a table that every round reads; lost parts are computed anew."""
+        self.held.append(df.persist())
+        return self.held[-1]
+
+    def __exit__(self, *_) -> None:
+        for df in self.held:
+            df.unpersist()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_once(spark: SparkSession, key: str, name: str, build) -> DataFrame:
     """Write ``build()`` below the durable folder once per application and read it back."""
     digest = hashlib.sha1(key.encode()).hexdigest()[:12]
