@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from itertools import groupby
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tieweave.functions import values as V
+from tieweave.operators.occurrences import occurrences
 from tieweave.operators.ranking import positions
-from tieweave.operators.substring import contained_terms
 
 NET = "network_id"
 TOKEN = V.WORD_START + r"[PC]\d{3,}" + V.WORD_END
 ONLY_PERSON = r"^P\d{3,}$"
 ONLY_COMPANY = r"^C\d{3,}$"
-# While a text is being rewritten, placeholders are spelled in private characters so
-# that neither later names nor the neighbour rule can react to them.
-_OPEN, _CLOSE = chr(0xE000), chr(0xE001)
-_PLAIN = "PC0123456789"
-_HIDDEN = "".join(chr(0xE010 + i) for i in range(len(_PLAIN)))
 
 
 def person_tokens(people: DataFrame) -> DataFrame:
@@ -51,31 +49,57 @@ def pseudonymise(texts: DataFrame, names: DataFrame, scope: list[str], keys: lis
     """Replace known names in ``text`` by their tokens, longest name first.
 
     A name next to a Latin letter or digit is left alone. ``names``: scope + kind, name,
-    token, ord. Only names that occur in a text are carried to it, so the list a text
-    gathers is bounded by the text. ``leak_safe=False`` writes tokens as it goes, which
-    lets a token protect a name right after it.
+    token, ord. Every text is read once for each block of names; only the places found are
+    carried to it, so what a text gathers is bounded by the text. ``leak_safe=False`` writes
+    tokens as it goes, which lets a token protect a name right after it.
     """
     rank = F.when(F.col("kind") == "person", 0).otherwise(1)
     first = names.filter("name <> ''").groupBy(*scope, "name").agg(F.min(F.struct(rank.alias("k"), F.col("ord"), F.col("token"))).alias("w"))
     words = first.select(*scope, F.col("name").alias("term"), "w")
-    hits = contained_terms(texts.filter(F.col("text").isNotNull()), words, scope, keys).join(words, [*scope, "term"])
-    found = hits.groupBy(*scope, *keys).agg(
-        F.sort_array(F.collect_list(F.struct((-F.length("term")).alias("l"), "w", "term"))).alias("_found")
-    )
+    places = occurrences(texts, words, scope, keys).join(words, [*scope, "term"])
+    order = F.struct((-F.length("term")).alias("l"), "w", "term", "start")
+    if leak_safe:
+        found = places.groupBy(*scope, *keys).agg(F.sort_array(F.collect_list(order)).alias("_found"))
+        held = texts.join(found, [*scope, *keys], "left")
+        cuts = F.transform("_found", lambda e: F.struct(e["start"].alias("start"), (-e["l"]).alias("length"), e["w"]["token"].alias("token")))
+        return held.withColumn("text", F.when(F.col("_found").isNull(), F.col("text")).otherwise(_rewritten(F.col("text"), cuts))).drop("_found")
+    once = places.groupBy(*scope, *keys, "term").agg(F.any_value("w").alias("w"))
+    found = once.groupBy(*scope, *keys).agg(F.sort_array(F.collect_list(F.struct((-F.length("term")).alias("l"), "w", "term"))).alias("_found"))
     quoted = lambda t: F.regexp_replace(t, r"([\\.\[\]{}()*+?^$|#&~-])", r"\\$1")
     pattern = lambda e: F.concat(F.lit("(?<![A-Za-z0-9])"), quoted(e["term"]), F.lit("(?![A-Za-z0-9])"))
-
-    def token(e):
-        t = e["w"]["token"]
-        return F.concat(F.lit(_OPEN), F.translate(t, _PLAIN, _HIDDEN), F.lit(_CLOSE)) if leak_safe else t
-
-    new = F.aggregate("_found", F.col("text"), lambda acc, e: F.regexp_replace(acc, pattern(e), token(e)))
-    if leak_safe:
-        new = F.translate(new, _HIDDEN + _OPEN + _CLOSE, _PLAIN)
+    new = F.aggregate("_found", F.col("text"), lambda acc, e: F.regexp_replace(acc, pattern(e), e["w"]["token"]))
     out = texts.join(found, [*scope, *keys], "left")
     return out.withColumn("text", F.when(F.col("_found").isNull(), F.col("text")).otherwise(new)).drop("_found")
 
 
+def replaced(text: str, places: list[dict]) -> str:
+    """The text with tokens at those places, in order of precedence, that are free and not inside a word."""
+    word = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    free, chosen = bytearray(b"\x01") * len(text), []
+    for _, same in groupby(places, key=lambda p: p["token"]):
+        at_once, last = [], 0
+        for p in same:
+            a, b = p["start"], p["start"] + p["length"]
+            # A name that has been replaced by its token before is no letter; places of one name are decided together.
+            inside = (a and free[a - 1] and text[a - 1] in word) or (b < len(text) and free[b] and text[b] in word)
+            if not inside and a >= last and all(free[a:b]):
+                at_once.append((a, b, p["token"]))
+                last = b
+        for a, b, _ in at_once:
+            free[a:b] = bytes(b - a)
+        chosen += at_once
+    parts, at = [], 0
+    for a, b, token in sorted(chosen):
+        parts += [text[at:a], token]
+        at = b
+    return "".join([*parts, text[at:]])
+
+
+@F.pandas_udf(T.StringType())
+def _rewritten(texts: pd.Series, places: pd.Series) -> pd.Series:
+    return pd.Series([t if t is None or p is None else replaced(t, p) for t, p in zip(texts, places, strict=True)], dtype=object)
+
+
 def restore(texts: DataFrame, names: DataFrame, scope: list[str], keys: list[str], keep_unknown: bool = True) -> DataFrame:
     """Tokens in ``text`` back to names; unknown tokens stay (or vanish).
 
