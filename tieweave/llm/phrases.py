@@ -35,8 +35,9 @@ SCORE_FACTOR = 2_000_000
 TOP = 2000
 #: Suffixes of a group; 1 << 20 are about 100 MB while a group is sorted.
 GROUP_SUFFIXES = 1 << 20
-#: Suffixes that a task holds before it sums and sends them; 1 << 18 take about 60 MB then.
-TASK_SUFFIXES = 1 << 18
+#: Suffixes that a task holds before it sums and sends them (16 bytes each); each group gets the words of its share once.
+TASK_SUFFIXES = 1 << 20
+SUFFIXES_AT_ONCE = 1 << 17
 SLICE_BYTES = 4 << 20
 #: Bits of the filter for each frequent word, and of the whole filter at most (32 MB).
 FILTER_BITS_A_WORD, MOST_FILTER_BITS = 16, 1 << 28
@@ -276,11 +277,13 @@ def _summed(suffix: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def sent_suffixes(docs: DataFrame, seed: int, known, vertical) -> DataFrame:
     """grp, words, codes, depth, n: the distinct suffixes of a task that go to a group, as numbers of its own word list."""
 
-    def packed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        whole = np.concatenate(held)
-        words, codes = np.unique(whole, return_inverse=True)
-        suffix, n = _summed(codes.reshape(whole.shape).astype(np.int32), np.ones(len(whole), np.int64))
-        group, depth = vertical.value.groups(words[suffix])
+    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        words = np.unique(np.concatenate([w for w, _ in held]))
+        suffix = np.concatenate([np.searchsorted(words, w).astype(np.int32)[codes] for w, codes in held])
+        held.clear()
+        suffix, n = _summed(suffix, np.ones(len(suffix), np.int64))
+        dealt = [vertical.value.groups(words[suffix[at : at + SUFFIXES_AT_ONCE]]) for at in range(0, len(suffix), SUFFIXES_AT_ONCE)]
+        group, depth = (np.concatenate(x) for x in zip(*dealt, strict=True))
         order = np.argsort(group, kind="stable")
         ends = np.flatnonzero(np.diff(group[order], append=-1)) + 1
         for first, last in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
@@ -293,12 +296,15 @@ def sent_suffixes(docs: DataFrame, seed: int, known, vertical) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for hashes, joined, _ in _read(batches, seed):
-            held.append(suffixes(hashes, joined, known.value.holds(hashes)))
-            size += len(held[-1])
+            suffix = suffixes(hashes, joined, known.value.holds(hashes))
+            words, codes = np.unique(suffix, return_inverse=True)
+            if len(words):
+                held.append((words, codes.reshape(suffix.shape).astype(np.int32)))
+            size += len(suffix)
             if size >= TASK_SUFFIXES:
                 yield from packed(held)
-                held, size = [], 0
-        if size:
+                size = 0
+        if held:
             yield from packed(held)
 
     return _texts(docs).mapInArrow(run, "grp int, words binary, codes binary, depth binary, n binary")
