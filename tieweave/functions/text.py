@@ -91,10 +91,9 @@ def strength_1_5(c: Column) -> Column:
 
 
 def strength_unclamped(c: Column) -> Column:
-    """Contact files: the number as written, 3 when absent or unreadable."""
+    """Contact files: the number as written, 3 when absent or unreadable, null when no int holds it (such rows are refused)."""
     text = strip(c.cast("string"))
-    number = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int"))
-    return F.coalesce(number, F.lit(V.DEFAULT_STRENGTH)).cast("int")
+    return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int")).otherwise(F.lit(V.DEFAULT_STRENGTH)).cast("int")
 
 
 def frequency_from_spelling(c: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tieweave.functions import values as V
 from tieweave.functions.text import merge_lists
 from tieweave.operators import pseudonyms as N
+from tieweave.operators.numbering import with_edge_ids
 from tieweave.operators.folding import upsert_edges
 from tieweave.operators.ranking import top_k
 
@@ -225,6 +226,8 @@ def proposal_context(proposals: DataFrame, neighbours: DataFrame) -> DataFrame:
 def apply_proposals(edges: DataFrame, proposals: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted proposals become manual edges; also counts applied and skipped per network.
 
+    Known edges keep id, introducer and further columns, new ones are numbered on.
+
     Proposals: network_id, source_id, target_id, strength, context, frequency, seq.
     """
     known = people.select(NET, "person_id")
@@ -242,7 +245,7 @@ def apply_proposals(edges: DataFrame, proposals: DataFrame, people: DataFrame) -
     counts = marked.groupBy(NET).agg(
         F.sum("ok").alias("applied"), (F.count_if(F.col("ok") == 0) - F.sum("ok")).alias("skipped")
     )
-    return upsert_edges(old.unionByName(new)), counts
+    return with_edge_ids(upsert_edges(old.unionByName(new)), edges), counts
 
 
 # -------------------------------------------------------------------------------- goals

@@ -74,56 +74,44 @@ def direct_instead(results: DataFrame) -> DataFrame:
 def paths_between(requests: DataFrame, edges: DataFrame, max_hops: int = 3, max_paths: int = 5) -> DataFrame:
     """Best simple paths between two people, by mean strength.
 
-    Requests: request_id, network_id, source_id, target_id. Paths grow from both ends
-    and meet in the middle. The last leg adds the same to every path that ends at its
-    node, so before it only the ``max_paths`` best per node are needed - exactly.
+    Requests: request_id, network_id, source_id, target_id. Paths grow from both ends until two legs
+    are missing between them. The person in between is looked for among the neighbours of the end
+    with fewer of them, and the leg to the other end is looked up: a path that comes by somebody with
+    very many contacts costs what the other end's contacts cost.
     """
-    legs = both_ways(undirected(edges).select("network_id", "low_id", "high_id", "strength"))
+    pairs = undirected(edges).select("network_id", "low_id", "high_id", "strength")
+    hop = both_ways(pairs).select("network_id", F.col("from_id").alias("node"), "to_id", F.col("strength").alias("s"))
+    degree = hop.groupBy("network_id", "node").agg(F.count(F.lit(1)).alias("degree"))
     key = ["request_id", "network_id"]
-    hop = legs.select("network_id", F.col("from_id").alias("node"), F.col("to_id"), F.col("strength").alias("s"))
-
-    def first(start: str, other: str) -> DataFrame:
-        return requests.select(
-            *key, F.col(other).alias("avoid"), F.col(start).alias("node"),
-            F.array(start).alias("path"), F.lit(0).alias("total"),
-        )
-
-    def grow(rows: DataFrame) -> DataFrame:
-        free = (F.col("to_id") != F.col("avoid")) & ~F.array_contains(F.col("path"), F.col("to_id"))
-        return rows.join(hop, ["network_id", "node"]).filter(free).select(
-            *key, "avoid", F.col("to_id").alias("node"),
-            F.array_append("path", F.col("to_id")).alias("path"), (F.col("total") + F.col("s")).alias("total"),
-        )
-
     asked = requests.filter("source_id <> target_id")
-    requests = asked
-    ahead, back = [first("source_id", "target_id")], [first("target_id", "source_id")]
-    while len(ahead) - 1 + len(back) - 1 < max_hops:
-        if len(ahead) <= len(back):
-            ahead.append(grow(ahead[-1]))
-        else:
-            back.append(grow(back[-1]))
-
-    low, high = F.least("source_id", "target_id"), F.greatest("source_id", "target_id")
-    pairs = undirected(edges).select("network_id", "low_id", "high_id", "strength")
-    found = [
-        asked.withColumn("low_id", low).withColumn("high_id", high).join(pairs, ["network_id", "low_id", "high_id"])
-        .select(*key, F.array("source_id", "target_id").alias("path"), F.col("strength").alias("total"), F.lit(1).alias("hops"))
-    ]
-    for h in range(2, max_hops + 1):
-        j = min(len(back) - 1, h // 2)
-        i = h - j
-        a, b = ahead[i], back[j]
-        if j == 1 and i > 1:
-            a = a.join(b.select(*key, "node").distinct(), [*key, "node"], "left_semi")
-            a = top_k(a, [*key, "node"], [F.col("total").desc(), F.col("path")], max_paths).drop("rank")
-        met = a.join(
-            b.select(*key, "node", F.col("path").alias("tail"), F.col("total").alias("rest")), [*key, "node"]
-        )
-        inner = F.slice(F.reverse("tail"), 2, j)
-        if j > 1:
-            met = met.filter(~F.arrays_overlap("path", inner))
-        found.append(met.select(*key, F.concat("path", inner).alias("path"), (F.col("total") + F.col("rest")).alias("total"), F.lit(h).alias("hops")))
+
+    def grown(start: str, other: str, legs: int) -> DataFrame:
+        rows = asked.select(*key, F.col(other).alias("avoid"), F.col(start).alias("node"), F.array(start).alias("path"), F.lit(0).alias("total"))
+        for _ in range(legs):
+            free = (F.col("to_id") != F.col("avoid")) & ~F.array_contains(F.col("path"), F.col("to_id"))
+            rows = rows.join(hop, ["network_id", "node"]).filter(free).select(
+                *key, "avoid", F.col("to_id").alias("node"), F.array_append("path", F.col("to_id")).alias("path"), (F.col("total") + F.col("s")).alias("total"),
+            )
+        return rows.drop("avoid")
+
+    def closed(hops: int) -> DataFrame:
+        """Paths of ``hops`` legs: both ends grown to meet over one person in between."""
+        ahead, back = (hops - 1) // 2, (hops - 2) // 2
+        named = lambda rows, x: rows.select(*key, F.col("node").alias(f"end_{x}"), F.col("path").alias(f"path_{x}"), F.col("total").alias(f"total_{x}"))
+        both = named(grown("source_id", "target_id", ahead), "a").join(named(grown("target_id", "source_id", back), "b"), key)
+        both = both.filter(~F.arrays_overlap("path_a", "path_b"))
+        for x in "ab":
+            both = both.join(degree.select("network_id", F.col("node").alias(f"end_{x}"), F.col("degree").alias(f"degree_{x}")), ["network_id", f"end_{x}"])
+        a_is_less = F.col("degree_a") <= F.col("degree_b")
+        both = both.withColumns({"node": F.when(a_is_less, F.col("end_a")).otherwise(F.col("end_b")), "far": F.when(a_is_less, F.col("end_b")).otherwise(F.col("end_a"))})
+        met = both.join(hop, ["network_id", "node"]).filter(~F.array_contains("path_a", F.col("to_id")) & ~F.array_contains("path_b", F.col("to_id")))
+        last = met.withColumns({"low_id": F.least("to_id", "far"), "high_id": F.greatest("to_id", "far")}).join(pairs, ["network_id", "low_id", "high_id"])
+        path = F.concat("path_a", F.array("to_id"), F.reverse("path_b"))
+        return last.select(*key, path.alias("path"), (F.col("total_a") + F.col("total_b") + F.col("s") + F.col("strength")).alias("total"), F.lit(hops).alias("hops"))
+
+    straight = asked.withColumns({"low_id": F.least("source_id", "target_id"), "high_id": F.greatest("source_id", "target_id")})
+    found = [straight.join(pairs, ["network_id", "low_id", "high_id"]).select(*key, F.array("source_id", "target_id").alias("path"), F.col("strength").alias("total"), F.lit(1).alias("hops"))]
+    found += [closed(h) for h in range(2, max_hops + 1)]
     every = functools.reduce(DataFrame.unionByName, found).withColumn("combined", F.col("total") / F.col("hops"))
     return top_k(every, key, [F.col("combined").desc(), F.col("hops"), F.col("path")], max_paths)
 

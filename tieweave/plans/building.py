@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tieweave.functions import values as V
 from tieweave.operators.analytics import NET, colleague_pairs, me_rows
 from tieweave.operators.folding import merge_people, pair_choice, replace_people, upsert_edges
+from tieweave.operators.numbering import with_edge_ids
 from tieweave.operators.ranking import positions
 from tieweave.operators.validation import split_contact_rows
 from tieweave.schema import ATTRIBUTES
@@ -100,39 +101,25 @@ def colleague_writes(people: DataFrame, strength: int = V.COLLEAGUE_STRENGTH) ->
     )
 
 
-def in_steps(batches: list[DataFrame]) -> DataFrame:
-    """Union of edge batches; every batch counts as written after the ones before it."""
+def in_steps(batches: list[DataFrame], at: T.DataType) -> DataFrame:
+    """Union of edge batches; every batch counts as written after the ones before it, ``seq`` (of type ``at``) orders the rows of a batch that has one."""
     out = None
     for step, batch in enumerate(batches):
-        # Folding each batch first lets batches order their rows by keys of any type.
-        picked = upsert_edges(batch).withColumn("seq", F.lit(step)).select(*EDGE_COLUMNS)
+        within = F.col("seq") if "seq" in batch.columns else F.lit(None)
+        picked = batch.withColumn("seq", F.struct(F.lit(step).alias("step"), within.cast(at).alias("at"))).select(*EDGE_COLUMNS)
         out = picked if out is None else out.unionByName(picked)
     return out
 
 
-def with_edge_ids(edges: DataFrame, known: DataFrame | None) -> DataFrame:
-    """Edges with ``edge_id`` and ``introduced_by_id``: those of known edges stay, new ones are numbered on from the largest.
+def infer_colleagues(people: DataFrame, edges: DataFrame, strength: int = V.COLLEAGUE_STRENGTH) -> DataFrame:
+    """Edges plus one edge per pair sharing a company; edges set by hand stay as they are.
 
-    A known direction that is written again keeps its id, whoever wrote last.
+    Known edges keep id, introducer and further columns. Whoever only looks for paths needs no such
+    edges: ``path_forest(over_companies=True)`` goes through the companies instead.
     """
-    key = [NET, "source_id", "target_id"]
-    if known is None:
-        fresh = positions(edges.drop("edge_id"), [NET], [F.col("source_id"), F.col("target_id")], "edge_id")
-        return fresh.withColumn("introduced_by_id", F.lit(None).cast("long"))
-    introducer = F.max("introduced_by_id") if "introduced_by_id" in known.columns else F.lit(None).cast("long")
-    ids = known.groupBy(*key).agg(F.max("edge_id").alias("edge_id"), introducer.alias("introduced_by_id"))
-    marked = cut(edges.drop("edge_id", "introduced_by_id").join(ids, key, "left"))
-    fresh = positions(marked.filter(F.col("edge_id").isNull()).drop("edge_id"), [NET], [F.col("source_id"), F.col("target_id")], "_n")
-    top = known.groupBy(NET).agg(F.max("edge_id").alias("_top"))
-    numbered = fresh.join(top, NET, "left").withColumn("edge_id", F.col("_n") + F.greatest(F.coalesce("_top", F.lit(0)), F.lit(0))).drop("_n", "_top")
-    return marked.filter(F.col("edge_id").isNotNull()).unionByName(numbered)
-
-
-def infer_colleagues(people: DataFrame, edges: DataFrame, strength: int = V.COLLEAGUE_STRENGTH) -> DataFrame:
-    """Edges plus one edge per pair sharing a company; edges set by hand stay as they are."""
     cols = [c for c in EDGE_COLUMNS if c != "seq"]
     old = edges.select(*cols, F.lit(0).alias("seq"))
-    return upsert_edges(old.unionByName(colleague_writes(people, strength).withColumn("seq", F.lit(1))))
+    return with_edge_ids(upsert_edges(old.unionByName(colleague_writes(people, strength).withColumn("seq", F.lit(1)))), edges)
 
 
 def build_network(
@@ -162,17 +149,17 @@ def build_network(
     lost = []
     if "peers" in rows.columns:
         found, missing = resolve_peers(peer_mentions(rows), people)
-        batches.append(peer_edges(found, last_wins=False))
+        batches.append(peer_edges(found, last_wins=False).drop("seq"))
         lost.append(missing.select(NET, "name", "peer"))
     if relations is not None:
         found, missing = resolve_peers(relations, people)
-        batches.append(peer_edges(found, last_wins=True))
+        batches.append(peer_edges(found, last_wins=True).drop("seq"))
         lost.append(missing.select(NET, "name", "peer"))
     if colleagues:
-        batches.append(colleague_writes(people, colleague_strength).withColumn("seq", F.lit(0)))
+        batches.append(colleague_writes(people, colleague_strength))
     counts = [b.select(NET, F.lit(i).alias("step")) for i, b in enumerate(batches)]
     if edges is not None:
-        batches.insert(0, edges.select(*[c for c in EDGE_COLUMNS if c != "seq"], F.lit(0).alias("seq")))
+        batches.insert(0, edges.select(*[c for c in EDGE_COLUMNS if c != "seq"]))
     unresolved = lost[0] if lost else rows.limit(0).select(NET, "name", F.col("name").alias("peer"))
     for more in lost[1:]:
         unresolved = unresolved.unionByName(more)
@@ -186,4 +173,4 @@ def build_network(
     )
     stats = rows.groupBy(NET).agg(F.count(F.lit(1)).alias("people")).join(written, NET, "left").na.fill(0)
     owner = existing.filter("is_me").select("network_id", "person_id", "name", "bio", "notes", "is_me", "is_wishlist", *ATTRIBUTES)
-    return Built(owner.unionByName(people), with_edge_ids(upsert_edges(in_steps(batches)), edges), unresolved, stats, refused)
+    return Built(owner.unionByName(people), with_edge_ids(upsert_edges(in_steps(batches, rows.schema["seq"].dataType)), edges), unresolved, stats, refused)

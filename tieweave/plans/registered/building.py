@@ -116,7 +116,7 @@ def _(t):
 
 
 @query("b6_strengths", """SELECT event_id, CASE WHEN regexp_matches(w, '^[+-]?\\d+$') THEN least(5, greatest(0, CAST(w AS HUGEINT)))::BIGINT ELSE 3 END AS sheet_strength,
-  CASE WHEN regexp_matches(w, '^[+-]?\\d+$') THEN CASE WHEN length(w) < 9 THEN CAST(w AS BIGINT) ELSE 3 END ELSE 3 END AS file_strength
+  CASE WHEN regexp_matches(w, '^[+-]?\\d+$') THEN CASE WHEN length(w) < 9 THEN CAST(w AS BIGINT) END ELSE 3 END AS file_strength
   FROM (SELECT event_id, trim((['0', ' 4', '-3', '+2', '9', '3.5', 'a', '00002', '99999999999', CAST(event_id AS VARCHAR)])[event_id % 10 + 1]) AS w FROM events)""".replace("\\\\", "\\"))
 def _(t):
     words = F.array(*[F.lit(w) for w in ("0", " 4", "-3", "+2", "9", "3.5", "a", "00002", "99999999999")], F.col("event_id").cast("string"))

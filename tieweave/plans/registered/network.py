@@ -285,6 +285,17 @@ def _(t):
     return infer_colleagues(t.person, t.edge).select("network_id", "source_id", "target_id", "strength", "context", "frequency", "source")
 
 
+@query("j7_colleague_edge_ids", f"""WITH {_MEMBER}, pairs AS (SELECT DISTINCT a.network_id, a.person_id AS source_id, b.person_id AS target_id FROM member a JOIN member b USING (network_id, company) WHERE a.person_id < b.person_id)
+  SELECT network_id, source_id, target_id, edge_id, edge_id % 7 AS introduced_by_id FROM edge
+  UNION ALL SELECT network_id, source_id, target_id, coalesce(top, 0) + row_number() OVER (PARTITION BY network_id ORDER BY source_id, target_id), NULL
+  FROM pairs ANTI JOIN edge USING (network_id, source_id, target_id) LEFT JOIN (SELECT network_id, max(edge_id) AS top FROM edge GROUP BY 1) USING (network_id)""")
+def _(t):
+    from tieweave.plans.building import infer_colleagues
+
+    known = t.edge.withColumn("introduced_by_id", F.col("edge_id") % 7)
+    return infer_colleagues(t.person, known).select("network_id", "source_id", "target_id", "edge_id", "introduced_by_id")
+
+
 @query("d10_proposal_context", """SELECT q.low_id, q.high_id, q.network_id, p.edge_id, p.strength FROM (
    SELECT DISTINCT network_id, least(source_id, target_id) AS low_id, greatest(source_id, target_id) + (edge_id % 2) AS high_id FROM edge) q
    LEFT JOIN pair p USING (network_id, low_id, high_id)""")

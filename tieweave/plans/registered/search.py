@@ -303,17 +303,19 @@ def _(t):
 
 
 def _requests(t):
-    """Each network's customers with the smallest and next smallest ids, and the owner."""
-    c = A.contacts(t.person).filter("person_id < 1000000000")
-    ends = c.groupBy("network_id").agg(F.min("person_id").alias("a"), F.max("person_id").alias("b"))
-    both = ends.select(F.col("a").alias("request_id"), "network_id", F.col("a").alias("source_id"), F.col("b").alias("target_id"))
-    mine = ends.join(t.me, "network_id").select((-F.col("a") - 1).alias("request_id"), "network_id", F.col("me_id").alias("source_id"), F.col("b").alias("target_id"))
+    """The customers of every two successive orders, where one network has both, and of such an order each with the owner."""
+    o = t.raw("orders").select("o_orderkey", "o_custkey").join(t.raw("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    later = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_custkey").alias("target_id"), "c_nationkey")
+    network = F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("network_id")
+    both = o.join(later, ["o_orderkey", "c_nationkey"]).select(F.col("o_orderkey").alias("request_id"), network, F.col("o_custkey").alias("source_id"), "target_id")
+    mine = both.join(t.me, "network_id").select((-F.col("request_id") - 1).alias("request_id"), "network_id", F.col("me_id").alias("source_id"), "target_id")
     return both.unionByName(mine)
 
 
-_REQ = """ends AS (SELECT network_id, min(person_id) AS a, max(person_id) AS b FROM contact WHERE person_id < 1000000000 GROUP BY 1),
-  req AS (SELECT a AS request_id, network_id, a AS source_id, b AS target_id FROM ends
-          UNION ALL SELECT -a - 1, e.network_id, me_id, b FROM ends e JOIN me USING (network_id))"""
+_REQ = """ends AS (SELECT a.o_orderkey AS request_id, 'n' || x.c_nationkey AS network_id, a.o_custkey AS source_id, b.o_custkey AS target_id
+    FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 JOIN customer x ON x.c_custkey = a.o_custkey JOIN customer y ON y.c_custkey = b.o_custkey AND y.c_nationkey = x.c_nationkey),
+  req AS (SELECT * FROM ends WHERE source_id <> target_id
+          UNION ALL SELECT -request_id - 1, e.network_id, me_id, target_id FROM ends e JOIN me USING (network_id))"""
 _BETWEEN = """walk(request_id, network_id, target_id, path, total) AS (
     SELECT request_id, network_id, target_id, [source_id], CAST(0 AS BIGINT) FROM req
     UNION ALL SELECT w.request_id, w.network_id, w.target_id, list_append(path, to_id), total + strength FROM walk w
