@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tieweave.llm import chat, decontamination, extraction, licences, line_join, ngram_join, packing, phrases, quality, sharding, simhash_join, spelling, toxicity
+from tieweave.llm import chat, decontamination, extraction, fuzzy_lines, licences, ngram_join, packing, phrases, quality, sharding, simhash_join, spelling, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -139,7 +139,7 @@ def op5_toxicity(spark, sf):
 
 @_query
 def op6_line_dedup(spark, sf):
-    return line_join.without_alike_lines(_read(spark, sf, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    return fuzzy_lines.without_fuzzy_lines(_read(spark, sf, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
 @_query
