@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tieweave.llm import decontamination, line_join, ngram_join, packing, toxicity
+from tieweave.llm import decontamination, fuzzy_lines, ngram_join, packing, toxicity
 from tieweave.llm.registered import tokenizer_path
 
 #: Near copies: words of an n-gram and least share in per cent.
@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each group of like lines kept once; ``n_chars`` follows the text."""
-    rid = line_join.without_alike_lines(docs)
+    rid = fuzzy_lines.without_fuzzy_lines(docs)
     return rid.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
