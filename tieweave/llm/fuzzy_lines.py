@@ -65,16 +65,19 @@ def _majorities(hashes: Column, bits: int, width: int) -> Column:
     """Number whose bit i is set if more than half of the hashes have bit i; a lane of ``width`` bits counts one of them."""
     lanes = 63 // width
     apart = -(-bits // lanes)
-    total = _long(0)
-    for k in range(apart):
-        # Bits k, k + width, ... of the hash are counted by one addition.
-        ones = _long(sum(1 << (width * lane) for lane in range(lanes)))
-        sums = F.aggregate(hashes, _long(0), partial(_counted, k, ones))
+    # Bits k, k + width, ... of the hash are counted by one addition.
+    ones = _long(sum(1 << (width * lane) for lane in range(lanes)))
+
+    def voted(sums: Column, k: Column) -> Column:
+        total = _long(0)
         for lane in range(lanes):
-            if lane * apart + k < bits:
-                count = F.call_function("shiftrightunsigned", sums, F.lit(width * lane)).bitwiseAND(_long((1 << width) - 1))
-                total = total + F.when(2 * count > F.size(hashes), _long(1 << (lane * apart + k))).otherwise(_long(0))
-    return total
+            count = F.call_function("shiftrightunsigned", sums, F.lit(width * lane)).bitwiseAND(_long((1 << width) - 1))
+            total = total + F.when((2 * count > F.size(hashes)) & (k < bits - lane * apart), _long(1 << (lane * apart))).otherwise(_long(0))
+        return F.call_function("shiftleft", total, k)
+
+    # What a lambda uses more than once is made again for each use, so the sums are bound to a variable.
+    sums = F.array(*[F.aggregate(hashes, _long(0), partial(_counted, k, ones)) for k in range(apart)])
+    return F.aggregate(F.transform(sums, voted), _long(0), lambda total, x: total + x)
 
 
 def _between(low: int, high: int, h: Column) -> Column:
