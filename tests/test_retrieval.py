@@ -109,3 +109,30 @@ def test_pair_scores_drop_unscored_heads_only_in_scored_goals(spark):
     scores = spark.createDataFrame([(1, 12, 0.9), (1, 10, 0.3)], "goal_id long, person_id long, pair_score double")
     rows = R.pair_scores(cand, scores).orderBy("goal_id", "rank").collect()
     assert [(r.goal_id, r.person_id) for r in rows] == [(1, 12), (1, 10), (2, 10), (2, 11), (2, 12)]
+
+
+@pytest.mark.parametrize("limit", [5000, 0])
+def test_wildcards_of_a_term_stay_within_a_field(spark, limit):
+    import re
+
+    texts = {1: "anna\u0001works at acme\u0001oslo", 2: "bob (a.c.m.e)\u0001100% sure\nof it", 3: "", 4: "a_b\u0001axb", 5: "x" * 30_000 + "\u0001ab", 6: "ab\u0001cd"}
+    terms = ["a%e", "a_me", "a.c", "b%c", "%", "_", "__%__", "100%it", "a_b", "x%y", "anna", "(a", "works", "acme%oslo", "%%", "a%b%"]
+    frame = spark.createDataFrame([("n", k, v) for k, v in texts.items()], "network_id string, person_id long, text string")
+    asked = spark.createDataFrame([("n", t) for t in terms] + [("m", "anna")], "network_id string, term string")
+    got = {(r.person_id, r.term) for r in contained_terms(frame, asked, ["network_id"], ["person_id"], limit, wildcards=True).collect()}
+    like = lambda t: re.compile("".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in t), re.S)
+    want = {(k, t) for k, v in texts.items() for t in terms for f in v.split("\u0001") if like(t).search(f)}
+    assert got == want
+    plain = {(r.person_id, r.term) for r in contained_terms(frame, asked, ["network_id"], ["person_id"], limit).collect()}
+    assert plain == {(k, t) for k, v in texts.items() for t in terms if t in v}
+
+
+def test_weights_of_the_channels(spark):
+    people = people_frame(spark, [{"person_id": 1, "tags": ["law"]}, {"person_id": 2, "tags": ["oslo"]}, {"person_id": 3, "tags": ["law", "oslo"]}])
+    goals = goals_frame(spark, [{"roles": ["law"], "keywords": ["oslo"]}])
+    found = lambda **w: [(r.person_id, round(r.score, 4)) for r in T.hybrid_search(goals, people, None, weights=w or None).orderBy("rank").collect()]
+    assert [p for p, _ in found()] == [3, 1, 2]
+    assert [p for p, _ in found(topic=3.0)] == [3, 2, 1]
+    assert [p for p, _ in found(helper=0.0)] == [2, 3]
+    with pytest.raises(ValueError):
+        found(words=1.0)

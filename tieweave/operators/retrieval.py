@@ -123,11 +123,14 @@ def goal_terms(goals: DataFrame) -> DataFrame:
     )
 
 
-def keyword_hits(goals: DataFrame, people: DataFrame) -> DataFrame:
-    """(goal, channel, person, hits): how many of the goal's words the person's fields hold."""
+def keyword_hits(goals: DataFrame, people: DataFrame, wildcards: bool = False) -> DataFrame:
+    """(goal, channel, person, hits): how many of the goal's words the person's fields hold.
+
+    With ``wildcards``, ``%`` and ``_`` in a word stand for any characters and for one.
+    """
     terms = goal_terms(goals)
     texts = people.filter(~F.col("is_me")).select("network_id", "person_id", search_haystack().alias("text"))
-    found = contained_terms(texts, terms, ["network_id"], ["person_id"])
+    found = contained_terms(texts, terms, ["network_id"], ["person_id"], wildcards=wildcards)
     return (
         found.join(terms, ["network_id", "term"])
         .groupBy("goal_id", "network_id", "channel", "person_id")
@@ -135,10 +138,10 @@ def keyword_hits(goals: DataFrame, people: DataFrame) -> DataFrame:
     )
 
 
-def keyword_ranks(goals: DataFrame, people: DataFrame) -> DataFrame:
+def keyword_ranks(goals: DataFrame, people: DataFrame, wildcards: bool = False) -> DataFrame:
     """Every hit ranked by number of words found."""
     order = [F.col("hits").desc(), F.col("person_id")]
-    return positions(keyword_hits(goals, people), ["goal_id", "network_id", "channel"], order, "rank")
+    return positions(keyword_hits(goals, people, wildcards), ["goal_id", "network_id", "channel"], order, "rank")
 
 
 def fuse(channels: DataFrame, recall: int, rrf_k: int = V.RRF_K, weights: dict[str, float] | None = None) -> DataFrame:
@@ -165,15 +168,25 @@ def fuse(channels: DataFrame, recall: int, rrf_k: int = V.RRF_K, weights: dict[s
 def hybrid_search(
     goals: DataFrame, people: DataFrame, embeddings: DataFrame | None,
     top: int = 10, recall_k: int | None = 30, metric: str = "l2", rrf_k: int = V.RRF_K,
+    weights: dict[str, float] | None = None, wildcards: bool = False,
 ) -> DataFrame:
-    """Candidates of every goal: goal_id, network_id, person_id, score, rank."""
+    """Candidates of every goal: goal_id, network_id, person_id, score, rank.
+
+    ``weights`` gives a weight to some of the channels vector, helper and topic; the others
+    keep theirs. Whom only channels of weight 0 found is no candidate.
+    """
+    weights = {**V.CHANNEL_WEIGHTS, **(weights or {})}
+    unknown = set(weights) - set(V.CHANNEL_WEIGHTS)
+    if unknown or min(weights.values()) < 0:
+        raise ValueError(f"weights are numbers from 0 for {', '.join(V.CHANNEL_WEIGHTS)}")
     recall = max(top, recall_k or top)
-    channels = keyword_ranks(goals, people).select("goal_id", "network_id", "person_id", "channel", "rank")
-    if embeddings is not None:
+    channels = keyword_ranks(goals, people, wildcards).select("goal_id", "network_id", "person_id", "channel", "rank")
+    if embeddings is not None and weights["vector"] > 0:
         me = people.filter("is_me").select("network_id", F.col("person_id").alias("me_id"))
         told = goals.filter(F.trim(F.concat_ws("", "summary", "original")) != "")
         near = nearest_people(told, embeddings, recall * 2, metric, me)
         channels = channels.unionByName(
             near.select("goal_id", "network_id", "person_id", F.lit("vector").alias("channel"), "rank")
         )
-    return fuse(channels, recall, rrf_k)
+    used = [name for name, w in weights.items() if w > 0]
+    return fuse(channels.filter(F.col("channel").isin(used)), recall, rrf_k, weights)

@@ -59,13 +59,16 @@ def goal_search(
     goals: DataFrame, people: DataFrame, edges: DataFrame, embeddings: DataFrame | None = None,
     reranker: Callable[[DataFrame], DataFrame] = R.identity, forest: DataFrame | None = None,
     top: int = 10, result_k: int = 5, recall_k: int = 30, max_hops: int = 3, weak_me_floor: int = 4,
-    metric: str = "l2",
+    metric: str = "l2", weights: dict[str, float] | None = None, wildcards: bool = False,
 ) -> DataFrame:
-    """All buckets of all goals. The forest depends on the edges only and may be reused."""
+    """All buckets of all goals. The forest depends on the edges only and may be reused.
+
+    ``weights`` and ``wildcards`` are those of ``hybrid_search``.
+    """
     me = me_rows(people)
     if forest is None:
         forest = P.path_forest(edges, me, max_hops, weak_me_floor)
-    found = hybrid_search(goals, people, embeddings, top, recall_k, metric)
+    found = hybrid_search(goals, people, embeddings, top, recall_k, metric, weights=weights, wildcards=wildcards)
     results = ranked_results(R.cut_to(reranker(found), top), forest, people)
     listed = buckets(results, result_k)
     known = strength_to_me(edges, me).select("network_id", "person_id", F.col("strength_to_me").alias("direct_strength"))

@@ -240,12 +240,22 @@ def forest_ctes(max_hops: int = 3, floor: int = 4, hops: str = "hop") -> str:
           WHERE k.hops BETWEEN 1 AND {max_hops})"""
 
 
-def ranked_ctes() -> str:
-    return """ranked AS (
+def ranked_ctes(candidates: str = "cand", people: str = "contact") -> str:
+    return f"""ranked AS (
           SELECT c.goal_id, c.network_id, c.person_id, c.score, c.rank, f.hops, f.path, f.strengths, f.path_strength, f.kind,
                  c.score * (0.9e0 + 0.1e0 * ((f.path_strength / f.hops) / 5.0e0)) * (1.0e0 / pow(CAST(f.hops AS DOUBLE), 1.3e0)) AS combined,
                  p.name, p.is_wishlist, p.tags, p.skills, p.companies
-          FROM cand c JOIN forest f USING (network_id, person_id) JOIN contact p USING (network_id, person_id) WHERE c.rank <= 10)"""
+          FROM {candidates} c JOIN forest f USING (network_id, person_id) JOIN {people} p USING (network_id, person_id) WHERE c.rank <= 10)"""
+
+
+BUCKETS = """buckets AS (
+  WITH ind AS (SELECT *, row_number() OVER (PARTITION BY goal_id ORDER BY combined DESC, person_id) AS place FROM ranked WHERE kind = 'indirect'),
+       con AS (SELECT *, row_number() OVER (PARTITION BY goal_id ORDER BY strengths[1] DESC, combined DESC, person_id) AS place FROM ranked WHERE kind <> 'indirect'),
+       wish AS (SELECT *, row_number() OVER (PARTITION BY goal_id ORDER BY combined DESC, person_id) AS place FROM ranked WHERE is_wishlist),
+       com AS (SELECT * REPLACE (row_number() OVER (PARTITION BY goal_id ORDER BY combined DESC, person_id) AS place)
+               FROM (SELECT * FROM ind WHERE place <= 5 UNION ALL SELECT * FROM con))
+  SELECT 'indirect' AS bucket, * FROM ind WHERE place <= 5 UNION ALL SELECT 'contacted', * FROM con WHERE place <= 10
+  UNION ALL SELECT 'wishlist', * FROM wish WHERE place <= 5 UNION ALL SELECT 'combined', * FROM com WHERE place <= 5)"""
 
 
 def with_tables(sql: str) -> str:

@@ -9,7 +9,7 @@ from tieweave.operators import analytics as A
 from tieweave.operators.folding import merge_people, pair_choice, replace_people, upsert_edges
 from tieweave.operators.ranking import positions
 from tieweave.plans import building as P
-from tieweave.plans.registered.base import query
+from tieweave.plans.registered.base import BUCKETS, forest_ctes, query, ranked_ctes
 from tieweave.sources import contacts as C
 
 
@@ -277,7 +277,7 @@ def _(t):
     return _built(t).edges.select("network_id", "source_id", "target_id", "edge_id")
 
 
-@query("h1_import_then_search", f"""WITH {_PEERED}, pair2 AS (SELECT network_id, least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM built),
+@query("h1_import_reach", f"""WITH {_PEERED}, pair2 AS (SELECT network_id, least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM built),
   near1 AS (SELECT p.network_id, CASE WHEN a = me_id THEN b ELSE a END AS person_id FROM pair2 p JOIN owner o ON o.network_id = p.network_id AND (a = me_id OR b = me_id)),
   near2 AS (SELECT DISTINCT p.network_id, CASE WHEN p.a = n.person_id THEN p.b ELSE p.a END AS person_id FROM pair2 p JOIN near1 n ON n.network_id = p.network_id AND (p.a = n.person_id OR p.b = n.person_id))
   SELECT network_id, count(*) AS reached FROM (SELECT * FROM near1 UNION SELECT n.* FROM near2 n JOIN owner o ON o.network_id = n.network_id WHERE person_id <> me_id) GROUP BY 1""")
@@ -290,6 +290,42 @@ def _(t):
     return path_forest(built.edges, me_rows(built.people), max_hops=2).groupBy("network_id").agg(F.countDistinct("person_id").alias("reached"))
 
 
+# One goal for every firm that rows of a network name: its people, with the priority and the city of the rows.
+_SOUGHT = """sought AS (SELECT o_custkey % 40 * 100 + o_custkey % 25 AS goal_id, 'n' || (o_custkey % 25) AS network_id, max(o_orderpriority) AS priority,
+    'Firm' || (o_custkey % 40) AS firm, 'City' || (max(o_orderkey) % 5) AS city FROM orders GROUP BY o_custkey % 40, o_custkey % 25),
+  word AS (SELECT goal_id, network_id, 'helper' AS channel, lower(unnest([priority, firm])) AS w FROM sought UNION ALL SELECT goal_id, network_id, 'topic', lower(city) FROM sought),
+  field AS (SELECT network_id, person_id, lower(concat_ws(chr(1), name, bio, notes, replace(tags, '|', chr(1)), replace(companies, '|', chr(1)), replace(cities, '|', chr(1)))) AS value FROM numbered),
+  met AS (SELECT goal_id, w.network_id, channel, person_id, count(*) AS hits FROM word w JOIN field f ON f.network_id = w.network_id AND contains(value, w) GROUP BY ALL),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY goal_id, channel ORDER BY hits DESC, person_id) AS rank FROM met),
+  summed AS (SELECT goal_id, network_id, person_id, coalesce(max(CASE WHEN channel = 'helper' THEN 1.5e0 / (60 + rank) END), 0e0) + coalesce(max(CASE WHEN channel = 'topic' THEN 0.3e0 / (60 + rank) END), 0e0) AS raw FROM placed GROUP BY ALL),
+  found AS (SELECT *, raw / max(raw) OVER (PARTITION BY goal_id) AS score, row_number() OVER (PARTITION BY goal_id ORDER BY raw DESC, person_id) AS rank FROM summed),
+  folk AS (SELECT network_id, person_id, name, is_wishlist, tags, cities AS skills, companies FROM numbered),
+  tie AS (SELECT network_id, source_id AS from_id, target_id AS to_id, w.s AS strength FROM built UNION ALL SELECT network_id, target_id, source_id, w.s FROM built)"""
+
+
+def _sought(t):
+    cust, none = F.col("o_custkey"), F.array().cast("array<string>")
+    each = t.raw("orders").groupBy((cust % 40).alias("f"), (cust % 25).alias("n")).agg(F.max("o_orderpriority").alias("priority"), (F.max("o_orderkey") % 5).alias("c"))
+    text = lambda head, c: F.concat(F.lit(head), F.col(c).cast("string"))
+    return each.select(
+        (F.col("f") * 100 + F.col("n")).alias("goal_id"), text("n", "n").alias("network_id"), F.lit("").alias("original"), F.lit("").alias("summary"),
+        F.array("priority").alias("roles"), F.array(text("Firm", "f")).alias("industries"), none.alias("skills"), F.array(text("City", "c")).alias("keywords"), none.alias("cities"),
+    )
+
+
+@query("h1_import_then_search", f"""WITH {_PEERED}, {_SOUGHT}, {forest_ctes(3, 4, "tie")}, {ranked_ctes("found", "folk")}, {BUCKETS}
+  SELECT b.goal_id, b.network_id, bucket, place, b.person_id, b.name, round(score, 6) AS score, hops, array_to_string(path, '|') AS path, path_strength, kind, round(combined, 6) AS combined,
+    CASE WHEN kind = 'indirect' AND bucket IN ('indirect', 'combined') THEN s.strength END AS direct_strength
+  FROM buckets b LEFT JOIN (SELECT h.network_id, to_id AS person_id, strength FROM tie h JOIN me ON me.network_id = h.network_id AND from_id = me_id) s ON s.network_id = b.network_id AND s.person_id = b.person_id""")
+def _(t):
+    """Import the sheets, then search the people and edges that came out, as they are."""
+    from tieweave.plans.goal_search import goal_search
+
+    built = _built(t)
+    rows = goal_search(_sought(t), built.people, built.edges)
+    return rows.select("goal_id", "network_id", "bucket", "place", "person_id", "name", "score", "hops", "path", "path_strength", "kind", "combined", "direct_strength")
+
+
 @query("e1_built_people", f"WITH {_PEERED} SELECT network_id, person_id, name, is_wishlist, companies FROM numbered UNION ALL SELECT network_id, person_id, name, FALSE, '' FROM person WHERE is_me")
 def _(t):
     return _built(t).people.select("network_id", "person_id", "name", "is_wishlist", "companies")

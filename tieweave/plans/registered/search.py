@@ -6,7 +6,7 @@ from tieweave.functions import people as Q
 from tieweave.operators import analytics as A, matching as M, paths as P, rerank as R, retrieval as T
 from tieweave.operators.folding import both_ways, undirected, with_edge_key
 from tieweave.plans import goal_search as G
-from tieweave.plans.registered.base import query
+from tieweave.plans.registered.base import BUCKETS, query
 
 
 @query("i1_knn_by_network", "SELECT goal_id, network_id, person_id, round(distance, 6) AS distance, rank FROM near")
@@ -76,6 +76,31 @@ def _(t):
     return T.hybrid_search(t.goal, t.person, t.embedding)
 
 
+@query("i3_rrf_fusion_weighted", """SELECT goal_id, network_id, person_id, round(raw / max(raw) OVER (PARTITION BY goal_id), 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY goal_id ORDER BY raw DESC, person_id) AS rank FROM (
+    SELECT goal_id, network_id, person_id, coalesce(max(CASE WHEN channel = 'vector' THEN 0.5e0 / (60 + rank) END), 0e0) + coalesce(max(CASE WHEN channel = 'topic' THEN 2.0e0 / (60 + rank) END), 0e0) AS raw
+    FROM chan WHERE channel <> 'helper' GROUP BY ALL)) WHERE rank <= 30""")
+def _(t):
+    """Topics before vectors, helper words out of the search."""
+    return T.hybrid_search(t.goal, t.person, t.embedding, weights={"vector": 0.5, "helper": 0.0, "topic": 2.0})
+
+
+def _wild(t):
+    """The goals with wildcards in their words: one for any letter i or U, any run for an e or an o."""
+    some = lambda c, old, new: F.transform(c, lambda w: F.replace(w, F.lit(old), F.lit(new))).alias(c)
+    kept = ["goal_id", "network_id", "original", "summary", "industries", "cities", "vector"]
+    return t.goal.select(*kept, some("roles", "U", "_"), some("skills", "i", "_"), some("keywords", "e", "%"))
+
+
+@query("e11_keyword_hits_wildcards", """WITH wild AS (SELECT goal_id, network_id, 'helper' AS channel, lower(trim(unnest([replace(w, 'U', '_') FOR w IN roles] || industries || [replace(w, 'i', '_') FOR w IN skills]))) AS term FROM goal
+    UNION ALL SELECT goal_id, network_id, 'topic', lower(trim(unnest([replace(w, 'e', '%') FOR w IN keywords] || cities))) FROM goal),
+  field AS (SELECT network_id, person_id, lower(unnest([name, bio, notes] || tags || skills || companies || cities)) AS value FROM contact),
+  found AS (SELECT DISTINCT w.network_id, w.term, f.person_id FROM (SELECT DISTINCT network_id, term FROM wild WHERE term <> '') w JOIN field f ON f.network_id = w.network_id AND f.value LIKE '%' || w.term || '%')
+  SELECT goal_id, network_id, channel, person_id, count(*) AS hits FROM wild JOIN found USING (network_id, term) GROUP BY ALL""")
+def _(t):
+    return T.keyword_hits(_wild(t), t.person, wildcards=True)
+
+
 @query("f2_max_normalised", "SELECT goal_id, network_id, channel, person_id, round(hits / max(hits) OVER (PARTITION BY goal_id, channel), 6) AS score FROM hit")
 def _(t):
     from tieweave.operators.ranking import max_normalise
@@ -223,23 +248,13 @@ def _(t):
     return _ranked(t).select("goal_id", "person_id", "rationale")
 
 
-_BUCKETS = """buckets AS (
-  WITH ind AS (SELECT *, row_number() OVER (PARTITION BY goal_id ORDER BY combined DESC, person_id) AS place FROM ranked WHERE kind = 'indirect'),
-       con AS (SELECT *, row_number() OVER (PARTITION BY goal_id ORDER BY strengths[1] DESC, combined DESC, person_id) AS place FROM ranked WHERE kind <> 'indirect'),
-       wish AS (SELECT *, row_number() OVER (PARTITION BY goal_id ORDER BY combined DESC, person_id) AS place FROM ranked WHERE is_wishlist),
-       com AS (SELECT * REPLACE (row_number() OVER (PARTITION BY goal_id ORDER BY combined DESC, person_id) AS place)
-               FROM (SELECT * FROM ind WHERE place <= 5 UNION ALL SELECT * FROM con))
-  SELECT 'indirect' AS bucket, * FROM ind WHERE place <= 5 UNION ALL SELECT 'contacted', * FROM con WHERE place <= 10
-  UNION ALL SELECT 'wishlist', * FROM wish WHERE place <= 5 UNION ALL SELECT 'combined', * FROM com WHERE place <= 5)"""
-
-
-@query("g3_search_buckets", f"--forest 3 4\nWITH {_BUCKETS} SELECT goal_id, bucket, place, person_id, kind, round(combined, 6) AS combined FROM buckets")
+@query("g3_search_buckets", f"--forest 3 4\nWITH {BUCKETS} SELECT goal_id, bucket, place, person_id, kind, round(combined, 6) AS combined FROM buckets")
 def _(t):
     return G.buckets(_ranked(t)).select("goal_id", "bucket", "place", "person_id", "kind", "combined")
 
 
 @query("i9_goal_search", f"""--forest 3 4
-WITH {_BUCKETS} SELECT b.goal_id, b.network_id, bucket, place, b.person_id, b.name, round(score, 6) AS score, hops, array_to_string(path, '|') AS path,
+WITH {BUCKETS} SELECT b.goal_id, b.network_id, bucket, place, b.person_id, b.name, round(score, 6) AS score, hops, array_to_string(path, '|') AS path,
   path_strength, kind, round(combined, 6) AS combined, CASE WHEN kind = 'indirect' AND bucket IN ('indirect', 'combined') THEN strength_to_me END AS direct_strength
 FROM buckets b LEFT JOIN s2me s USING (network_id, person_id)""")
 def _(t):
@@ -248,14 +263,14 @@ def _(t):
                        "path_strength", "kind", "combined", "direct_strength")
 
 
-@query("h4_bucket_union", f"--forest 3 4\nWITH {_BUCKETS} SELECT DISTINCT goal_id, person_id FROM buckets WHERE bucket IN ('indirect', 'contacted')")
+@query("h4_bucket_union", f"--forest 3 4\nWITH {BUCKETS} SELECT DISTINCT goal_id, person_id FROM buckets WHERE bucket IN ('indirect', 'contacted')")
 def _(t):
     rows = G.buckets(_ranked(t)).filter(F.col("bucket").isin("indirect", "contacted"))
     return rows.select("goal_id", "person_id").distinct()
 
 
 @query("i10_direct_instead", f"""--forest 3 4
-WITH {_BUCKETS} SELECT b.goal_id, b.network_id, b.person_id, path[1] || '|' || b.person_id AS path, CAST(strength_to_me AS VARCHAR) AS strengths,
+WITH {BUCKETS} SELECT b.goal_id, b.network_id, b.person_id, path[1] || '|' || b.person_id AS path, CAST(strength_to_me AS VARCHAR) AS strengths,
   '直连：你与 ' || b.name || ' 关系强度 ' || strength_to_me || '/5，可直接联系。' AS rationale
 FROM buckets b JOIN s2me s USING (network_id, person_id) WHERE bucket = 'indirect'""")
 def _(t):
@@ -291,7 +306,7 @@ def _(t):
 
 
 @query("e17_highlights", f"""--forest 3 4
-WITH {_BUCKETS}, shown AS (SELECT * FROM buckets WHERE bucket = 'combined')
+WITH {BUCKETS}, shown AS (SELECT * FROM buckets WHERE bucket = 'combined')
 SELECT DISTINCT goal_id, network_id, 'node' AS kind, CAST(unnest(path) AS VARCHAR) AS element FROM shown
 UNION ALL SELECT DISTINCT goal_id, network_id, 'edge', 'e_' || least(path[i], path[i + 1]) || '_' || greatest(path[i], path[i + 1])
 FROM (SELECT *, unnest(generate_series(1, len(path) - 1)) AS i FROM shown)""")
