@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tieweave.functions import values as V
 from tieweave.operators.analytics import company_headcount
 from tieweave.operators.enrichment import parsed
+from tieweave.session import broadcast_if_small, cut
 
 NET = "network_id"
 
@@ -93,11 +94,31 @@ def residual_names(people: DataFrame, plan: DataFrame) -> DataFrame:
 def merged_links(people: DataFrame, plan: DataFrame) -> DataFrame:
     """Person-company links under canonical names, each once: network_id, person_id, company, at."""
     links = people.select(NET, "person_id", F.posexplode("companies").alias("at", "company"))
-    names = plan.select(NET, F.col("alias").alias("company"), "canonical")
-    moved = links.join(names, [NET, "company"], "left").withColumn("company", F.coalesce("canonical", "company"))
+    moved = links.join(_new_names(plan), [NET, "company"], "left").withColumn("company", F.coalesce("canonical", "company"))
     return moved.groupBy(NET, "person_id", "company").agg(F.min("at").alias("at"))
 
 
+def _new_names(plan: DataFrame) -> DataFrame:
+    """Names that fold, with their canonical name and place. Few of them (counted) travel to the links, which are not shuffled then."""
+    return broadcast_if_small(cut(plan.select(NET, F.col("alias").alias("company"), "canonical", "member_ord")))
+
+
+def merged_link_rows(links: DataFrame, plan: DataFrame) -> DataFrame:
+    """Links with whatever they tell (role, since, is_current) under canonical names.
+
+    ``links``: network_id, person_id, company and further columns that can be ordered. Of the links
+    of one person that fall together the one to the canonical name stays as it is, otherwise that of
+    the first alias of the plan; of equal links the smallest. A null company folds into nothing.
+    """
+    told = [c for c in links.columns if c not in (NET, "person_id", "company")]
+    moved = links.join(_new_names(plan).withColumnRenamed("canonical", "_new"), [NET, "company"], "left").select(
+        NET, "person_id", F.coalesce("_new", "company").alias("company"),
+        F.struct(F.coalesce("member_ord", F.lit(-1)).alias("_ord"), *told).alias("_link"),
+    )
+    kept = moved.groupBy(NET, "person_id", "company").agg(F.min("_link").alias("_link"))
+    return kept.select(NET, "person_id", "company", *[F.col(f"_link.{c}").alias(c) for c in told])
+
+
 def merge_companies(people: DataFrame, plan: DataFrame) -> DataFrame:
     lists = merged_links(people, plan).groupBy(NET, "person_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("at", "company"))), lambda x: x["company"]).alias("_merged")

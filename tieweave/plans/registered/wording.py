@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from tieweave.functions import people as Q
 from tieweave.functions import text as X
+from tieweave.functions import values as V
 from tieweave.operators import aliases as L, analytics as A, enrichment as E, pseudonyms as N, retrieval as T
 from tieweave.plans.registered.base import query
 from tieweave.plans.registered.building import _EMBED
 from tieweave.plans.registered.network import SCRUB
-from tieweave.sources.contacts import parse_alias_rules
+from tieweave.sources.contacts import parse_alias_rules, read_alias_rules
 
 _P = """ptok AS (SELECT network_id, person_id, name, 'P' || lpad(CAST(row_number() OVER (PARTITION BY network_id ORDER BY name, person_id) AS VARCHAR), 3, '0') AS token FROM contact
     UNION ALL SELECT network_id, me_id, me_name, 'P000' FROM me),
@@ -316,6 +317,80 @@ def _(t):
     return L.merged_links(A.contacts(t.person), L.plan_merges(t.person, _rules(t))).drop("at")
 
 
+def _company_links(t):
+    """What the orders tell of a customer and a brand: the first date, the last priority, whether an order is open."""
+    o = t.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
+    lines = t.raw("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey")).distinct()
+    rows = lines.join(o, "o_orderkey").join(t.raw("part").select("p_partkey", "p_brand"), "p_partkey")
+    of = t.raw("customer").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("network_id"))
+    return rows.groupBy("o_custkey", F.col("p_brand").alias("company")).agg(
+        F.max("o_orderpriority").alias("role"), F.min("o_orderdate").cast("date").alias("since"), F.bool_or(F.col("o_orderstatus") == "O").alias("is_current")
+    ).join(of, "o_custkey").select("network_id", F.col("o_custkey").alias("person_id"), "company", "role", "since", "is_current")
+
+
+@query("d14_merged_link_rows", f"""WITH {_MERGE}, ordered AS (SELECT network_id, alias, canonical, CASE WHEN alias = canonical THEN -1 WHEN source = 'model' THEN CAST(substring(alias, 7) AS BIGINT) ELSE CAST(substring(alias, 7) AS BIGINT) % 10 END AS r FROM plan),
+  link AS (SELECT 'n' || c_nationkey AS network_id, o_custkey AS person_id, p_brand AS company, max(o_orderpriority) AS role, CAST(min(o_orderdate) AS DATE) AS since, bool_or(o_orderstatus = 'O') AS is_current
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
+  SELECT network_id, person_id, company, role, CAST(since AS VARCHAR) AS since, is_current FROM (
+    SELECT l.network_id, l.person_id, coalesce(o.canonical, l.company) AS company, role, since, is_current FROM link l LEFT JOIN ordered o ON o.network_id = l.network_id AND o.alias = l.company
+    QUALIFY row_number() OVER (PARTITION BY l.network_id, l.person_id, coalesce(o.canonical, l.company) ORDER BY coalesce(r, -1)) = 1)""")
+def _(t):
+    rows = L.merged_link_rows(_company_links(t), L.plan_merges(t.person, _rules(t)))
+    return rows.withColumn("since", F.col("since").cast("string"))
+
+
+# Firms as people write them: every spelling of the built-in rules, and brands.
+_SPELLED = [name for canonical, names in V.BUILTIN_ALIASES.items() for name in (canonical, *names)]
+_FILE = "国君系"
+
+
+def _firm_people(t):
+    """Customers with the firms that their orders name."""
+    k = F.col("o_orderkey")
+    firm = F.when(k % 3 == 0, F.concat(F.lit("Brand#"), (k % 30).cast("string"))).otherwise(F.element_at(F.array(*[F.lit(x) for x in _SPELLED]), (k % len(_SPELLED) + 1).cast("int")))
+    network = F.concat(F.lit("n"), (F.col("o_custkey") % 400).cast("string"))
+    return t.raw("orders").groupBy(network.alias("network_id"), F.col("o_custkey").alias("person_id")).agg(F.sort_array(F.collect_set(firm)).alias("companies")).withColumn("is_me", F.lit(False))
+
+
+def _all_rules(t):
+    """Rules of a file (brands by their first digit, and a group that takes two names from a built-in one) and the built-in rules."""
+    import hashlib
+
+    from tieweave.session import work_path
+
+    brand = t.raw("part").select("p_brand", F.substring("p_brand", 7, 9).cast("int").alias("n")).distinct().filter("n between 10 and 29")
+    groups = brand.groupBy(F.concat(F.lit("Brand#"), F.floor(F.col("n") / 10).cast("string")).alias("canonical")).agg(F.sort_array(F.collect_list("p_brand")).alias("aliases"))
+    mine = t.spark.range(1).select(F.lit(_FILE).alias("canonical"), F.array(F.lit("国君"), F.lit(" 国君证券"), F.lit("")).alias("aliases"))
+    text = groups.unionByName(mine).agg(F.to_json(F.collect_list(F.struct("canonical", "aliases"))).alias("value"))
+    path = work_path(t.spark, "export", hashlib.sha1(t.sf.encode()).hexdigest()[:12], "alias_rules")
+    text.write.mode("overwrite").text(path)
+    return read_alias_rules(t.spark, path).unionByName(L.builtin_rules(t.spark))
+
+
+_BUILTIN_ROWS = ", ".join(f"('{c}', '{a}')" for c, names in V.BUILTIN_ALIASES.items() for a in (c, *names))
+_RULED = f"""firm AS (SELECT DISTINCT 'n' || (o_custkey % 400) AS network_id, o_custkey AS person_id,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'Brand#' || (o_orderkey % 30) ELSE ([{", ".join(f"'{x}'" for x in _SPELLED)}])[o_orderkey % {len(_SPELLED)} + 1] END AS company FROM orders),
+  names AS (SELECT network_id, company, count(*) AS n FROM firm GROUP BY ALL),
+  in_file AS (SELECT DISTINCT p_brand[1:7] AS canonical, p_brand AS company FROM part WHERE CAST(p_brand[7:] AS INT) BETWEEN 10 AND 29 UNION SELECT DISTINCT p_brand[1:7], p_brand[1:7] FROM part WHERE CAST(p_brand[7:] AS INT) BETWEEN 10 AND 29
+    UNION ALL VALUES ('{_FILE}', '{_FILE}'), ('{_FILE}', '国君'), ('{_FILE}', '国君证券')),
+  first AS (SELECT * FROM names JOIN in_file USING (company) QUALIFY count(*) OVER (PARTITION BY network_id, canonical) >= 2),
+  built_in AS (FROM (VALUES {_BUILTIN_ROWS}) v(canonical, company)),
+  second AS (SELECT * FROM names JOIN built_in USING (company) ANTI JOIN first f USING (network_id, company) QUALIFY count(*) OVER (PARTITION BY network_id, canonical) >= 2),
+  plan AS (SELECT network_id, canonical, company AS alias, 'file' AS source, sum(n) OVER (PARTITION BY network_id, canonical)::BIGINT AS headcount FROM first
+    UNION ALL SELECT network_id, canonical, company, 'builtin', sum(n) OVER (PARTITION BY network_id, canonical)::BIGINT FROM second)"""
+
+
+@query("j8_file_and_builtin_plan", f"WITH {_RULED} SELECT network_id, canonical, alias, source, headcount FROM plan WHERE alias <> canonical")
+def _(t):
+    return L.plan_merges(_firm_people(t), _all_rules(t)).select("network_id", "canonical", "alias", "source", "headcount")
+
+
+@query("j9_file_and_builtin_merge", f"WITH {_RULED} SELECT DISTINCT f.network_id, person_id, coalesce(canonical, company) AS company FROM firm f LEFT JOIN plan p ON p.network_id = f.network_id AND p.alias = f.company")
+def _(t):
+    people = _firm_people(t)
+    return L.merged_links(people, L.plan_merges(people, _all_rules(t))).drop("at")
+
+
 @query("h2_residual_names", f"WITH {_MERGE} SELECT network_id, company FROM names ANTI JOIN (SELECT network_id, alias AS company FROM plan) USING (network_id, company)")
 def _(t):
     return L.residual_names(t.person, L.plan_merges(t.person, _rules(t)))
