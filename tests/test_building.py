@@ -118,3 +118,26 @@ def test_refused_strengths_are_returned_and_not_stored(spark):
     out = build_network(C.clean_contacts(rows), people_frame(spark, OWNER), colleagues=False)
     assert {r.name for r in out.people.collect()} == {"Me", "C"} and [r.strength for r in out.edges.collect()] == [4]
     assert {(r.name, r.strength) for r in out.refused.collect()} == {("A", 9), ("B", 0)}
+
+
+def test_last_contact_is_that_of_the_write_that_won(spark):
+    import datetime
+
+    day = datetime.date(2024, 5, 1)
+    schema = "network_id string, seq long, `甲` string, `B` string, strength string, last_contact string"
+    rel = spark.createDataFrame([("n", 1, "A", "B", "1", "2024-01-01"), ("n", 2, "B", "A", "2", " 2024-05-01 "), ("n", 3, "A", "C", "2", "soon")], schema)
+    people, edges, out = built(spark, [("A", "B(2)", "X"), ("B", None, "X"), ("C", None, "X")], ["姓名", "认识", "公司"], relations=C.read_relations(rel))
+    assert edges["A", "B"].last_contact == day and edges["A", "C"].last_contact is None
+    assert edges["Me", "A"].last_contact is None and edges["B", "C"].last_contact is None
+    again = lambda **kw: build_network(sheet(spark, [("A", "4")], ["姓名", V.H_STRENGTH]), out.people, out.edges, **kw).edges.filter("source_id > 1")
+    kept = {r.last_contact for r in again().filter("strength = 2 and last_contact is not null").collect()}
+    assert kept == {day}
+    newer = spark.createDataFrame([("n", 9, "A", "B", "3", None)], schema)
+    rows = again(relations=C.read_relations(newer)).filter("strength = 3").collect()
+    assert [r.last_contact for r in rows] == [None]
+
+
+def test_contact_files_tell_days(spark):
+    raw = spark.createDataFrame([("n", 1, "A", "2024-05-01"), ("n", 2, "B", "x"), ("n", 3, "C", None)], "network_id string, seq long, name string, last_contact string")
+    assert [str(r.last_contact) for r in C.clean_contacts(raw).orderBy("seq").collect()] == ["2024-05-01", "None", "None"]
+    assert "last_contact" not in C.clean_contacts(raw.drop("last_contact")).columns

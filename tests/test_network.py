@@ -150,3 +150,17 @@ def test_groups_of_two_answers_and_files_stay_apart(spark):
     rules = parse_alias_rules(files).unionByName(L.builtin_rules(spark))
     plan = L.plan_merges(people, rules).collect()
     assert {(r.canonical, r.alias) for r in plan} == {("AA", "aa1"), ("BB", "bb1")}
+
+
+def test_link_rows_keep_what_the_canonical_link_tells(spark):
+    from tieweave.operators.aliases import merged_link_rows
+
+    links = spark.createDataFrame(
+        [("n", 1, "Acme", "cto", False), ("n", 1, "Acme Inc", "cfo", True), ("n", 2, "Acme Ltd", None, None), ("n", 2, "Acme Inc", "ceo", True),
+         ("n", 3, "Other", "x", True), ("n", 3, None, "y", True), ("m", 1, "Acme Inc", "z", True), ("n", 4, "Acme Inc", "b", True), ("n", 4, "Acme Inc", "a", True)],
+        "network_id string, person_id long, company string, role string, is_current boolean")
+    plan = spark.createDataFrame([("n", "Acme", "Acme Inc", "file", 3, True, 0), ("n", "Acme", "Acme Ltd", "file", 3, True, 1)],
+                                 "network_id string, canonical string, alias string, source string, headcount long, canonical_present boolean, member_ord int")
+    got = {(r.network_id, r.person_id, r.company): r.role for r in merged_link_rows(links, plan).collect()}
+    assert got == {("n", 1, "Acme"): "cto", ("n", 2, "Acme"): "ceo", ("n", 3, "Other"): "x", ("n", 3, None): "y", ("m", 1, "Acme Inc"): "z", ("n", 4, "Acme"): "a"}
+    assert merged_link_rows(links.limit(0), plan).count() == 0

@@ -80,10 +80,9 @@ def industry(me_aware: bool = False) -> Column:
 
 
 def industry_colour(label: Column) -> Column:
-    out = F.when(label == V.ME_INDUSTRY[0], F.lit(V.ME_INDUSTRY[1]))
-    for name, _, colour in V.INDUSTRIES:
-        out = out.when(label == name, F.lit(colour))
-    return out.otherwise(F.lit(V.OTHER_INDUSTRY[1]))
+    colours = dict([V.ME_INDUSTRY, *[(name, colour) for name, _, colour in V.INDUSTRIES]])
+    lookup = F.create_map(*[F.lit(x) for pair in colours.items() for x in pair])
+    return F.coalesce(F.try_element_at(lookup, label), F.lit(V.OTHER_INDUSTRY[1]))
 
 
 def node_size(strength: Column, is_me: Column, on_path: Column | None = None, me_size: int = 42) -> Column:

@@ -68,10 +68,14 @@ def owner_edges(rows: DataFrame, people: DataFrame, me: DataFrame) -> DataFrame:
     frequency = F.col("frequency") if "frequency" in rows.columns else F.lit(V.DEFAULT_FREQUENCY)
     return rows.filter(~F.col("is_wishlist")).join(ids, [NET, "name"]).join(me, NET).select(
         NET, F.col("me_id").alias("source_id"), F.col("person_id").alias("target_id"), "strength", "context",
-        frequency.alias("frequency"), F.lit("manual").alias("source"), "seq",
+        frequency.alias("frequency"), F.lit("manual").alias("source"), "seq", *_day(rows),
     )
 
 
+def _day(rows: DataFrame) -> list[str]:
+    return ["last_contact"] if "last_contact" in rows.columns else []
+
+
 def resolve_peers(mentions: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Mentions with both ids, and mentions whose peer is not in the network."""
     ids = named_ids(people).withColumnRenamed("person_id", "id")
@@ -86,10 +90,10 @@ def peer_edges(resolved: DataFrame, last_wins: bool) -> DataFrame:
     """One edge per pair: the first mention in a column, the last row of a sheet."""
     cols = [NET, "a_id", "b_id", "seq", "strength", "context"]
     rows = resolved.withColumn("frequency", F.col("frequency") if "frequency" in resolved.columns else F.lit(V.DEFAULT_FREQUENCY))
-    picked = pair_choice(rows.select(*cols, "frequency"), "a_id", "b_id", "seq", last_wins)
+    picked = pair_choice(rows.select(*cols, "frequency", *_day(rows)), "a_id", "b_id", "seq", last_wins)
     return picked.select(
         NET, F.col("low_id").alias("source_id"), F.col("high_id").alias("target_id"), "strength", "context", "frequency",
-        F.lit("manual").alias("source"), "seq",
+        F.lit("manual").alias("source"), "seq", *_day(rows),
     )
 
 
@@ -102,11 +106,17 @@ def colleague_writes(people: DataFrame, strength: int = V.COLLEAGUE_STRENGTH) ->
 
 
 def in_steps(batches: list[DataFrame], at: T.DataType) -> DataFrame:
-    """Union of edge batches; every batch counts as written after the ones before it, ``seq`` (of type ``at``) orders the rows of a batch that has one."""
+    """Union of edge batches; every batch counts as written after the ones before it, ``seq`` (of type ``at``) orders the rows of a batch that has one.
+
+    ``last_contact`` is part of a write where any batch has it.
+    """
     out = None
+    dated = any(_day(b) for b in batches)
     for step, batch in enumerate(batches):
         within = F.col("seq") if "seq" in batch.columns else F.lit(None)
-        picked = batch.withColumn("seq", F.struct(F.lit(step).alias("step"), within.cast(at).alias("at"))).select(*EDGE_COLUMNS)
+        picked = batch.withColumn("seq", F.struct(F.lit(step).alias("step"), within.cast(at).alias("at")))
+        day = F.col("last_contact") if _day(batch) else F.lit(None).cast("date").alias("last_contact")
+        picked = picked.select(*EDGE_COLUMNS, *([day] if dated else []))
         out = picked if out is None else out.unionByName(picked)
     return out
 
@@ -130,7 +140,8 @@ def build_network(
 
     Only the people that rows name are folded; everybody else, namesakes included, passes
     through. Rows of a strength outside 1..5 that are no wishes are not imported but returned.
-    Edges come with ids and can be searched as they are.
+    Edges come with ids and can be searched as they are. The ``last_contact`` of an edge is that of
+    the write that won, null if that told none; where no rows tell days, known ones stay.
 
     Edge batches in order: known edges, owner edges, peers named in rows, relation
     sheet, shared companies. Within a batch the rules of that batch decide, across
@@ -159,7 +170,9 @@ def build_network(
         batches.append(colleague_writes(people, colleague_strength))
     counts = [b.select(NET, F.lit(i).alias("step")) for i, b in enumerate(batches)]
     if edges is not None:
-        batches.insert(0, edges.select(*[c for c in EDGE_COLUMNS if c != "seq"]))
+        # Known dates are part of the fold only where rows tell dates too; otherwise they stay.
+        days = _day(edges) if any(_day(b) for b in batches) else []
+        batches.insert(0, edges.select(*[c for c in EDGE_COLUMNS if c != "seq"], *days))
     unresolved = lost[0] if lost else rows.limit(0).select(NET, "name", F.col("name").alias("peer"))
     for more in lost[1:]:
         unresolved = unresolved.unionByName(more)

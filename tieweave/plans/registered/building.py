@@ -189,6 +189,14 @@ def _(t):
     return upsert_edges(t.changes)
 
 
+@query("e3_last_contact", f"""WITH {_EV} SELECT 'events' AS network_id, source_id, target_id, arg_max(strength, o) AS strength, CAST(arg_max({{d: CASE WHEN event_id % 3 <> 0 THEN CAST(ts AS DATE) END}}, o).d AS VARCHAR) AS last_contact
+  FROM (SELECT *, {{p: prio, t: ts, e: event_id}} AS o FROM ev) GROUP BY source_id, target_id""")
+def _(t):
+    """The day of the last contact is that of the write that won, also where it told none."""
+    day = F.when(F.col("seq.event_id") % 3 != 0, F.to_date("seq.ts"))
+    return upsert_edges(t.changes.withColumn("last_contact", day)).select("network_id", "source_id", "target_id", "strength", F.col("last_contact").cast("string").alias("last_contact"))
+
+
 @query("j11_drop_guessed_edges", EDGE_STATE.replace("FROM (SELECT *", "FROM (SELECT *") + " HAVING arg_max(source, o) <> 'ai_inferred'")
 def _(t):
     from tieweave.operators.folding import drop_ai_edges
@@ -272,6 +280,17 @@ def _(t):
     return _built(t).edges.drop("edge_id", "introduced_by_id")
 
 
+@query("h1_last_contact", f"""WITH {_PEERED}, won AS (SELECT network_id, source_id, target_id, arg_max(step, {{p: prio, s: step}}) AS step FROM writes GROUP BY ALL),
+  told AS (SELECT network_id, least(a_id, b_id) AS source_id, greatest(a_id, b_id) AS target_id, arg_max({{d: CAST(ts AS DATE)}}, seq).d AS day FROM rm JOIN events ON event_id = seq WHERE a_id <> b_id GROUP BY ALL)
+  SELECT w.network_id, w.source_id, w.target_id, CAST(CASE WHEN step = 3 THEN day END AS VARCHAR) AS last_contact FROM won w LEFT JOIN told USING (network_id, source_id, target_id)""")
+def _(t):
+    """The relation sheet tells days; edges of other rows have none."""
+    days = t.raw("events").select(F.col("event_id").alias("seq"), F.to_date("ts").alias("last_contact"))
+    relations = C.read_relations(relation_sheet(t).join(days, "seq"))
+    built = P.build_network(sheet(t), _owners(t), relations=relations)
+    return built.edges.select("network_id", "source_id", "target_id", F.col("last_contact").cast("string").alias("last_contact"))
+
+
 @query("h1_edge_ids", f"WITH {_PEERED} SELECT network_id, source_id, target_id, row_number() OVER (PARTITION BY network_id ORDER BY source_id, target_id) AS edge_id FROM built")
 def _(t):
     return _built(t).edges.select("network_id", "source_id", "target_id", "edge_id")

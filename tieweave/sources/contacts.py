@@ -33,8 +33,13 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv", multiline: bool
     return df.select("*", place.alias("seq"))
 
 
+def _last_contact(raw: DataFrame) -> list[Column]:
+    """The day of the last contact where the rows tell it; what is no day is null."""
+    return [F.try_to_date(F.trim(F.col("last_contact").cast("string")), "yyyy-MM-dd").alias("last_contact")] if "last_contact" in raw.columns else []
+
+
 def clean_contacts(raw: DataFrame) -> DataFrame:
-    """Contact file rows (network_id, seq and text columns) as typed person rows."""
+    """Contact file rows (network_id, seq and text columns) as typed person rows, with ``last_contact`` where the file has it."""
     if "name" not in raw.columns:
         raise ValueError("a contact file needs a 'name' column")
     cell = lambda c: F.col(c) if c in raw.columns else _null()
@@ -45,7 +50,7 @@ def clean_contacts(raw: DataFrame) -> DataFrame:
         F.lit(False).alias("is_wishlist"),
         X.strength_unclamped(cell("strength")).alias("strength"),
         X.blank_to_null(cell("context")).alias("context"),
-        X.frequency_exact(cell("frequency")).alias("frequency"),
+        X.frequency_exact(cell("frequency")).alias("frequency"), *_last_contact(raw),
     ).filter(F.coalesce(F.col("name"), F.lit("")) != "")
 
 
@@ -166,7 +171,7 @@ def peer_mentions(profiles: DataFrame) -> DataFrame:
 
 
 def read_relations(df: DataFrame) -> DataFrame:
-    """Relation sheet rows under any accepted headers: network_id, seq, name, peer, ..."""
+    """Relation sheet rows under any accepted headers: network_id, seq, name, peer, ..., and ``last_contact`` where there is such a column."""
     by_name = {c.strip(): c for c in df.columns}
 
     def pick(key: str) -> Column:
@@ -176,7 +181,7 @@ def read_relations(df: DataFrame) -> DataFrame:
     rows = df.select(
         "network_id", "seq", X.clean_cell(pick("a")).alias("name"), X.clean_cell(pick("b")).alias("peer"),
         X.strength_1_5(pick("strength")).alias("strength"), X.clean_cell(pick("context")).alias("context"),
-        X.frequency_from_spelling(F.coalesce(X.clean_cell(pick("frequency")), F.lit(""))).alias("frequency"),
+        X.frequency_from_spelling(F.coalesce(X.clean_cell(pick("frequency")), F.lit(""))).alias("frequency"), *_last_contact(df),
     )
     return rows.filter(F.col("name").isNotNull() & F.col("peer").isNotNull())
 
