@@ -87,6 +87,14 @@ def test_groups_stay_within_the_budget(spark):
     assert sorted(load.values())[len(load) // 2] <= 300
 
 
+def test_squeezed_numbers_come_back():
+    rng = np.random.default_rng(1)
+    for kind in (np.uint8, np.uint16, np.uint32, np.uint64):
+        for size in (0, 1, 5000):
+            numbers = rng.integers(0, np.iinfo(kind).max, size, kind, endpoint=True)
+            assert (ph.spread(ph.squeezed(numbers), size) == numbers).all()
+
+
 def test_equal_hashes_draw_new_ones(spark, monkeypatch):
     docs = documents(spark, ["good day sir " * 40, None])
     true = ph.word_counts

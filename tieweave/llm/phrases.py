@@ -274,8 +274,40 @@ def _summed(suffix: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return suffix[new], np.add.reduceat(n, np.flatnonzero(new)) if len(n) else n
 
 
-def sent_suffixes(docs: DataFrame, seed: int, known, vertical) -> DataFrame:
-    """grp, words, codes, depth, n: the distinct suffixes of a task that go to a group, as numbers of its own word list."""
+def squeezed(numbers: np.ndarray) -> list[bytes]:
+    """Whole numbers as one compressed string for each of their bytes: those of equal place are alike."""
+    places = numbers.astype(numbers.dtype.newbyteorder("<")).view(np.uint8).reshape(-1, numbers.dtype.itemsize)
+    return [pa.compress(np.ascontiguousarray(place), codec="zstd", asbytes=True) for place in places.T]
+
+
+def spread(parts: list[bytes], count: int) -> np.ndarray:
+    """The ``count`` numbers that ``squeezed`` took."""
+    places = np.empty((count, len(parts)), np.uint8)
+    for k, part in enumerate(parts):
+        places[:, k] = np.frombuffer(pa.decompress(part, decompressed_size=count, codec="zstd", asbytes=True), np.uint8)
+    return places.view(f"<u{len(parts)}").ravel()
+
+
+SENT = "grp int, n_words int, words array<binary>, n_rows int, codes array<binary>, depth array<binary>, n array<binary>"
+
+
+def _plain_row(group: int, words: np.ndarray, codes: np.ndarray, depth: np.ndarray, n: np.ndarray) -> tuple:
+    return group, words.tobytes(), np.asfortranarray(codes).tobytes(order="F"), depth.tobytes(), n.tobytes()
+
+
+def _squeezed_row(group: int, words: np.ndarray, codes: np.ndarray, depth: np.ndarray, n: np.ndarray) -> tuple:
+    """``words`` as distances of the sorted words, ``codes`` one column of numbers after the other."""
+    columns = [part for column in codes.T for part in squeezed(np.ascontiguousarray(column))]
+    return group, len(words), squeezed(np.diff(words, prepend=np.uint64(0))), len(codes), columns, squeezed(depth.astype(np.uint8)), squeezed(n.astype(np.uint64))
+
+
+def sent_suffixes(docs: DataFrame, seed: int, known, vertical, squeeze: bool = False) -> DataFrame:
+    """grp, words, codes, depth, n: the distinct suffixes of a task that go to a group, as numbers of its own word list.
+
+    With ``squeeze`` the rows are those of ``SENT``, compressed for the shuffle.
+    """
+    schema = SENT if squeeze else "grp int, words binary, codes binary, depth binary, n binary"
+    row_of, names = _squeezed_row if squeeze else _plain_row, [field.split()[0] for field in schema.split(", ")]
 
     def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         words = np.unique(np.concatenate([w for w, _ in held]))
@@ -290,8 +322,9 @@ def sent_suffixes(docs: DataFrame, seed: int, known, vertical) -> DataFrame:
             at = order[first:last]
             used, own = np.unique(suffix[at], return_inverse=True)
             own = own.reshape(len(at), DEPTH).astype("<u2" if len(used) <= 1 << 16 else "<u4")
-            rows = (words[used].astype("<u8").tobytes(), np.asfortranarray(own).tobytes(order="F"), depth[at].astype("<i1").tobytes(), n[at].astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([int(group[order[first]])], pa.int32()), *[pa.array([x], pa.binary()) for x in rows]], names=["grp", "words", "codes", "depth", "n"])
+            row = row_of(int(group[order[first]]), words[used].astype("<u8"), own, depth[at].astype("<i1"), n[at].astype("<i8"))
+            kinds = [pa.int32() if isinstance(x, int) else pa.list_(pa.binary()) if isinstance(x, list) else pa.binary() for x in row]
+            yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -307,7 +340,7 @@ def sent_suffixes(docs: DataFrame, seed: int, known, vertical) -> DataFrame:
         if held:
             yield from packed(held)
 
-    return _texts(docs).mapInArrow(run, "grp int, words binary, codes binary, depth binary, n binary")
+    return _texts(docs).mapInArrow(run, schema)
 
 
 def tree_nodes(suffix: np.ndarray, depth: np.ndarray, n: np.ndarray, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -332,17 +365,20 @@ def tree_nodes(suffix: np.ndarray, depth: np.ndarray, n: np.ndarray, least: int)
 
 def _group_nodes(least: int):
     def build(table: pa.Table) -> pa.Table:
-        lists = [np.frombuffer(w, "<u8") for w in table.column("words").to_pylist()]
+        rows = table.to_pylist()
+        lists = [np.cumsum(spread(row["words"], row["n_words"]), dtype=np.uint64) for row in rows]
         # Code 0 stays the end of a suffix.
         words = np.unique(np.concatenate([np.zeros(1, np.uint64), *lists]))
-        suffix = np.empty((sum(len(d) for d in table.column("depth").to_pylist()), DEPTH), np.int32)
+        size = sum(row["n_rows"] for row in rows)
+        suffix, depth, n = np.empty((size, DEPTH), np.int32), np.empty(size, np.int8), np.empty(size, np.int64)
         at = 0
-        for own, codes in zip(lists, table.column("codes").to_pylist(), strict=True):
-            matrix = np.frombuffer(codes, "<u2" if len(own) <= 1 << 16 else "<u4").reshape((-1, DEPTH), order="F")
-            suffix[at : at + len(matrix)] = np.searchsorted(words, own).astype(np.int32)[matrix]
-            at += len(matrix)
-        depth = np.frombuffer(b"".join(table.column("depth").to_pylist()), "<i1")
-        nodes = tree_nodes(suffix, depth, np.frombuffer(b"".join(table.column("n").to_pylist()), "<i8"), least)
+        for own, row in zip(lists, rows, strict=True):
+            to, code, width = at + row["n_rows"], np.searchsorted(words, own).astype(np.int32), len(row["codes"]) // DEPTH
+            for k in range(DEPTH):
+                suffix[at:to, k] = code[spread(row["codes"][k * width : (k + 1) * width], row["n_rows"])]
+            depth[at:to], n[at:to] = spread(row["depth"], row["n_rows"]), spread(row["n"], row["n_rows"])
+            at = to
+        nodes = tree_nodes(suffix, depth, n, least)
         found = np.concatenate([w for w, _ in nodes]) if nodes else np.zeros((0, DEPTH), np.int32)
         count = np.concatenate([c for _, c in nodes]) if nodes else np.zeros(0, np.int64)
         return pa.table([*[pa.array(words[found[:, k]].view(np.int64)) for k in range(DEPTH)], pa.array(count, pa.int64())], names=[*KEY, "a"])
@@ -355,7 +391,7 @@ def phrase_counts(docs: DataFrame, frequent: DataFrame, seed: int, least: int, g
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(WordFilter.of(frequent))
     vertical, heavy = vertical_partition(docs, frequent, seed, known, group_suffixes)
-    sent = sent_suffixes(docs, seed, known, spark.sparkContext.broadcast(vertical))
+    sent = sent_suffixes(docs, seed, known, spark.sparkContext.broadcast(vertical), squeeze=True)
     return sent.groupBy("grp").applyInArrow(_group_nodes(least), f"{NODE}, a long").unionByName(heavy.filter(F.col("a") >= least))
 
 
