@@ -121,20 +121,20 @@ def resolve_names(requests: DataFrame, people: DataFrame) -> DataFrame:
 
     Requests: request_id, network_id, typed. Rows add person_id, name, exact and same_name.
     """
-    asked = requests.withColumn("term", F.lower(F.trim("typed"))).filter(F.col("term") != "")
-    texts = people.select("network_id", "person_id", F.lower("name").alias("text"))
-    hits = contained_terms(texts, asked, ["network_id"], ["person_id"])
-    rows = (
-        asked.join(hits, ["network_id", "term"])
-        .join(people.select("network_id", "person_id", "name", "is_me"), ["network_id", "person_id"])
-        .withColumn("loose", F.lower("name") != F.col("term"))
-    )
-    best = F.min(F.struct("loose", ~F.col("is_me"), "name", "person_id")).alias("w")
-    return (
-        rows.groupBy("request_id", "network_id", "typed")
-        .agg(best, F.count_if(~F.col("loose")).alias("same_name"))
-        .select("request_id", "network_id", "typed", F.col("w.person_id").alias("person_id"), F.col("w.name").alias("name"),
-                (~F.col("w.loose")).alias("exact"), "same_name")
+    key = ["network_id", "term"]
+    asked = requests.select("request_id", "network_id", "typed", F.lower(F.trim("typed")).alias("term")).filter(F.col("term") != "").distinct()
+    best = F.min(F.struct(~F.col("is_me"), "name", "person_id")).alias("w")
+    # A term is looked up once, however many requests typed it, and only one that is nobody's whole name is
+    # searched for inside names. Names compress so well that files of them look small enough to broadcast.
+    same = people.groupBy("network_id", F.lower("name").alias("term")).agg(best, F.count(F.lit(1)).alias("same_name"))
+    terms = asked.select(*key).distinct()
+    whole = terms.join(same.hint("merge"), key).withColumn("exact", F.lit(True))
+    others = terms.join(same.select(*key).hint("merge"), key, "left_anti")
+    hits = contained_terms(people.select("network_id", "person_id", F.lower("name").alias("text")), others, ["network_id"], ["person_id"])
+    inside = hits.join(people.select("network_id", "person_id", "name", "is_me").hint("merge"), ["network_id", "person_id"]).groupBy(*key).agg(best)
+    met = whole.unionByName(inside.select(*key, "w", F.lit(0).cast("long").alias("same_name"), F.lit(False).alias("exact")))
+    return asked.join(met.hint("merge"), key).select(
+        "request_id", "network_id", "typed", F.col("w.person_id").alias("person_id"), F.col("w.name").alias("name"), "exact", "same_name"
     )
 
 
@@ -148,5 +148,5 @@ def resolve_endpoints(requests: DataFrame, people: DataFrame) -> DataFrame:
         return named.select("request_id", "network_id", F.col("person_id").alias(out),
                             (F.col("same_name") > 1).alias(f"{out}_ambiguous"))
 
-    both = end("start_typed", "source_id").join(end("end_typed", "target_id"), ["request_id", "network_id"])
+    both = end("start_typed", "source_id").join(end("end_typed", "target_id").hint("merge"), ["request_id", "network_id"])
     return both.filter("source_id <> target_id")
