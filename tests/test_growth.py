@@ -1,6 +1,6 @@
 """Work that follows the input: the rows that a plan makes on its way, on inputs with large groups."""
 
-from conftest import people_frame
+from conftest import edge_frame, people_frame
 
 from tieweave.operators import paths as P
 
@@ -43,3 +43,16 @@ def test_endpoints_are_not_broadcast_by_the_size_of_their_files(spark, tmp_path)
     ends = P.resolve_endpoints(asked, people)
     assert ends.count() == 59_999
     assert not [(s, n) for s, n in made_rows(ends) if s == "BroadcastExchangeExec" and n > 100]
+
+
+def test_the_contacts_of_a_hub_are_not_listed_for_every_request(spark):
+    """An owner with 400 contacts asks for 100 of them: as many rows as the contacts' own few edges give."""
+    edges = [(0, i, 3) for i in range(1, 401)] + [(i, i + 1, 4) for i in range(1, 400)]
+    schema = "request_id long, network_id string, source_id long, target_id long"
+    asked = [(i, "n", 0, i) for i in range(1, 101)]
+    ahead = P.paths_between(spark.createDataFrame(asked, schema), edge_frame(spark, edges))
+    back = P.paths_between(spark.createDataFrame([(i, n, b, a) for i, n, a, b in asked], schema), edge_frame(spark, edges))
+    key = lambda rows, turn: sorted((r.request_id, r.total, tuple(r.path)[::turn]) for r in rows if len(r.path) == 2)
+    assert key(ahead.collect(), 1) == key(back.collect(), -1)
+    assert {r.path[0] for r in ahead.collect()} == {0} and {r.path[-1] for r in back.collect()} == {0}
+    assert max(n for _, n in made_rows(ahead)) < 5_000

@@ -84,21 +84,28 @@ def paths_between(requests: DataFrame, edges: DataFrame, max_hops: int = 3, max_
     degree = hop.groupBy("network_id", "node").agg(F.count(F.lit(1)).alias("degree"))
     key = ["request_id", "network_id"]
     asked = requests.filter("source_id <> target_id")
+    for x in ("source", "target"):
+        asked = asked.join(degree.select("network_id", F.col("node").alias(f"{x}_id"), F.col("degree").alias(f"_{x}")), ["network_id", f"{x}_id"])
+    turned = F.col("_source") > F.col("_target")
+    asked = asked.select(
+        *key, F.when(turned, F.col("target_id")).otherwise(F.col("source_id")).alias("source_id"),
+        F.when(turned, F.col("source_id")).otherwise(F.col("target_id")).alias("target_id"), turned.alias("turned"),
+    )
 
     def grown(start: str, other: str, legs: int) -> DataFrame:
-        rows = asked.select(*key, F.col(other).alias("avoid"), F.col(start).alias("node"), F.array(start).alias("path"), F.lit(0).alias("total"))
+        rows = asked.select(*key, "turned", F.col(other).alias("avoid"), F.col(start).alias("node"), F.array(start).alias("path"), F.lit(0).alias("total"))
         for _ in range(legs):
             free = (F.col("to_id") != F.col("avoid")) & ~F.array_contains(F.col("path"), F.col("to_id"))
             rows = rows.join(hop, ["network_id", "node"]).filter(free).select(
-                *key, "avoid", F.col("to_id").alias("node"), F.array_append("path", F.col("to_id")).alias("path"), (F.col("total") + F.col("s")).alias("total"),
+                *key, "turned", "avoid", F.col("to_id").alias("node"), F.array_append("path", F.col("to_id")).alias("path"), (F.col("total") + F.col("s")).alias("total"),
             )
         return rows.drop("avoid")
 
     def closed(hops: int) -> DataFrame:
         """Paths of ``hops`` legs: both ends grown to meet over one person in between."""
         ahead, back = (hops - 1) // 2, (hops - 2) // 2
-        named = lambda rows, x: rows.select(*key, F.col("node").alias(f"end_{x}"), F.col("path").alias(f"path_{x}"), F.col("total").alias(f"total_{x}"))
-        both = named(grown("source_id", "target_id", ahead), "a").join(named(grown("target_id", "source_id", back), "b"), key)
+        named = lambda rows, x: rows.select(*key, "turned", F.col("node").alias(f"end_{x}"), F.col("path").alias(f"path_{x}"), F.col("total").alias(f"total_{x}"))
+        both = named(grown("source_id", "target_id", ahead), "a").join(named(grown("target_id", "source_id", back), "b"), [*key, "turned"])
         both = both.filter(~F.arrays_overlap("path_a", "path_b"))
         for x in "ab":
             both = both.join(degree.select("network_id", F.col("node").alias(f"end_{x}"), F.col("degree").alias(f"degree_{x}")), ["network_id", f"end_{x}"])
@@ -107,12 +114,13 @@ def paths_between(requests: DataFrame, edges: DataFrame, max_hops: int = 3, max_
         met = both.join(hop, ["network_id", "node"]).filter(~F.array_contains("path_a", F.col("to_id")) & ~F.array_contains("path_b", F.col("to_id")))
         last = met.withColumns({"low_id": F.least("to_id", "far"), "high_id": F.greatest("to_id", "far")}).join(pairs, ["network_id", "low_id", "high_id"])
         path = F.concat("path_a", F.array("to_id"), F.reverse("path_b"))
-        return last.select(*key, path.alias("path"), (F.col("total_a") + F.col("total_b") + F.col("s") + F.col("strength")).alias("total"), F.lit(hops).alias("hops"))
+        return last.select(*key, "turned", path.alias("path"), (F.col("total_a") + F.col("total_b") + F.col("s") + F.col("strength")).alias("total"), F.lit(hops).alias("hops"))
 
     straight = asked.withColumns({"low_id": F.least("source_id", "target_id"), "high_id": F.greatest("source_id", "target_id")})
-    found = [straight.join(pairs, ["network_id", "low_id", "high_id"]).select(*key, F.array("source_id", "target_id").alias("path"), F.col("strength").alias("total"), F.lit(1).alias("hops"))]
+    found = [straight.join(pairs, ["network_id", "low_id", "high_id"]).select(*key, "turned", F.array("source_id", "target_id").alias("path"), F.col("strength").alias("total"), F.lit(1).alias("hops"))]
     found += [closed(h) for h in range(2, max_hops + 1)]
     every = functools.reduce(DataFrame.unionByName, found).withColumn("combined", F.col("total") / F.col("hops"))
+    every = every.withColumn("path", F.when(F.col("turned"), F.reverse("path")).otherwise(F.col("path"))).drop("turned")
     return top_k(every, key, [F.col("combined").desc(), F.col("hops"), F.col("path")], max_paths)
 
 
