@@ -79,3 +79,18 @@ def test_owner_is_created_once(spark):
     rows = C.ensure_owner(people, wanted).filter("is_me").orderBy("network_id").collect()
     assert [(r.network_id, r.name) for r in rows] == [("m", "first"), ("n", "p1")]
     assert set(PERSON.fieldNames()) == set(C.ensure_owner(people, wanted).columns)
+
+
+def test_a_table_streams_as_one_file_and_as_a_folder_of_parts(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tieweave.sources.testbed import raw_stream
+    from tieweave.streaming.jobs import write_scrubbed
+
+    folder, single = tmp_path / "folder", tmp_path / "single"
+    rows = spark.range(30).select(F.col("id").alias("conv_id"), F.concat(F.lit("a@b"), "id", F.lit(".org")).alias("text")).repartition(3)
+    rows.write.parquet(str(folder / "conversations.parquet"))
+    rows.toPandas().to_parquet((single.mkdir(), single / "conversations.parquet")[1])
+    for sf in (folder, single):
+        write_scrubbed(raw_stream(spark, str(sf), "conversations"), ["text"], f"{sf}/out", f"{sf}/checkpoint").awaitTermination()
+        assert {r.text for r in spark.read.parquet(f"{sf}/out").collect()} == {f"a***@b{i}.org" for i in range(30)}

@@ -12,7 +12,7 @@ from tieweave.plans.registered.building import EDGE_STATE
 from tieweave.plans.registered.network import SCRUB, _tickets
 from tieweave.plans.registered.building import _EMBED
 from tieweave.session import work_path
-from tieweave.sources.testbed import edge_changes, raw
+from tieweave.sources.testbed import edge_changes, raw_stream
 from tieweave.streaming import jobs as S
 
 _NONE = lambda: F.lit(None).cast("string")
@@ -20,10 +20,7 @@ _NONE = lambda: F.lit(None).cast("string")
 
 def patch_log(t, stream=False):
     """Person changes from the events: notes set, tags replaced, wishlist set, deletes, adds."""
-    if stream:
-        e = t.spark.readStream.schema(t.raw("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.sf)
-    else:
-        e = t.raw("events")
+    e = raw_stream(t.spark, t.sf, "events") if stream else t.raw("events")
     kind, u = F.col("event_type"), F.col("user_id")
     new = kind == "signup"
     none = F.lit(None).cast("array<string>")
@@ -268,8 +265,7 @@ def _(t):
 @query("m3_scrub_stream", f"SELECT conv_id, turn, {SCRUB.format('text')} AS text FROM conversations")
 def _(t):
     path = _fresh(t, "scrub")
-    schema = raw(t.spark, t.sf, "conversations").schema
-    source = t.spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(t.sf)
+    source = raw_stream(t.spark, t.sf, "conversations")
     S.write_scrubbed(source.select("conv_id", "turn", "text"), ["text"], f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{path}/out")
 
