@@ -56,3 +56,16 @@ def test_the_contacts_of_a_hub_are_not_listed_for_every_request(spark):
     assert key(ahead.collect(), 1) == key(back.collect(), -1)
     assert {r.path[0] for r in ahead.collect()} == {0} and {r.path[-1] for r in back.collect()} == {0}
     assert max(n for _, n in made_rows(ahead)) < 5_000
+
+
+def test_an_import_makes_no_edges_before_they_are_asked_for(spark, monkeypatch):
+    """500 people of one firm: 124,750 pairs, which people, statistics and unresolved peers do not need."""
+    from tieweave.plans import building
+    from tieweave.sources import contacts as C
+
+    monkeypatch.setattr(building, "with_edge_ids", lambda *_: (_ for _ in ()).throw(AssertionError("edges made")))
+    rows = spark.range(500).selectExpr("'n' AS network_id", "id AS seq", "concat('P', id) AS `姓名`", "'Firm' AS `公司`", "if(id = 3, 'Zed', null) AS `认识`")
+    out = building.build_network(C.clean_profiles(C.normalise_headers(rows)[0]), people_frame(spark, [{"person_id": 1, "is_me": True, "name": "Me"}]))
+    assert [(r.name, r.peer) for r in out.unresolved.collect()] == [("P3", "Zed")] and out.people.count() == 501
+    assert (out.stats.first().people, out.stats.first().colleague_edges) == (500, 124_750)
+    assert max(n for _, n in made_rows(out.stats)) < 10_000
