@@ -69,3 +69,14 @@ def test_an_import_makes_no_edges_before_they_are_asked_for(spark, monkeypatch):
     assert [(r.name, r.peer) for r in out.unresolved.collect()] == [("P3", "Zed")] and out.people.count() == 501
     assert (out.stats.first().people, out.stats.first().colleague_edges) == (500, 124_750)
     assert max(n for _, n in made_rows(out.stats)) < 10_000
+
+
+def test_equal_sets_of_many_companies_are_paired_once(spark):
+    """300 people with the same 12 companies and 2 with one of them: one pair of sets, not one for every two people."""
+    from tieweave.operators import analytics as A
+
+    many = [f"c{i}" for i in range(12)]
+    people = people_frame(spark, [{"person_id": i, "companies": many if i < 300 else ["c3"]} for i in range(302)])
+    row = A.clique_summary(people)
+    assert (row.first().companies, row.first().pairs) == (12, 302 * 301 // 2)
+    assert max(n for _, n in made_rows(row)) < 10_000

@@ -260,26 +260,30 @@ def clique_summary(people: DataFrame) -> DataFrame:
     """Per network: companies with two or more people, and distinct pairs they make.
 
     Nothing pairwise is built: pairs sharing at least one company are counted by
-    inclusion and exclusion over the company sets people have in common. People with
-    more than ``MAX_LIGHT`` companies are paired explicitly instead.
+    inclusion and exclusion over the company sets people have in common. Sets of
+    more than ``MAX_LIGHT`` companies are paired explicitly instead. People with the
+    same companies count as one set of that many people, so copies cost nothing.
     """
     rows = memberships(people)
     sizes = rows.groupBy(NET, "company").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
     cliques = sizes.groupBy(NET).agg(F.count(F.lit(1)).alias("companies"))
     shared = rows.join(sizes, [NET, "company"], "left_semi")
-    sets = shared.groupBy(NET, "person_id").agg(F.array_sort(F.collect_set("company")).alias("s"))
+    sets = shared.groupBy(NET, "person_id").agg(F.array_sort(F.collect_set("company")).alias("s")).groupBy(NET, "s").agg(F.count(F.lit(1)).alias("n"))
     light = sets.filter(F.size("s") <= MAX_LIGHT)
     none = F.array(F.array().cast("array<string>"))
     grow = lambda acc, x: F.concat(acc, F.transform(acc, lambda t: F.array_append(t, x)))
-    subsets = light.select(NET, F.explode(F.aggregate("s", none, grow)).alias("t")).filter(F.size("t") > 0)
-    held = subsets.groupBy(NET, "t").agg(F.count(F.lit(1)).alias("n"))
+    subsets = light.select(NET, "n", F.explode(F.aggregate("s", none, grow)).alias("t")).filter(F.size("t") > 0)
+    held = subsets.groupBy(NET, "t").agg(F.sum("n").alias("n"))
     sign = F.when(F.size("t") % 2 == 1, 1).otherwise(-1)
     counted = held.select(NET, (sign * (F.col("n") * (F.col("n") - 1) / 2)).cast("long").alias("pairs"))
-    heavy = sets.filter(F.size("s") > MAX_LIGHT).select(NET, F.col("person_id").alias("x"), F.explode("s").alias("company"))
+    heavy = sets.filter(F.size("s") > MAX_LIGHT)
+    among = heavy.select(NET, (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"))
+    of = lambda x, d: d.select(NET, F.explode("s").alias("company"), F.col("s").alias(f"s_{x}"), F.col("n").alias(f"n_{x}"))
+    # Two heavy sets meet once, the lesser first; a heavy and a light one in one order only.
+    once = (F.size("s_b") <= MAX_LIGHT) | (F.col("s_a") < F.col("s_b"))
     extra = (
-        heavy.join(shared.withColumnRenamed("person_id", "y"), [NET, "company"]).filter("x <> y")
-        .select(NET, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        .groupBy(NET).agg(F.count(F.lit(1)).alias("pairs"))
+        of("a", heavy).join(of("b", sets), [NET, "company"]).filter(once).select(NET, "s_a", "s_b", "n_a", "n_b").distinct()
+        .groupBy(NET).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("pairs")).unionByName(among)
     )
     pairs = counted.unionByName(extra).groupBy(NET).agg(F.sum("pairs").alias("pairs"))
     return cliques.join(pairs, NET, "left")
