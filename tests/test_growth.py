@@ -80,3 +80,22 @@ def test_equal_sets_of_many_companies_are_paired_once(spark):
     row = A.clique_summary(people)
     assert (row.first().companies, row.first().pairs) == (12, 302 * 301 // 2)
     assert max(n for _, n in made_rows(row)) < 10_000
+
+
+def test_restored_texts_of_a_network_that_numbers_ten_thousand(spark, tmp_path):
+    """There P9999 is somebody's token, and the SQL has it stay as one that the dictionary does not hold."""
+    import os
+    import sys
+
+    sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
+    import check
+    from __spark_entry__ import oracle_sql
+
+    for t in check.TABLES:
+        if t != "customer":
+            (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    con = check.duckdb.connect()
+    con.execute(f"""COPY (SELECT i AS c_custkey, 'Customer#' || lpad(CAST(i AS VARCHAR), 9, '0') AS c_name, 2::INTEGER AS c_nationkey, 1.0e0 AS c_acctbal, 'FURNITURE' AS c_mktsegment
+        FROM range(10050) r(i)) TO '{tmp_path}/customer.parquet' (FORMAT parquet)""")
+    text, _, fine = check.compare(spark, check.duck(str(tmp_path)), str(tmp_path), "b19_restored", oracle_sql()["b19_restored"])
+    assert fine, text
