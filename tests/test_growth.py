@@ -99,3 +99,12 @@ def test_restored_texts_of_a_network_that_numbers_ten_thousand(spark, tmp_path):
         FROM range(10050) r(i)) TO '{tmp_path}/customer.parquet' (FORMAT parquet)""")
     text, _, fine = check.compare(spark, check.duck(str(tmp_path)), str(tmp_path), "b19_restored", oracle_sql()["b19_restored"])
     assert fine, text
+
+
+def test_pairs_of_colleagues_are_made_without_telling_them_apart_afterwards(spark):
+    """400 people of one firm, half of them of a second one: 79,800 pairs, none of which is grouped."""
+    from tieweave.operators import analytics as A
+
+    pairs = A.colleague_pairs(people_frame(spark, [{"person_id": i, "companies": ["Firm", "Club"][: 1 + i % 2]} for i in range(400)]))
+    assert pairs.distinct().count() == pairs.count() == 79_800
+    assert max(n for s, n in made_rows(pairs) if "Aggregate" in s or "Exchange" in s) < 2_000

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tieweave.functions import people as Q
 from tieweave.functions.text import edge_key, scrub
 from tieweave.operators.folding import both_ways, undirected
 from tieweave.operators.ranking import top_k
 from tieweave.schema import ATTRIBUTES
+from tieweave.session import cut
 
 NET = "network_id"
 MAX_LIGHT = 10  # companies per person up to which subsets are counted
@@ -236,24 +237,44 @@ def memberships(people: DataFrame) -> DataFrame:
     ).filter("company <> ''").distinct()
 
 
-def colleague_pairs(people: DataFrame) -> DataFrame:
-    """Every pair of people who share a company: low_id, high_id.
-
-    The pairs are the result itself (one edge each). To make them without one huge
-    group, a company's people are hashed into blocks of about 2,048 and only block
-    pairs meet, so no task sees more than one block pair of a company.
-    """
+def company_members(people: DataFrame) -> DataFrame:
+    """Members of companies of two people and more: network_id, company (a number), n (its people), person_id,
+    ``several`` (whether the person has more than one) and ``earlier``: the person's larger companies, null if there are none."""
     rows = memberships(people)
     sizes = rows.groupBy(NET, "company").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = rows.join(sizes, [NET, "company"]).select(
-        NET, "company", "person_id", blocks.alias("k"), F.pmod(F.xxhash64("person_id"), blocks).cast("int").alias("b")
+    # Numbers are compared for pairs where names would be; the checkpoint pins them.
+    sizes = cut(sizes.withColumn("c", F.monotonically_increasing_id()))
+    # Large companies come first, as most pairs are theirs and need no look at earlier ones.
+    own = rows.join(sizes, [NET, "company"]).groupBy(NET, "person_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "c"))).alias("own"))
+    return own.select(NET, "person_id", "own", F.posexplode("own").alias("at", "o")).select(
+        NET, F.col("o.c").alias("company"), (-F.col("o.m")).alias("n"), "person_id", (F.size("own") > 1).alias("several"),
+        F.when(F.col("at") > 0, F.slice(F.col("own.c"), 1, F.col("at"))).alias("earlier"),
     )
-    key = [NET, "company", "i", "j"]
-    left = placed.select(NET, "company", F.col("b").alias("i"), F.explode(F.sequence("b", F.col("k") - 1)).alias("j"), F.col("person_id").alias("x"))
-    right = placed.select(NET, "company", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("i"), F.col("b").alias("j"), F.col("person_id").alias("y"))
-    met = left.join(right, key).filter((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
-    return met.select(NET, F.least("x", "y").alias("low_id"), F.greatest("x", "y").alias("high_id")).distinct()
+
+
+def meet(members: DataFrame, low: list[Column] = (), high: list[Column] = (), place: str | None = None) -> DataFrame:
+    """Every pair of people who share a company once: low_id, high_id, with columns of the one and of the other.
+
+    A company's people are dealt into blocks of about 2,048 and blocks meet, so no task sees more than
+    one pair of blocks. ``place`` names their number in the company by id: then a block meets only itself
+    and those behind it. People who share several companies meet in the first, so the pairs, which may be
+    the square of the people, are never shuffled to tell them apart.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    block = F.floor((F.col(place) - 1) / BLOCK) if place else F.pmod(F.xxhash64("person_id"), blocks)
+    placed = members.withColumns({"_k": blocks, "_b": block.cast("int")})
+    ahead = F.sequence(F.col("_b") if place else F.lit(0), F.col("_k") - 1)
+    behind = F.sequence(F.lit(0), F.col("_b") if place else F.col("_k") - 1)
+    left = placed.select(NET, "company", F.col("_b").alias("_i"), F.explode(ahead).alias("_j"), F.col("person_id").alias("low_id"), F.col("earlier").alias("_x"), *low)
+    right = placed.select(NET, "company", F.explode(behind).alias("_i"), F.col("_b").alias("_j"), F.col("person_id").alias("high_id"), F.col("earlier").alias("_y"), *high)
+    met = left.join(right, [NET, "company", "_i", "_j"]).filter(F.col("low_id") < F.col("high_id"))
+    here = F.col("_x").isNull() | F.col("_y").isNull() | ~F.arrays_overlap("_x", "_y")
+    return met.filter(here).drop("company", "_i", "_j", "_x", "_y")
+
+
+def colleague_pairs(people: DataFrame) -> DataFrame:
+    """Every pair of people who share a company: low_id, high_id. The pairs are the result itself (one edge each)."""
+    return meet(company_members(people))
 
 
 def clique_summary(people: DataFrame) -> DataFrame:
