@@ -10,14 +10,19 @@ from tieweave.functions.people import rationale
 from tieweave.operators import paths as P, rerank as R
 from tieweave.operators.analytics import me_rows, strength_to_me
 from tieweave.operators.retrieval import hybrid_search
+from tieweave.session import broadcast_if_small, cut
 
 KEY = ["goal_id", "network_id"]
 
 
 def ranked_results(candidates: DataFrame, forest: DataFrame, people: DataFrame) -> DataFrame:
     """Reachable candidates with name, rationale and the flags buckets need."""
-    named = people.filter(~F.col("is_me")).select("network_id", "person_id", "name", "is_wishlist", "tags", "skills", "companies")
-    rows = P.rank_by_path(candidates, forest).join(named, ["network_id", "person_id"])
+    at = ["network_id", "person_id"]
+    candidates = cut(candidates)
+    # A few people of each goal (counted) travel to the paths and the people, of whom nobody else moves.
+    asked = broadcast_if_small(candidates.select(*at).distinct())
+    named = people.filter(~F.col("is_me")).select(*at, "name", "is_wishlist", "tags", "skills", "companies").join(asked, at, "left_semi")
+    rows = P.rank_by_path(candidates, forest.join(asked, at, "left_semi")).join(named, at)
     return rows.withColumn(
         "rationale", rationale(F.col("kind"), F.col("score"), F.col("hops"), F.col("path_strength"))
     ).drop("tags", "skills", "companies")
@@ -70,8 +75,9 @@ def goal_search(
         forest = P.path_forest(edges, me, max_hops, weak_me_floor)
     found = hybrid_search(goals, people, embeddings, top, recall_k, metric, weights=weights, wildcards=wildcards)
     results = ranked_results(R.cut_to(reranker(found), top), forest, people)
-    listed = buckets(results, result_k)
-    known = strength_to_me(edges, me).select("network_id", "person_id", F.col("strength_to_me").alias("direct_strength"))
+    listed = cut(buckets(results, result_k))
+    shown = broadcast_if_small(listed.select("network_id", "person_id").distinct())
+    known = strength_to_me(edges, me).join(shown, ["network_id", "person_id"], "left_semi").select("network_id", "person_id", F.col("strength_to_me").alias("direct_strength"))
     fallback = (F.col("kind") == "indirect") & F.col("bucket").isin("indirect", "combined")
     return listed.join(known, ["network_id", "person_id"], "left").withColumn(
         "direct_strength", F.when(fallback, F.col("direct_strength"))
