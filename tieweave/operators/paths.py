@@ -10,6 +10,7 @@ from tieweave.operators.folding import both_ways, undirected
 from tieweave.operators.forest import clamp_floor, path_forest, path_kind, weighted_graph  # noqa: F401
 from tieweave.operators.ranking import top_k
 from tieweave.operators.substring import contained_terms
+from tieweave.session import cut
 
 def combined_score(relevance, path_strength, hops):
     """Relevance, nudged by mean strength (at most 10 %), discounted by hops."""
@@ -53,6 +54,7 @@ def describe_paths(paths: DataFrame, people: DataFrame, pairs: DataFrame, keys:
 def highlights(results: DataFrame) -> DataFrame:
     """Distinct people and edges on the result paths of every goal."""
     keys = ["goal_id", "network_id"]
+    results = cut(results.select(*keys, "path"))  # read twice below
     nodes = results.select(*keys, F.lit("node").alias("kind"), F.explode(F.col("path").cast("array<string>")).alias("element"))
     legs = path_legs(results, keys)
     edge = F.concat_ws("_", F.lit("e"), F.col("low_id").cast("string"), F.col("high_id").cast("string"))
