@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tieweave.operators.analytics import contacts, me_rows
 from tieweave.operators.ranking import top_k
 from tieweave.operators.substring import contained_terms
+from tieweave.session import broadcast_if_small, cut
 
 NET = "network_id"
 
 
 def needs_of(people: DataFrame) -> DataFrame:
-    return contacts(people).select(NET, "person_id", "name", F.explode("needs").alias("need")).withColumn(
-        "need", F.lower("need")
-    ).filter("need <> ''").distinct()
+    return _values(people, F.col("needs"), "need")
 
 
 def offers_of(people: DataFrame) -> DataFrame:
-    return contacts(people).select(
-        NET, "person_id", "name", F.explode(F.concat("tags", "skills", "companies")).alias("offer")
-    ).withColumn("offer", F.lower("offer")).filter("offer <> ''").distinct()
+    return _values(people, F.concat("tags", "skills", "companies"), "offer")
+
+
+def _values(people: DataFrame, values: Column, out: str) -> DataFrame:
+    """A person's distinct folded values, one a row. A person is one row, so they are told apart there and not shuffled."""
+    folded = F.array_distinct(F.transform(values, lambda x: F.lower(x)))
+    return contacts(people).select(NET, "person_id", "name", F.explode(folded).alias(out)).filter(F.col(out) != "")
 
 
 def value_matches(needs: DataFrame, offers: DataFrame) -> DataFrame:
@@ -38,10 +41,9 @@ def value_matches(needs: DataFrame, offers: DataFrame) -> DataFrame:
 
 def bio_matches(needs: DataFrame, people: DataFrame) -> DataFrame:
     """People whose bio holds a need: network_id, person_id, name, need."""
-    texts = contacts(people).filter(F.col("bio").isNotNull()).select(NET, "person_id", F.lower("bio").alias("text"))
-    hits = contained_terms(texts, needs.select(NET, F.col("need").alias("term")), [NET], ["person_id"])
-    named = people.select(NET, "person_id", "name")
-    return hits.join(named, [NET, "person_id"]).select(NET, "person_id", "name", F.col("term").alias("need"))
+    texts = contacts(people).filter(F.col("bio").isNotNull()).select(NET, "person_id", "name", F.lower("bio").alias("text"))
+    hits = contained_terms(texts, needs.select(NET, F.col("need").alias("term")), [NET], ["person_id", "name"])
+    return hits.withColumnRenamed("term", "need")
 
 
 def match_table(people: DataFrame) -> DataFrame:
@@ -79,12 +81,13 @@ def introductions(people: DataFrame, limit: int = 50) -> DataFrame:
     matched = via_value.unionByName(via_bio).groupBy(NET, "need", "person_id", "name").agg(
         F.min(F.struct("via", "keyword")).alias("m")
     )
-    providers = top_k(matched, [NET, "need"], by_name, limit + 1).drop("rank")
+    # At most limit + 1 people for each need of a network, read twice below.
+    providers = cut(top_k(matched, [NET, "need"], by_name, limit + 1).drop("rank"))
 
     served = providers.groupBy(NET, "need").agg(F.count(F.lit(1)).alias("n"), F.min("person_id").alias("only_id"))
-    able = needs.join(served, [NET, "need"]).filter((F.col("n") > 1) | (F.col("only_id") != F.col("person_id")))
-    seekers = top_k(able.select(NET, "person_id", "name").distinct(), [NET], by_name, limit)
-    asked = needs.join(seekers.select(NET, "person_id"), [NET, "person_id"], "left_semi").select(
+    able = needs.join(broadcast_if_small(served), [NET, "need"]).filter((F.col("n") > 1) | (F.col("only_id") != F.col("person_id")))
+    seekers = cut(top_k(able.select(NET, "person_id", "name").distinct(), [NET], by_name, limit).select(NET, "person_id"))
+    asked = needs.join(broadcast_if_small(seekers), [NET, "person_id"], "left_semi").select(
         NET, "need", F.col("person_id").alias("seeker_id"), F.col("name").alias("seeker")
     )
     pairs = (
