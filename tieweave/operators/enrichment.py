@@ -14,6 +14,7 @@ from tieweave.operators import pseudonyms as N
 from tieweave.operators.numbering import with_edge_ids
 from tieweave.operators.folding import upsert_edges
 from tieweave.operators.ranking import top_k
+from tieweave.session import cut
 
 NET = "network_id"
 
@@ -173,6 +174,19 @@ def parse_edge_answers(responses: DataFrame, names: DataFrame) -> DataFrame:
     Edges with the owner, an unknown token or equal ends are dropped; the first mention
     of a pair wins; strength and frequency outside their domain become null.
     """
+    key, told = [NET, "request_id", "at"], ["context", "rationale"]
+    # Answers are parsed once, and both texts get their names back together.
+    first = cut(proposed_edges(responses, names))
+    texts = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("text")) for c in told]))
+    rows = first.select(*key, texts.alias("t")).select(*key, "t.*").filter("text is not null")
+    back = N.restore(rows, names, [NET], [*key[1:], "column"]).groupBy(*key).agg(
+        *[F.max(F.when(F.col("column") == c, F.col("text"))).alias(c) for c in told]
+    )
+    return first.drop(*told).join(back, key, "left")
+
+
+def proposed_edges(responses: DataFrame, names: DataFrame) -> DataFrame:
+    """The edges of ``parse_edge_answers`` before names are put back into context and rationale."""
     key = [NET, "request_id"]
     entries = parsed(responses).filter(F.col("error").isNull()).select(
         *key, F.posexplode(F.expr("try_variant_get(v, '$.edges', 'array<variant>')")).alias("at", "e")
@@ -194,14 +208,9 @@ def parse_edge_answers(responses: DataFrame, names: DataFrame) -> DataFrame:
         NET, F.col("token").alias(side), F.col("entity_id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name")
     )
     both = rows.join(end("a"), [NET, "a"]).join(end("b"), [NET, "b"])
-    first = both.groupBy(*key, F.least("a_id", "b_id").alias("low_id"), F.greatest("a_id", "b_id").alias("high_id")).agg(
+    return both.groupBy(*key, F.least("a_id", "b_id").alias("low_id"), F.greatest("a_id", "b_id").alias("high_id")).agg(
         F.min(F.struct("at", "a_id", "a_name", "b_id", "b_name", "strength", "frequency", "context", "rationale")).alias("w")
     ).select(*key, "low_id", "high_id", "w.*")
-    for column in ("context", "rationale"):
-        told_rows = first.select(*key, "at", F.col(column).alias("text")).filter("text is not null")
-        back = N.restore(told_rows, names, [NET], ["request_id", "at"]).withColumnRenamed("text", column)
-        first = first.drop(column).join(back, [*key, "at"], "left")
-    return first
 
 
 def unknown_mentions(responses: DataFrame) -> DataFrame:

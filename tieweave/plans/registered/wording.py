@@ -9,6 +9,7 @@ from tieweave.operators import aliases as L, analytics as A, enrichment as E, ps
 from tieweave.plans.registered.base import query
 from tieweave.plans.registered.building import _EMBED
 from tieweave.plans.registered.network import SCRUB
+from tieweave.session import cut
 from tieweave.sources.contacts import parse_alias_rules, read_alias_rules
 
 _P = """ptok AS (SELECT network_id, person_id, name, 'P' || lpad(CAST(row_number() OVER (PARTITION BY network_id ORDER BY name, person_id) AS VARCHAR), 3, '0') AS token FROM contact
@@ -204,7 +205,7 @@ _PROP = f"""{_P}, num AS (SELECT network_id, person_id, name, row_number() OVER
 
 @query("j4_edge_proposals", f"WITH {_PROP} SELECT * FROM prop")
 def _(t):
-    rows = E.parse_edge_answers(_edge_answers(t), N.dictionary(t.person))
+    rows = E.parse_edge_answers(_edge_answers(t), cut(N.dictionary(t.person)))
     return rows.select("network_id", "request_id", "low_id", "high_id", "strength", "frequency", "context", "rationale")
 
 
@@ -228,7 +229,7 @@ def _(t):
 
 @query("d10_context_rows", f"""WITH {_PROP} SELECT h.network_id, from_id AS person_id, edge_id FROM hop h JOIN (SELECT DISTINCT network_id, unnest([low_id, high_id]) AS person_id FROM prop) p ON p.network_id = h.network_id AND p.person_id = from_id""")
 def _(t):
-    proposals = E.parse_edge_answers(_edge_answers(t), N.dictionary(t.person))
+    proposals = E.proposed_edges(_edge_answers(t), cut(N.dictionary(t.person)))
     return E.proposal_context(proposals, A.neighbourhood(t.edge, t.person)).select("network_id", "person_id", "edge_id")
 
 
