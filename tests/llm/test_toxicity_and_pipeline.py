@@ -110,3 +110,18 @@ def test_pipeline_catches_and_keeps(spark, tmp_path):
     assert 402 in kept[2] and 402 not in kept[3] and len(kept[2] - kept[3]) == 1
     assert kept[4] == kept[3]
     assert len(pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()) == len(kept[4])
+
+
+def test_features_of_texts_looked_at_together_take_little_memory():
+    """A task used to take features of 8 MB of text at once, which a pipeline's executor has no room for."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from tieweave.llm import text as tx
+
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(prose(i, 400)) for i in range(2_000)])], names=["text"])
+    tracemalloc.start()
+    for _, texts in tx.slices(iter([batch]), "text", tox.SLICE_BYTES):
+        tox.text_features(texts)
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()

@@ -32,6 +32,8 @@ MIN_SUPPORT = 5
 THRESHOLD = 0.3
 RIDGE = 0.2
 SWAP_PENALTY = 25.0
+#: A text's words, features and their numbers take some 30 times its bytes, so few bytes are looked at together.
+SLICE_BYTES = 1 << 20
 #: Lengths of the word beginnings that are features.
 BEGINNINGS = (4, 5, 6, 7)
 
@@ -106,7 +108,7 @@ def training_texts(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -
 
 def _feature_counts(training: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in tx.slices(batches, "text"):
+        for batch, texts in tx.slices(batches, "text", SLICE_BYTES):
             at, feature, names = text_features(texts)
             y = batch.column("y").to_numpy(zero_copy_only=False).astype(np.int64)[at]
             ones = np.bincount(feature, weights=y, minlength=len(names)).astype(np.int64)
@@ -132,7 +134,7 @@ def _rows_of(training: DataFrame, features: list[str]) -> list:
     """Feature numbers of each training text, and its label; the sample is bounded."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = pa.array(features, pa.string())
-        for batch, texts in tx.slices(batches, "text"):
+        for batch, texts in tx.slices(batches, "text", SLICE_BYTES):
             at, feature, names = text_features(texts)
             place = pc.fill_null(pc.index_in(names, value_set=chosen), -1).to_numpy(zero_copy_only=False)[feature]
             at, place = at[place >= 0], place[place >= 0]
@@ -213,7 +215,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD, names: t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, weights, intercept = shared.value
         chosen = pa.array(features, pa.string())
-        for batch, texts in tx.slices(batches, "text"):
+        for batch, texts in tx.slices(batches, "text", SLICE_BYTES):
             at, feature, held = text_features(texts)
             place = pc.fill_null(pc.index_in(held, value_set=chosen), -1).to_numpy(zero_copy_only=False)[feature]
             logit = intercept + np.bincount(at[place >= 0], weights=weights[place[place >= 0]], minlength=len(texts))
