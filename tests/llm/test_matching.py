@@ -121,3 +121,38 @@ def test_components_of_paths_stars_and_nothing(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(100)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_few_edges_are_not_dealt_out_over_all_partitions(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)], "a long, b long")
+    sc, conf = spark.sparkContext, {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+
+    def run(name, *few_edges):
+        sc.setJobGroup(name, name)
+        rows = sorted(map(tuple, components(links, "a", "b", *few_edges).collect()))
+        status = sc.statusTracker()
+        stages = {s for j in status.getJobIdsForGroup(name) for s in status.getJobInfo(j).stageIds}
+        return rows, sum(info.numCompletedTasks for s in stages if (info := status.getStageInfo(s)))
+
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        (rows, tasks), (dealt, most) = run("few edges"), run("many edges", 0)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert rows == dealt == sorted([(i, 0) for i in range(41)] + [(100 + i, 100) for i in range(30)])
+    assert 3 * tasks < most
+
+
+def test_pairs_across_meet_once_not_on_every_ngram(spark):
+    import numpy as np
+
+    base = prose(3, 300)
+    docs = documents(spark, [" ".join(edited(base, k, 2)) for k in range(6)] + [" ".join(prose(4, 50))])
+    classes = nj._classes(docs, spark.sparkContext.broadcast(np.zeros(1 << nj.SKETCH_BITS, np.int64)), 4, 85)
+    met = nj._met_across(nj._shared_entries(classes, 85), classes, spark.createDataFrame([], "a long, b long"), 85)
+    rows = [tuple(sorted((r.x.node, r.y.node))) for r in met.collect()]
+    assert len(set(rows)) == len(rows) == 15

@@ -36,6 +36,8 @@ PERCENT = 85
 SKETCH_BITS = 16
 #: Slots of the parity map that goes with an entry.
 COARSE_BITS = 512
+#: An entry knows so many n-grams that stand before it.
+EARLIER = 16
 #: So many classes (an id, a digest and a number each) are sent to the tasks at most; more are joined by shuffle.
 WANTED_ROWS = 500_000
 
@@ -204,15 +206,26 @@ def _coarsely_near(x: str, y: str, percent: int) -> Column:
     return (100 + percent) * (sizes - apart) >= 2 * percent * sizes
 
 
-def _pairs_across(shared: DataFrame, classes: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """All pairs that no bound rules out between different components of ``links``."""
+def _met_across(shared: DataFrame, classes: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Entries x and y of all pairs that no bound rules out between different components of ``links``.
+
+    N-grams have one order, so a pair that shares an earlier one meets there as well. It is left
+    to that one where both entries know of it, and no pair is left out at the first one it shares.
+    """
     named = shared.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     # N-grams of two classes are settled by the first pairs.
     mixed = named.groupBy("gram").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("_n")).filter("_low <> _high AND _n > 2").select("gram")
-    left = named.join(mixed, "gram", "left_semi").join(classes.select("node", "coarse"), "node").select("gram", "component", F.struct("node", "size", "pos", "before", "coarse").alias("x"))
+    last = Window.partitionBy("node").orderBy("pos").rowsBetween(-EARLIER, -1)
+    held = named.join(mixed, "gram", "left_semi").withColumn("earlier", F.collect_list("gram").over(last))
+    left = held.join(classes.select("node", "coarse"), "node").select("gram", "component", F.struct("node", "size", "pos", "before", "coarse", "earlier").alias("x"))
     right = left.select(F.col("gram").alias("_gram"), F.col("component").alias("_component"), F.col("x").alias("y"))
-    met = left.join(right, (F.col("gram") == F.col("_gram")) & (F.col("component") < F.col("_component")) & _possible("x", "y", percent) & _coarsely_near("x", "y", percent))
-    return _pairs(met.select("x", "y"), percent)
+    first = ~F.arrays_overlap("x.earlier", "y.earlier")
+    met = left.join(right, (F.col("gram") == F.col("_gram")) & (F.col("component") < F.col("_component")) & _possible("x", "y", percent) & _coarsely_near("x", "y", percent) & first)
+    return met.select("x", "y")
+
+
+def _pairs_across(shared: DataFrame, classes: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    return _pairs(_met_across(shared, classes, links, percent), percent)
 
 
 def _near_bitmaps(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
