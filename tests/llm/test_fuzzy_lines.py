@@ -119,3 +119,16 @@ def test_majorities_of_small_and_large_shares(spark):
             width, lanes, apart = (9, 7, 2) if len(own) < 512 else (31, 2, 7)
             want.append(sum(1 << (lane * apart + k) for k in range(apart) for lane in range(lanes) if 2 * sum(h >> (k + lane * width) & 1 for h in own) > len(own)))
         assert got == want
+
+
+def test_entries_across_need_another_component_and_a_fitting_length(spark):
+    rows = [
+        (1, 10, 20, 1), (1, 11, 24, 2), (1, 12, 40, 3),  # the last has nobody near its length
+        (2, 20, 20, 5), (2, 21, 21, 5), (2, 22, 20, 5),  # one component
+        (3, 30, 10, 6), (3, 31, 30, 7), (3, 32, 90, 8),  # nobody near anybody
+        (4, 40, 30, 9), (4, 41, 30, 9), (4, 42, 36, 10), (4, 43, 44, 9),
+    ]
+    placed = spark.createDataFrame(rows, "key long, node long, n_words int, component long")
+    got = fl._across_entries(placed)
+    assert got.columns == placed.columns
+    assert sorted(r.node for r in got.collect()) == [10, 11, 40, 41, 42, 43]

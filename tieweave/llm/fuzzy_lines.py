@@ -27,7 +27,7 @@ from __future__ import annotations
 from functools import partial
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tieweave.llm.components import components
 from tieweave.llm.line_dedup import EDIT_SHARE, MIN_WORDS, _fits, _small, removed_lines, text_key
@@ -155,12 +155,23 @@ def _verified(pairs: DataFrame, distinct: DataFrame, lines: DataFrame) -> DataFr
     return held.filter(F.call_function("levenshtein", F.col("s_a"), F.col("s_b"), most) >= 0).select("a", "b")
 
 
+def _across_entries(placed: DataFrame) -> DataFrame:
+    """Entries whose key has lines of several components, and another line of a fitting number of words.
+
+    Lines next to an entry by number of words are the nearest there are: if neither fits, none does.
+    """
+    of, by_words = Window.partitionBy("key"), Window.partitionBy("key").orderBy("n_words")
+    near = placed.withColumns({"_less": F.lag("n_words").over(by_words), "_more": F.lead("n_words").over(by_words), "_low": F.min("component").over(of), "_high": F.max("component").over(of)})
+    return near.filter(F.col("_low") != F.col("_high")).filter(_fits("_less", "n_words") | _fits("_more", "n_words")).drop("_less", "_more", "_low", "_high")
+
+
 def links(distinct: DataFrame, lines: DataFrame, bits: int = BITS) -> DataFrame:
     """Pairs (a, b) of alike lines that connect all that pairs with a common key connect."""
     entries = _entries(distinct, bits)
     facts = distinct.select("node", "n_words", "parity")
     # Keys of two lines are a pair each; only larger keys look at their lines again.
-    keyed = cut(entries.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    # Hardly any two entries of a task have one key, so they are dealt out as they are and not combined before.
+    keyed = cut(entries.repartition("key").groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     large = keyed.filter("n > 2").select("key", "a", F.array("a").alias("_at"))
     met = cut(entries.join(_small(large, "_at").drop("_at"), "key"))
     first = cut(_possible(keyed.select("a", "b").unionByName(met.select("a", F.col("node").alias("b"))), facts))
@@ -169,8 +180,7 @@ def links(distinct: DataFrame, lines: DataFrame, bits: int = BITS) -> DataFrame:
     # A line's component is looked up once a line, not once a key.
     named = facts.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = met.select("key", "node").join(named, "node")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high").select("key")
-    left = cut(placed.join(mixed, "key", "left_semi"))
+    left = cut(_across_entries(placed))
     right = left.select(F.col("key").alias("_key"), F.col("node").alias("b"), F.col("n_words").alias("n_b"), F.col("parity").alias("p_b"), F.col("component").alias("_component"))
     across = left.join(right, (F.col("key") == F.col("_key")) & (F.col("component") < F.col("_component")) & _near("n_words", "n_b", "parity", "p_b"))
     pairs = across.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
